@@ -1,27 +1,34 @@
 """SimHash near-duplicates through tables of distances to reference fingerprints.
 
-Each distinct fingerprint gets its Hamming distances to two kinds of references:
-
-* the references of a block are the fingerprint's block with its lowest 0, 1, 2 ... bits
-  set, compared on that block alone. These distances say all about the block and nothing
-  else does, so two fingerprints agree in a block exactly where its column of the table
-  agrees, and the block's bits stand for that column. Of ``max_distance + 3`` blocks at most
-  ``max_distance`` differ between linked fingerprints, so they agree in the columns of
-  some three blocks, which is the key of an equi-join;
-* eight pseudo-random references over all bits. By the triangle inequality, pairs of one key
-  whose distances to any of these differ by more than ``max_distance`` can't be linked and
-  are discarded by the largest coordinate difference; only survivors are compared bit by bit.
-
-A key's members are searched breadth first: each found member drops out of what is left to
-compare, and only one link per member is kept, to the least fingerprint of its group. So a
-crowd of near copies gives as many links as members, never all its pairs. Keys with more
-than ``chunk`` members are cut in chunks, and each two chunks are compared in a task.
+Two operators share the search below:
+
+* ``near_duplicates`` links 64-bit fingerprints at up to a few differing bits and misses none.
+  The references of a block are all its prefixes of ones, compared on that block alone;
+  the distances to them say all about the block and nothing else, so two fingerprints
+  agree in a block exactly where its column of the table agrees, and the block's bits stand
+  for that column. Of ``max_distance + 3`` blocks at most ``max_distance`` differ between linked
+  fingerprints, so they agree in the columns of some three blocks: the key of an equi-join.
+* ``similar_documents`` links documents whose five-word shingles are similar to 0.8 or more,
+  which differ in far more bits. Its keys are random choices of bits of a second
+  fingerprint, that of the set of single words, which near copies share almost whole; there are as many as a
+  pair at that similarity needs to meet with the probability asked for.
+
+In both, a key's members are compared through the pivot table: the distances to eight
+pseudo-random references over all bits. By the triangle inequality, pairs whose distances to any of
+these differ by more than the limit can't be linked and are discarded by the largest coordinate
+difference; only survivors are compared bit by bit. Large keys are searched
+breadth first: each found member drops out of what is left to compare, and only one link per
+member is kept, to the least id of its group. So a crowd of near copies gives as many links as
+members, never all its pairs. Keys with more than ``chunk`` members are cut in chunks, and
+each two chunks are compared in a task.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +46,24 @@ TO_LOWER = bytes.maketrans(UPPER, LOWER)
 SLAB = 200_000
 
 
+SMALL = 8
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The 64 bits that over half of the hashes have set, as one unsigned number in an array."""
+    ones = np.zeros(64, dtype=np.int64)
+    for a in range(0, len(hashes), SLAB):  # bounded memory for texts of any length
+        ones += np.unpackbits(hashes[a : a + SLAB].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").translate(TO_LOWER).split()
+
+
 def simhash_of(text: str | None, width: int = 3, seed: int = 42) -> int:
     """The fingerprint of one text, unsigned."""
-    words = (text or "").encode("utf-8", "replace").translate(TO_LOWER).split()
+    words = words_of(text)
     if not words:
         return 0
     if len(words) < width:
@@ -49,11 +71,7 @@ def simhash_of(text: str | None, width: int = 3, seed: int = 42) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
     digest = functools.partial(xxhash.xxh64_intdigest, seed=seed)
-    hashes = np.fromiter(map(digest, shingles), dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for a in range(0, len(hashes), SLAB):  # bounded memory for texts of any length
-        ones += np.unpackbits(hashes[a : a + SLAB].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return int(majority(np.fromiter(map(digest, shingles), dtype="<u8"))[0])
 
 
 def simhash(text: Column, width: int = 3, seed: int = 42) -> Column:
@@ -66,6 +84,29 @@ def simhash(text: Column, width: int = 3, seed: int = 42) -> Column:
     return run(text)
 
 
+def _stir(h: np.ndarray) -> np.ndarray:
+    """A 64-bit mixer for arrays of hashes."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
+def wide_simhash_of(text: str | None, width: int, parts: int = 4) -> tuple[list[int], list[int]]:
+    """(words, shingles): 64 * ``parts`` bits each, as signed numbers, of the set of words and of
+    the set of ``width``-word shingles. A text of fewer words is one shingle; none gives zeros."""
+    words = words_of(text)
+    if not words:
+        return [0] * parts, [0] * parts
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64)
+    n = max(1, len(each) - width + 1)
+    order = [np.uint64(2 * k + 1) * np.uint64(0x9E3779B97F4A7C15) for k in range(width)]
+    with np.errstate(over="ignore"):
+        shingles = functools.reduce(np.add, [_stir(each[k : k + n]) * order[k] for k in range(min(width, len(each)))])
+        both = [np.unique(each), np.unique(shingles)]
+        salt = [np.uint64(k + 1) * np.uint64(0xD6E8FEB86659FD93) for k in range(parts)]
+        return tuple([int(majority(_stir(h ^ x)).view("<i8")[0]) for x in salt] for h in both)
+
+
 def _blocks(count: int) -> list[int]:
     """Bit masks of ``count`` blocks of nearly equal width."""
     edges = [64 * k // count for k in range(count + 1)]
@@ -76,97 +117,137 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: The references over all bits.
-PIVOTS = [xxhash.xxh64_intdigest(f"pivot {k}".encode()) for k in range(8)]
+def pivot_table(*fp: Column) -> Column:
+    """The distances to eight references over all bits, one in each byte of a long (distances
+    above 255 count as 255, which keeps the triangle inequality's bound)."""
 
+    def distance(k: int) -> Column:
+        reference = [_signed(xxhash.xxh64_intdigest(f"pivot {k} {part}".encode())) for part in range(len(fp))]
+        parts = [F.bit_count(x.bitwiseXOR(F.lit(r))) for x, r in zip(fp, reference, strict=True)]
+        return F.least(functools.reduce(Column.__add__, parts), F.lit(255)).cast("bigint")
 
-def pivot_table(fp: Column) -> Column:
-    """The distances to PIVOTS, one in each byte of a long."""
-    parts = [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("bigint"), 8 * k) for k, p in enumerate(PIVOTS)]
-    return functools.reduce(Column.bitwiseOR, parts)
+    return functools.reduce(Column.bitwiseOR, [F.shiftleft(distance(k), 8 * k) for k in range(8)])
 
 
 def block_keys(fp: Column, max_distance: int, agreeing: int = 3) -> Column:
     """An array of a hash for each choice of ``agreeing`` blocks and their columns of the table."""
-    masks = _blocks(max_distance + agreeing)
-    chosen = [sum(c) for c in itertools.combinations(masks, agreeing)]
+    chosen = [sum(c) for c in itertools.combinations(_blocks(max_distance + agreeing), agreeing)]
     return F.array(*[F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(chosen)])
 
 
-def linked_groups(fps: np.ndarray, table: np.ndarray, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(roots, members) of the links among one key's fingerprints, root < member as signed."""
-    coordinates = table.view(np.uint8).reshape(-1, 8).astype(np.int16)
-    left = np.arange(len(fps))
+def sampled_keys(fp: list[Column], bits: int, tables: int, seed: int = 7) -> Column:
+    """An array of a hash for each of ``tables`` random choices of ``bits`` bits."""
+    pick = random.Random(seed)
+    keys = []
+    for k in range(tables):
+        masks = [0] * len(fp)
+        for bit in pick.sample(range(64 * len(fp)), bits):
+            masks[bit // 64] |= 1 << bit % 64
+        keys.append(F.xxhash64(F.lit(k), *[x.bitwiseAND(F.lit(_signed(m))) for x, m in zip(fp, masks, strict=True)]))
+    return F.array(*keys)
+
+
+def _near(a: np.ndarray, b: np.ndarray, pivots_a: np.ndarray, pivots_b: np.ndarray, limit: int) -> np.ndarray:
+    """Whether fingerprints (rows of words) are within ``limit`` bits: by pivots, then by bits."""
+    near = np.abs(pivots_a - pivots_b).max(axis=1, initial=0) <= limit
+    if b.ndim == 2 and len(b) == len(a):
+        b = b[near]
+    near[near] = np.bitwise_count(a[near] ^ b).sum(axis=1, dtype=np.int64) <= limit
+    return near
+
+
+def linked_groups(ids: np.ndarray, fps: np.ndarray, pivots: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(roots, members) of the links among one key's fingerprints; a root is its group's least id."""
+    left = np.arange(len(ids))
     while len(left) > 1:
         found, queue, left = [left[0]], [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.abs(coordinates[left] - coordinates[x]).max(axis=1) <= max_distance
-            near[near] = np.bitwise_count(fps[left[near]] ^ fps[x]) <= max_distance
+            near = _near(fps[left], fps[x], pivots[left], pivots[x], limit)
             hit = left[near]
             if len(hit):
                 left = left[~near]
                 found.extend(hit)
                 queue.extend(hit)
         if len(found) > 1:
-            group = np.sort(fps[found].view(np.int64))
+            group = np.sort(ids[found])
             yield np.full(len(group) - 1, group[0]), group[1:]
 
 
-def _search(max_distance: int):
+def _search(limit: int, parts: int):
     """For mapInPandas over rows sorted by key: the links within each run of a key."""
+    names = ["key", "node", "pivots", *[f"f{k}" for k in range(parts)]]
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        kept: list[tuple] = []  # of the last key, whose run may go on in the next batch
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        kept: list[np.ndarray] = []  # of the last key, whose run may go on in the next batch
         for b in batches:
             if not len(b):
                 continue
-            key, fp, table = (b[c].to_numpy() for c in ("key", "fp", "pivots"))
-            cut = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0
-            if kept and kept[0][0][0] == key[-1]:
-                kept.append((key, fp, table))
+            rows = b[names].to_numpy(dtype=np.int64)
+            last = rows[-1, 0]
+            if kept and kept[0][0, 0] == last:
+                kept.append(rows)
                 continue
-            yield tuple(np.concatenate(x) for x in zip(*[*kept, (key[:cut], fp[:cut], table[:cut])], strict=True))
-            kept = [(key[cut:], fp[cut:], table[cut:])]
+            at = int(np.searchsorted(rows[:, 0], last))
+            yield np.concatenate([*kept, rows[:at]])
+            kept = [rows[at:]]
         if kept:
-            yield tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+            yield np.concatenate(kept)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, fp, table in runs(batches):
-            if len(key) < 2:
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        for rows in runs(batches):
+            key, ids = rows[:, 0], rows[:, 1]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], dtype=int)
             sizes = np.diff(np.append(starts, len(key)))
-            pairs = starts[sizes == 2]  # most keys with company have just two members
-            a, b = fp[pairs], fp[pairs + 1]
-            gap = np.abs(table[pairs].view(np.uint8).reshape(-1, 8).astype(np.int16) - table[pairs + 1].view(np.uint8).reshape(-1, 8)).max(axis=1, initial=0)
-            near = (gap <= max_distance) & (np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= max_distance)
-            src, dst = [np.minimum(a, b)[near]], [np.maximum(a, b)[near]]
-            for k, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                for roots, members in linked_groups(fp[k : k + n].view(np.uint64), table[k : k + n], max_distance):
+            fps = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+            pivots = np.ascontiguousarray(rows[:, 2]).view(np.uint8).reshape(-1, 8).astype(np.int16)
+            few = np.repeat(sizes <= SMALL, sizes)
+            src, dst = [], []
+            for step in range(1, min(SMALL, len(key))):  # small keys: all their rows at once
+                a = np.flatnonzero(few[:-step] & (key[:-step] == key[step:]))
+                a = a[_near(fps[a], fps[a + step], pivots[a], pivots[a + step], limit)]
+                src.append(np.minimum(ids[a], ids[a + step]))
+                dst.append(np.maximum(ids[a], ids[a + step]))
+            for k, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+                for roots, members in linked_groups(ids[k : k + n], fps[k : k + n], pivots[k : k + n], limit):
                     src.append(roots)
                     dst.append(members)
-            yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)}).drop_duplicates()
+            if src:
+                yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)}).drop_duplicates()
 
     return run
 
 
-def fingerprint_links(distinct: DataFrame, max_distance: int = 3, chunk: int = 16_384) -> DataFrame:
-    """(src, dst) links that join all fingerprints of column ``fp`` (distinct longs) which
-    a chain of distances of at most ``max_distance`` joins."""
-    fp = F.col("fp")
-    keyed = distinct.select("fp", pivot_table(fp).alias("pivots"), F.explode(block_keys(fp, max_distance)).alias("key"))
-    crowded = materialize(distinct.select(F.explode(block_keys(fp, max_distance)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "crowded")
+def fingerprint_links(prints: DataFrame, keys: Column, limit: int, chunk: int = 16_384) -> DataFrame:
+    """(src, dst), src < dst: links that join all rows whose fingerprints a chain joins of distances
+    of at most ``limit`` between rows that share a key.
+
+    prints: a written table of node (a distinct long) and fingerprint words f0, f1 ...
+    """
+    words = sorted(c for c in prints.columns if c.startswith("f"))
+    columns = ["key", "node", "pivots", *words]
+    keyed = prints.select("node", *words, pivot_table(*map(F.col, words)).alias("pivots"), F.explode(keys).alias("key")).select(columns)
+    crowded = materialize(prints.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "crowded")
     if crowded.limit(1).count():
         chunks = F.ceil(F.col("n") / chunk).cast("int")
-        own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
         each = keyed.join(crowded, "key", "left")
-        few = each.where("n is null").select("key", "fp", "pivots")
-        many = each.where("n is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        keyed = few.unionByName(many.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "pivots"))
-    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_runs = keyed.select("key", "fp", "pivots").repartition(tasks, "key").sortWithinPartitions("key")
-    return sorted_runs.mapInPandas(_search(max_distance), "src bigint, dst bigint").distinct()
+        many = each.where("n is not null").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        many = many.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+        keyed = each.where("n is null").select(columns).unionByName(many.select(columns))
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(_search(limit, len(words)), "src bigint, dst bigint").distinct()
+
+
+def _grouped(prints: DataFrame, words: list[str], keys: Column, limit: int, chunk: int) -> DataFrame:
+    """Add component_id to a written table of doc_id and fingerprint words.
+
+    Equal fingerprints are one node, the least doc_id that has it.
+    """
+    nodes = materialize(prints.where("doc_id is not null").groupBy(prints.columns[1:]).agg(F.min("doc_id").alias("node")), "fingerprints")
+    search = nodes.select("node", *[F.col(w).alias(f"f{k}") for k, w in enumerate(words)], *[c for c in prints.columns[1:] if c not in words])
+    parts = materialize(connected_components(fingerprint_links(search, keys, limit, chunk)), "parts")
+    labelled = nodes.join(parts, "node", "left").withColumn("component_id", F.coalesce("component", "node")).drop("component", "node")
+    return prints.join(labelled, prints.columns[1:], "left")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_distance: int = 3, seed: int = 42, chunk: int = 16_384) -> DataFrame:
@@ -179,13 +260,45 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_distance: int = 3, seed
     XXH64 have it.
 
     Returns a row for each input row: doc_id, fp (long), fingerprint (16 hex digits),
-    component_id (the smallest doc_id that links reach, itself included). Rows with a null
-    id keep their fingerprint's component (null if all its ids are null); an empty table gives none.
+    component_id (the smallest doc_id that links reach, itself included). A row with a null id
+    gets the component of the rows with an id that share its fingerprint, else null.
     """
     prints = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), simhash(text_or_empty(), width, seed).alias("fp")), "simhash")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    parts = materialize(connected_components(fingerprint_links(distinct, max_distance, chunk)), "parts")
-    grouped = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = grouped.join(least, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    grouped = _grouped(prints, ["fp"], block_keys(F.col("f0"), max_distance), max_distance, chunk)
+    return grouped.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def wide_limit(similarity: float, bits: int) -> int:
+    """The differing bits that 95 % of pairs with this Jaccard similarity stay within."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + 1.65 * math.sqrt(bits * p * (1 - p)))
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99, chunk: int = 16_384) -> DataFrame:
+    """Group documents whose ``width``-word shingles are similar to ``similarity`` or more.
+
+    docs: doc_id (integer), text; other columns are ignored, and words are as in
+    ``near_duplicates``. Similarity is judged on 256-bit SimHash fingerprints of the set of shingles, at
+    the distance that the similarity implies. Candidates agree in one of several
+    random choices of bits of the fingerprint of the set of words. A choice takes a few bits
+    more than log2 of the number of texts, so chance meetings stay few at any size, and
+    there are as many choices as a pair with 2 % of its words changed needs to meet with probability ``recall``.
+
+    Returns doc_id, component_id for each input row. Texts without words are alike. Ids
+    that are null get the component of rows with an id and the same fingerprint, else null.
+    """
+    parts = 4
+    names = [f"w{k}" for k in range(parts)] + [f"s{k}" for k in range(parts)]
+
+    @F.pandas_udf(", ".join(f"{n} bigint" for n in names))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [sum(wide_simhash_of(t, width, parts), []) for t in texts]
+        return pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, 2 * parts), columns=names)
+
+    prints = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), run(text_or_empty()).alias("p")).select("doc_id", "p.*"), "wide-simhash")
+    changed = 1 - (2 * similarity / (1 + similarity)) ** (1 / width)  # of the words
+    agree = 1 - 1.3 * math.acos(1 - changed) / math.pi  # of the bits of the word sets, with room for spread
+    bits = min(48, max(12, math.ceil(math.log2(prints.count() + 2)) + 3))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
+    keys = sampled_keys([F.col(f"w{k}") for k in range(parts)], bits, tables)
+    return _grouped(prints, names[parts:], keys, wide_limit(similarity, 64 * parts), chunk).select("doc_id", "component_id")
