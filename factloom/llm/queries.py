@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, simhash, urls
+from . import fingerprints, licenses, mixing, packing, pii, simhash, urls
 from .common import read_table
 
 
@@ -19,10 +19,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), **tokenizer_files())
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts, base, all_found = F.transform("base", lambda p: p["start"]), F.col("base"), F.col("detections")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        licenses.label_list(base).alias("base_labels"), licenses.label_list(base, all_found).alias("labels"), "score",
+    )
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -39,6 +52,6 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_simhash, op8_pii, op9_mixing, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op4_simhash, op5_licenses, op8_pii, op9_mixing, op10_urls)}
 #: None of these can be stated in DuckDB whole; tests/llm holds each against a plain version.
 ORACLE_SQL: dict[str, str] = {}
