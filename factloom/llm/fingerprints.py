@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, text_or_empty
 
-SAMPLES = 64
+SAMPLES = 48
 WIDTH = 5
 ID_BITS = 20
+PRUNE = 16.0
 #: Documents per bucket of neighbours, and the most buckets (the number of ids that the driver sees).
 PER_BUCKET, MOST_BUCKETS = 256, 16_384
 
@@ -34,25 +35,30 @@ def _shingles(words: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - width, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
 
 
-def sample(term: Column, log_weight: Column, draw: int) -> Column:
+def sample(term: Column, weight: Column, total: Column, draw: int) -> Column:
     """One term's value for a draw, packed over the sample's identity so that ``min`` keeps both.
 
-    With r and c from Gamma(2, 1) and b uniform: t = floor(ln(weight) / r + b),
-    ln(value) = ln(c) - r (t - b) - r. The 43 upper bits hold the value in order, the ID_BITS
-    lower ones a hash of term and t.
+    With r and c from Gamma(2, 1) and b uniform, all from one hash of term and draw:
+    t = floor(ln(weight) / r + b), ln(value) = ln(c) - r (t - b + 1). The upper bits hold the value
+    in order, the ID_BITS lower ones a hash of term and t.
+
+    The least of a text's values is exponential with the text's total weight as rate, so it is above
+    PRUNE / total once in 9 million draws (whose sample is then null, the same for equal texts).
+    Values above that are left out before any logarithm is taken, by lower bounds:
+    c = -ln(x) >= 1 - x, and for a weight of 1, exp(-r (1 - b)) >= v / (v + (1 - b)(1 - v)) with v = exp(-r).
     """
-    one = F.xxhash64(term, F.lit(2 * draw))
-    two = F.xxhash64(term, F.lit(2 * draw + 1))
-    uniform = lambda h, shift, bits: (F.shiftrightunsigned(h, shift).bitwiseAND((1 << bits) - 1).cast("double") + 0.5) / float(1 << bits)
-    r = -F.ln(uniform(one, 43, 21) * uniform(one, 22, 21))
-    b = uniform(one, 0, 22)
-    c = -F.ln(uniform(two, 32, 32) * uniform(two, 0, 32))
-    t = F.when(log_weight == 0.0, F.lit(0.0)).otherwise(F.floor(log_weight / r + b).cast("double"))
-    value = F.ln(c) - r * (t - b + 1.0)
-    # values lie within -3200 and 4: r is at most 30.5, and t r at most ln(weight) + r
-    order = ((value + 4096.0) * float(1 << 30)).cast("bigint")
-    name = F.shiftrightunsigned(one, 64 - ID_BITS).bitwiseXOR((t * 40503.0).cast("bigint").bitwiseAND((1 << ID_BITS) - 1))
-    return F.shiftleft(order, ID_BITS).bitwiseOR(name)
+    h = F.xxhash64(term, F.lit(draw))
+    uniform = lambda shift, bits: (F.shiftrightunsigned(h, shift).bitwiseAND((1 << bits) - 1).cast("double") + 0.5) * (1.0 / (1 << bits))
+    v, b, x = uniform(53, 11) * uniform(42, 11), uniform(32, 10), uniform(16, 16) * uniform(0, 16)
+    once = weight == 1
+    spread = F.when(once, v + (1.0 - b) * (1.0 - v)).otherwise(weight.cast("double"))
+    r, c = -F.ln(v), -F.ln(x)
+    t = F.floor(F.ln(weight.cast("double")) / r + b).cast("double")
+    # values lie within -4096 and 4: r is at most 17, and t r at most ln(weight) + r
+    order = lambda value: F.shiftleft(((value + 4096.0) * float(1 << 30)).cast("bigint"), ID_BITS)
+    low = term.bitwiseAND((1 << ID_BITS) - 1)
+    full = F.when(once, order(F.ln(c) - r * (1.0 - b)).bitwiseOR(low)).otherwise(order(F.ln(c) - r * (t - b + 1.0)).bitwiseOR(low.bitwiseXOR((t * 40503.0).cast("bigint").bitwiseAND((1 << ID_BITS) - 1))))
+    return F.when((1.0 - x) * v * total <= PRUNE * spread, full)
 
 
 def weighted_samples(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES, width: int = WIDTH) -> DataFrame:
@@ -69,9 +75,9 @@ def weighted_samples(texts: DataFrame, keys: list[str], text: str, samples: int
     # _outer: else the optimizer asks first whether the array is empty, and makes the arrays anew for that
     runs = hashed.select("*", begins.alias("_b")).select(*keys, "_h", "_b", F.posexplode_outer("_b").alias("_j", "_a"))
     weight = F.coalesce(F.get("_b", F.col("_j") + 1), F.size("_h")) - F.col("_a")
-    terms = runs.select(*keys, F.get("_h", F.col("_a")).alias("_term"), F.when(weight == 1, 0.0).otherwise(F.ln(weight.cast("double"))).alias("_log"))
-    least = terms.groupBy(*keys).agg(*[F.min(sample(F.col("_term"), F.col("_log"), k)).alias(f"_{k}") for k in range(samples)])
-    name = lambda k: F.col(f"_{k}").bitwiseAND((1 << ID_BITS) - 1).cast("int")
+    terms = runs.select(*keys, F.get("_h", F.col("_a")).alias("_term"), weight.alias("_weight"), F.size("_h").cast("double").alias("_total"))
+    least = terms.groupBy(*keys).agg(*[F.min(sample(F.col("_term"), F.col("_weight"), F.col("_total"), k)).alias(f"_{k}") for k in range(samples)])
+    name = lambda k: F.coalesce(F.col(f"_{k}").bitwiseAND((1 << ID_BITS) - 1).cast("int"), F.lit(0))
     return least.select(*keys, F.array(*[name(k) for k in range(samples)]).alias("signature"))
 
 

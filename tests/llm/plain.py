@@ -103,3 +103,30 @@ def url_rule(url):
         path = re.match("[^?#]*", rest[len(host) :])[0]
     fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def five_shingles(text, width=5):
+    w = words(text)
+    out = {}
+    for k in range(max(1, len(w) - width + 1)):
+        s = tuple(w[k : k + width])
+        out[s] = out.get(s, 0) + 1
+    return out
+
+
+def generalised_jaccard(a, b):
+    keys = a.keys() | b.keys()
+    return sum(min(a.get(k, 0), b.get(k, 0)) for k in keys) / sum(max(a.get(k, 0), b.get(k, 0)) for k in keys)
+
+
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text or ""))
+
+
+BASE = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+
+
+def license_base(text):
+    w = license_words(text)
+    found = sorted((k, label) for label, phrase in BASE.items() for k in range(len(w) - len(phrase) + 1) if w[k : k + len(phrase)] == phrase)
+    return len(w), found

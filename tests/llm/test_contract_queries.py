@@ -85,3 +85,36 @@ def test_op10_follows_the_rules(spark):
         r = got[page]
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict or verdict is None and r.verdict in ("allow", "block")
+
+
+def test_op2_estimates_generalised_jaccard(spark, documents):
+    import hashlib
+
+    got = {r.doc_id: r for r in queries.op2_fingerprints(spark, SF).collect()}
+    assert len(got) == len(documents)
+    off = []
+    for k, (d, t, _) in enumerate(documents):
+        after = documents[(k + 1) % len(documents)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        r = got[d]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        off.append(r.near_edited - plain.generalised_jaccard(plain.five_shingles(t), plain.five_shingles(edited)))
+        off.append(r.near_next - plain.generalised_jaccard(plain.five_shingles(t), plain.five_shingles(after)))
+    assert np.abs(off).mean() < 0.06 and abs(np.mean(off)) < 0.02
+    by_text = {}
+    for d, t, _ in documents:
+        by_text.setdefault(t, set()).add(got[d].fingerprint)
+    assert all(len(x) == 1 for x in by_text.values()) and len({f for x in by_text.values() for f in x}) > 0.95 * len(by_text)
+
+
+def test_op5_keeps_every_base_place(spark, documents):
+    got = {r.doc_id: r for r in queries.op5_licenses(spark, SF).collect()}
+    for d, t, _ in documents:
+        n, found = plain.license_base(t)
+        r = got[d]
+        places = [k for k, _ in found]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(found), min(places, default=None), max(places, default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in found}))
+        labels = r.labels.split(",") if r.labels else []
+        assert labels == sorted(set(labels)) and {x for _, x in found} <= set(labels) and 0 <= r.score <= 1
