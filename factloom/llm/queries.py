@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, packing, pii, simhash, urls
+from . import fingerprints, licenses, mixing, packing, pii, quality, simhash, toxicity, urls
 from .common import read_table
 
 
@@ -36,6 +36,14 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -52,6 +60,6 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op4_simhash, op5_licenses, op8_pii, op9_mixing, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_fingerprints, op4_simhash, op5_licenses, op6_quality, op7_toxicity, op8_pii, op9_mixing, op10_urls)}
 #: None of these can be stated in DuckDB whole; tests/llm holds each against a plain version.
 ORACLE_SQL: dict[str, str] = {}
