@@ -6,11 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, packing, pii, simhash
+from factloom.llm import mixing, packing, pii, simhash, toxicity
 from factloom.llm.common import materialize, read_table
 from factloom.llm.queries import tokenizer_files
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model predicts to be toxic go; rows without an id can't be told apart and stay."""
+    scored = toxicity.score_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    rejected = scored.where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id."""
     groups = simhash.similar_documents(docs)
@@ -34,6 +41,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("toxicity", reject_toxic),
     ("SimHash near-dedup", near_duplicates),
     ("PII", private_data),
     ("mixing sources", mix_sources),

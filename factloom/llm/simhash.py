@@ -99,11 +99,11 @@ def wide_simhash_of(text: str | None, width: int, parts: int = 4) -> tuple[list[
         return [0] * parts, [0] * parts
     each = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64)
     n = max(1, len(each) - width + 1)
-    order = [np.uint64(2 * k + 1) * np.uint64(0x9E3779B97F4A7C15) for k in range(width)]
+    order = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k in range(width)]
     with np.errstate(over="ignore"):
         shingles = functools.reduce(np.add, [_stir(each[k : k + n]) * order[k] for k in range(min(width, len(each)))])
         both = [np.unique(each), np.unique(shingles)]
-        salt = [np.uint64(k + 1) * np.uint64(0xD6E8FEB86659FD93) for k in range(parts)]
+        salt = [np.uint64((k + 1) * 0xD6E8FEB86659FD93 % 2**64) for k in range(parts)]
         return tuple([int(majority(_stir(h ^ x)).view("<i8")[0]) for x in salt] for h in both)
 
 
