@@ -1,5 +1,7 @@
 """Every query by name, with its SQL twin where SQL can state it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from . import scoring  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "score_three_class"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
