@@ -151,8 +151,8 @@ PHRASES = [
     ("other", "licen", "(?:sous|unter|bajo)(?: la| der| einer| une)? li[cz]en[czs]i?[ae]?"),
 ]
 
-#: Only texts that hold one of these can match a rule (in the joined words).
-ANCHORS = ["licen", "lizenz", "spdx", "gpl", "copyleft", "public domain", "rights reserved", "permission", "copyright", "warrant", "creativecommons", "redistribution", "apache org", "gnu org", "mozilla org", "altered source", "neither the name", "confidential", "free software foundation", "what the fuck", "you may not use"]
+#: Single words, or parts of words, of which any text that matches a rule holds one.
+ANCHORS = ["licen", "lizenz", "spdx", "gnu", "gpl", "copyleft", "domain", "reserved", "permission", "copyright", "warrant", "creativecommons", "redistribution", "apache", "mozilla", "altered", "neither", "confidential", "foundation", "fuck"]
 
 VERB = "(?:licen[sc]ed|released|distributed|available|published|provided|offered|shared|redistributed|covered)"
 
@@ -245,10 +245,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES
     """
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     docs = docs.drop("n_words", "base", "detections", "score")
-    # anchors are words, but their separators in the raw text may be anything: ask for the longest word of each
-    anchors = sorted({max(a.split(), key=len) for a in ANCHORS})
     low = docs.withColumn("_low", F.lower(raw))
-    gate = low.withColumn("_gate", F.coalesce(F.expr(" or ".join(f"contains(_low, '{a}')" for a in anchors)), F.lit(False)))
+    gate = low.withColumn("_gate", F.coalesce(F.expr(" or ".join(f"contains(_low, '{a}')" for a in ANCHORS)), F.lit(False)))
     words = F.regexp_extract_all(ascii_lower(raw), F.lit(WORDS), F.lit(0))
     none_found, none_based = F.expr(f"cast(array() as array<{DETECTION}>)"), F.expr("cast(array() as array<struct<start:bigint,label:string>>)")
     joined = F.concat(F.lit(" "), F.array_join(F.col("_words"), " "), F.lit(" "))
