@@ -1,6 +1,6 @@
 """Every query by name, with its SQL twin where SQL can state it."""
 
-from . import scoring, selection  # noqa: F401
+from . import reasoning, scoring, selection  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "score_three_class"

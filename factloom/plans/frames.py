@@ -27,7 +27,7 @@ def scored(t) -> DataFrame:
 FACTS_SQL = """
 ordered as (
   select l_orderkey, l_suppkey, l_linenumber,
-    lead(l_suppkey) over (partition by l_orderkey order by l_shipdate, l_linenumber) as nxt
+    lead(l_suppkey) over (partition by l_orderkey order by l_shipdate, l_linenumber, l_suppkey, l_partkey, l_extendedprice) as nxt
   from lineitem
 ),
 facts as (
@@ -40,7 +40,7 @@ def facts(t) -> DataFrame:
     """BEFORE facts of a world (an order): its suppliers in order of shipping."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber")
+    order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
     rows = t("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", F.lead("l_suppkey").over(order).alias("object"))
     rows = rows.where("object is not null and object <> l_suppkey")
     return rows.select(F.col("l_orderkey").alias("world"), F.lit("BEFORE").alias("predicate"), F.col("l_suppkey").alias("subject"), "object", F.col("l_linenumber").alias("ordinal"))
