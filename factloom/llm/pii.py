@@ -62,7 +62,7 @@ def mod97(match: Column) -> Column:
     plain = F.upper(F.regexp_replace(match, "[ -]", ""))
     turned = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
     value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
-    rest = F.aggregate(F.split(turned, "(?!^)"), F.lit(0), lambda r, c: (F.when(value(c) < 10, r * 10).otherwise(r * 100) + value(c)) % 97)
+    rest = F.aggregate(F.regexp_extract_all(turned, F.lit("."), F.lit(0)), F.lit(0), lambda r, c: (F.when(value(c) < 10, r * 10).otherwise(r * 100) + value(c)) % 97)
     return F.length(plain).between(15, 34) & (rest == 1)
 
 
