@@ -35,8 +35,8 @@ def _shingles(words: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - width, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
 
 
-def sample(term: Column, weight: Column, total: Column, draw: int) -> Column:
-    """One term's value for a draw, packed over the sample's identity so that ``min`` keeps both.
+def sample(term: str, weight: str, total: str, draw: int) -> str:
+    """SQL for one term's value for a draw, packed over the sample's identity so that ``min`` keeps both.
 
     With r and c from Gamma(2, 1) and b uniform, all from one hash of term and draw:
     t = floor(ln(weight) / r + b), ln(value) = ln(c) - r (t - b + 1). The upper bits hold the value
@@ -47,18 +47,16 @@ def sample(term: Column, weight: Column, total: Column, draw: int) -> Column:
     Values above that are left out before any logarithm is taken, by lower bounds:
     c = -ln(x) >= 1 - x, and for a weight of 1, exp(-r (1 - b)) >= v / (v + (1 - b)(1 - v)) with v = exp(-r).
     """
-    h = F.xxhash64(term, F.lit(draw))
-    uniform = lambda shift, bits: (F.shiftrightunsigned(h, shift).bitwiseAND((1 << bits) - 1).cast("double") + 0.5) * (1.0 / (1 << bits))
-    v, b, x = uniform(53, 11) * uniform(42, 11), uniform(32, 10), uniform(16, 16) * uniform(0, 16)
-    once = weight == 1
-    spread = F.when(once, v + (1.0 - b) * (1.0 - v)).otherwise(weight.cast("double"))
-    r, c = -F.ln(v), -F.ln(x)
-    t = F.floor(F.ln(weight.cast("double")) / r + b).cast("double")
+    uniform = lambda shift, bits: f"((shiftrightunsigned(xxhash64({term}, {draw}), {shift}) & {(1 << bits) - 1}) + 0.5D) * {1 / (1 << bits)!r}D"
+    v, b, x = f"({uniform(53, 11)} * {uniform(42, 11)})", f"({uniform(32, 10)})", f"({uniform(16, 16)} * {uniform(0, 16)})"
+    r, c, low = f"(-ln({v}))", f"(-ln({x}))", f"({term} & {(1 << ID_BITS) - 1})"
+    t = f"floor(ln(cast({weight} as double)) / {r} + {b})"
     # values lie within -4096 and 4: r is at most 17, and t r at most ln(weight) + r
-    order = lambda value: F.shiftleft(((value + 4096.0) * float(1 << 30)).cast("bigint"), ID_BITS)
-    low = term.bitwiseAND((1 << ID_BITS) - 1)
-    full = F.when(once, order(F.ln(c) - r * (1.0 - b)).bitwiseOR(low)).otherwise(order(F.ln(c) - r * (t - b + 1.0)).bitwiseOR(low.bitwiseXOR((t * 40503.0).cast("bigint").bitwiseAND((1 << ID_BITS) - 1))))
-    return F.when((1.0 - x) * v * total <= PRUNE * spread, full)
+    order = lambda value: f"shiftleft(cast(({value} + 4096.0D) * {float(1 << 30)!r}D as bigint), {ID_BITS})"
+    once = f"{order(f'ln({c}) - {r} * (1.0D - {b})')} | {low}"
+    more = f"{order(f'ln({c}) - {r} * ({t} - {b} + 1.0D)')} | ({low} ^ (({t} * 40503) & {(1 << ID_BITS) - 1}))"
+    spread = f"if({weight} = 1, {v} + (1.0D - {b}) * (1.0D - {v}), cast({weight} as double))"
+    return f"if((1.0D - {x}) * {v} * {total} <= {PRUNE}D * {spread}, if({weight} = 1, {once}, {more}), null)"
 
 
 def weighted_samples(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES, width: int = WIDTH) -> DataFrame:
@@ -76,7 +74,7 @@ def weighted_samples(texts: DataFrame, keys: list[str], text: str, samples: int
     runs = hashed.select("*", begins.alias("_b")).select(*keys, "_h", "_b", F.posexplode_outer("_b").alias("_j", "_a"))
     weight = F.coalesce(F.get("_b", F.col("_j") + 1), F.size("_h")) - F.col("_a")
     terms = runs.select(*keys, F.get("_h", F.col("_a")).alias("_term"), weight.alias("_weight"), F.size("_h").cast("double").alias("_total"))
-    least = terms.groupBy(*keys).agg(*[F.min(sample(F.col("_term"), F.col("_weight"), F.col("_total"), k)).alias(f"_{k}") for k in range(samples)])
+    least = terms.groupBy(*keys).agg(*[F.expr(f"min({sample('_term', '_weight', '_total', k)}) as _{k}") for k in range(samples)])
     name = lambda k: F.coalesce(F.col(f"_{k}").bitwiseAND((1 << ID_BITS) - 1).cast("int"), F.lit(0))
     return least.select(*keys, F.array(*[name(k) for k in range(samples)]).alias("signature"))
 
