@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import functools
+import itertools
 import math
+import operator
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,12 @@ def quality_features(text: str) -> list[float]:
     upper = share(data, UPPER) / max(letters, 1e-9)
     counts = Counter(words)
     lines = [line for line in text.split("\n") if line.strip()]
-    running = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    running = sum(map(operator.eq, words, words[1:]))
     symbols = SYMBOL.decode()
     return [
         math.log1p(n), upper, share(data, DIGIT), share(data, SYMBOL), share(data, b"|"), share(data, b"!?"), share(data, STOP), len(text) / n / 10, len(counts) / n,
         counts.most_common(1)[0][1] / n, running / n, 1 - len(set(lines)) / max(1, len(lines)), min(math.log1p(n / max(1, len(lines))) / 5, 2.0), share(data, b" "),
-        sum(len(w) > 25 for w in counts) / len(counts), sum(w[-1] in symbols or w[0] in symbols for w in words) / n,
+        sum(len(w) > 25 for w in counts) / len(counts), sum(c for w, c in counts.items() if w[-1] in symbols or w[0] in symbols) / n,
     ]
 
 
@@ -63,9 +64,11 @@ idiote idiotes stupide débile ordure déchet dégoûtant minable connard connas
 """.split()
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch tu te toi ton ta tes vous votre vos ti tú usted ustedes vosotros".split())
 LEET = str.maketrans("013457@$!|", "oleastasil")
-DISGUISED = re.compile(r"(?<![\w@$*|])(?=[\w@$!*|.-]*[A-Za-z])(?=[\w@$!*|.-]*[0-9@$!*|])[A-Za-z0-9@$][A-Za-z0-9@$!*|]{2,}(?![\w@$*|])")
+#: A letter and a sign within 64 characters: the bound keeps the time proportional to the text.
+DISGUISED = re.compile(r"(?<![\w@$*|])(?=[\w@$!*|.-]{0,63}[A-Za-z])(?=[\w@$!*|.-]{0,63}[0-9@$!*|])[A-Za-z0-9@$][A-Za-z0-9@$!*|]{2,}(?![\w@$*|])")
 SPACED = re.compile(r"(?<!\w)(?:\w[ .*_-]){3,}\w(?!\w)")
-DRAWN_OUT = re.compile(r"([^\W\d_])\1{2,}")
+SPACED_PART = re.compile(r"(?:^|[\W_])\w[.*_-]\w(?:[\W_]|$)")
+SIGNS = frozenset("0123456789@$!*|")
 
 TOXIC_NAMES = [
     "log_words", "insult_density", "insults", "learned_density", "learned_hits", "learned_peak", "learned_top3", "learned_distinct", "near_you", "near_you_density",
@@ -73,38 +76,56 @@ TOXIC_NAMES = [
 ]
 
 
-def toxic_features(text: str, weights: Callable[[str], float], insults: frozenset = frozenset(INSULTS)) -> list[float]:
+def drawn_out(text: str) -> int:
+    """The runs of three or more of one letter."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    same = a[1:] == a[:-1]
+    third = same[1:] & same[:-1]
+    first = np.flatnonzero(third & np.concatenate([[True], ~third[:-1]])) if len(third) else []
+    return sum((c := chr(a[k])).isalnum() and not c.isdecimal() for k in first)
+
+
+def spaced_out(text: str, tokens: list[str], odd: list[str]) -> list[str]:
+    """Words written with a separator after each letter, joined again.
+
+    Either two tokens in a row are single characters, or one of the ``odd`` ones, which hold
+    more than letters, has a separator between single characters: else the text isn't searched.
+    """
+    single = [k for k, t in enumerate(tokens) if len(t) == 1]
+    if any(map(operator.eq, map(operator.sub, single[1:], single), itertools.repeat(1))) or any(map(SPACED_PART.search, odd)):
+        return [re.sub(r"[ .*_-]", "", m[0]).lower() for m in SPACED.finditer(text)]
+    return []
+
+
+def toxic_features(text: str, weights: Mapping[str, float], insults: frozenset = frozenset(INSULTS)) -> list[float]:
     """Lexicon densities, second-person proximity, capitals, punctuation and disguises.
 
-    weights: of a learned word, 0 if it is none. All 0 for a text without words.
+    weights: the learned words, each with its weight above 0. All 0 for a text without words.
     """
-    words = WORD.findall(text.lower())
+    words = list(itertools.chain.from_iterable((w,) if w.isalnum() else WORD.findall(w) for w in text.lower().split()))
     n = len(words)
     if not n:
         return [0.0] * len(TOXIC_NAMES)
+    tokens = text.split()
+    odd = [w for w in tokens if not w.isalpha()]
     data = text.encode("utf-8", "replace")
-    at, found = [], {}
-    total = plain = learned = 0.0
-    for k, w in enumerate(words):
-        x, hard = weights(w), w in insults
-        if x or hard:
-            at.append(k)
-            plain += hard
-            learned += x > 0
-            total += x
-            found[w] = x
+    at = [k for k, w in enumerate(words) if w in weights or w in insults]
+    hits = [words[k] for k in at]
+    plain = sum(w in insults for w in hits)
+    own = [weights[w] for w in hits if w in weights]
+    found = {w: weights.get(w, 0.0) for w in hits}
     near = sum(any(v in SECOND_PERSON for v in words[max(0, k - 3) : k + 4]) for k in at)
-    disguised = [m[0] for m in DISGUISED.finditer(text)]
-    undone = sum((u := w.lower().translate(LEET)) in insults or weights(u) > 0 for w in disguised)
-    joined = [re.sub(r"[ .*_-]", "", m[0]).lower() for m in SPACED.finditer(text)]
-    undone += sum(w in insults or weights(w) > 0 for w in joined)
+    disguised = [m for w in odd if not SIGNS.isdisjoint(w) for m in DISGUISED.findall(w)]
+    undone = sum((u := w.lower().translate(LEET)) in insults or u in weights for w in disguised)
+    joined = spaced_out(text, tokens, odd)
+    undone += sum(w in insults or w in weights for w in joined)
     top = sorted(found.values(), reverse=True)[:3]
     letters = share(data, UPPER + LOWER)
     gaps = [b - a for a, b in zip(at, at[1:], strict=False)]
     return [
-        math.log1p(n), plain / n, math.log1p(plain), total / n, math.log1p(learned), top[0] if top else 0.0, sum(top), len(found) / n, near / max(1, len(at)), near / n,
+        math.log1p(n), plain / n, math.log1p(plain), sum(own) / n, math.log1p(len(own)), top[0] if top else 0.0, sum(top), len(found) / n, near / max(1, len(at)), near / n,
         share(data, UPPER) / max(letters, 1e-9), text.count("!") / n, text.count("?") / n, share(data, SYMBOL), len(disguised) / n, float(undone), len(joined) / n,
-        len(DRAWN_OUT.findall(text)) / n, share(data, DIGIT), 1 / (1 + min(gaps)) if gaps else 0.0,
+        drawn_out(text) / n, share(data, DIGIT), 1 / (1 + min(gaps)) if gaps else 0.0,
     ]
 
 
@@ -139,10 +160,5 @@ def training_labels(labels: DataFrame, column: str, bound: int) -> DataFrame:
     return known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(scale)) < part).groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-@functools.cache
-def no_weights() -> Callable[[str], float]:
-    return lambda _: 0.0
-
-
 def to_matrix(rows: list, dims: int) -> np.ndarray:
     return np.array([r["features"] for r in rows], dtype=float).reshape(-1, dims)

@@ -60,9 +60,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, thre
     known = materialize(training_labels(labels, "toxic", bound), "toxic-labels")
     lexicon = learn_lexicon(docs, known)
 
+    by_fold = [{w: x[f] for w, x in lexicon.items() if x[f] > 0} for f in range(5)]
+
     def features(text: str, fold: int) -> list[float]:
-        none = (0.0,) * 5
-        return toxic_features(text, lambda w: lexicon.get(w, none)[fold])
+        return toxic_features(text, by_fold[fold])
 
     table = materialize(featurize(docs, features), "toxic-features")
     rows = table.join(known, "doc_id").select("label", array_to_vector("features").alias("features"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 4).alias("later"))
