@@ -160,5 +160,10 @@ def training_labels(labels: DataFrame, column: str, bound: int) -> DataFrame:
     return known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(scale)) < part).groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
+def few(labels: DataFrame, bound: int) -> DataFrame:
+    """Training labels for a join: broadcast where ``bound`` says that they are some MB at most."""
+    return F.broadcast(labels) if bound <= 200_000 else labels
+
+
 def to_matrix(rows: list, dims: int) -> np.ndarray:
     return np.array([r["features"] for r in rows], dtype=float).reshape(-1, dims)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, materialize
-from .features import QUALITY_NAMES, featurize, quality_features, to_matrix, training_labels
+from .features import QUALITY_NAMES, featurize, few, quality_features, to_matrix, training_labels
 
 #: The most trusted positives, and the most unlabelled rows, that the model learns from.
 SAMPLE = 20_000
@@ -80,10 +80,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, thres
     table = materialize(featurize(docs, lambda text, _: quality_features(text)), "quality-features")
     trusted = training_labels(labels.where("quality = 1"), "quality", bound)
     dims = len(QUALITY_NAMES)
-    positive = to_matrix(table.join(trusted, "doc_id").select("features").limit(2 * bound).collect(), dims)
+    positive = to_matrix(table.join(few(trusted, bound), "doc_id").select("features").limit(2 * bound).collect(), dims)
     seen = table.select("doc_id", F.lit(1).alias("seen"))
     chosen = training_labels(seen, "seen", bound).select("doc_id")
-    unlabelled = to_matrix(table.join(chosen, "doc_id").select("features").limit(2 * bound).collect(), dims)
+    unlabelled = to_matrix(table.join(few(chosen, bound), "doc_id").select("features").limit(2 * bound).collect(), dims)
     if not len(positive):
         score = F.lit(0.5)
         return table.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))

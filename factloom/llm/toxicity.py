@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, materialize, text_or_empty
-from .features import featurize, toxic_features, training_labels
+from .features import featurize, few, toxic_features, training_labels
 
 #: The most labelled rows that the model learns from, and the most words in its lexicon.
 SAMPLE, LEXICON = 20_000, 5_000
@@ -58,7 +58,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, thre
     of both labels every score is the share of toxic ones, 0 if there are none.
     """
     known = materialize(training_labels(labels, "toxic", bound), "toxic-labels")
-    lexicon = learn_lexicon(docs, known)
+    lexicon = learn_lexicon(docs, few(known, bound))
 
     by_fold = [{w: x[f] for w, x in lexicon.items() if x[f] > 0} for f in range(5)]
 
@@ -66,8 +66,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, thre
         return toxic_features(text, by_fold[fold])
 
     table = materialize(featurize(docs, features), "toxic-features")
-    rows = table.join(known, "doc_id").select("label", array_to_vector("features").alias("features"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 4).alias("later"))
-    rows = materialize(rows, "toxic-rows")
+    rows = table.join(few(known, bound), "doc_id").select("label", array_to_vector("features").alias("features"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 4).alias("later"))
+    rows = materialize(rows.repartition(max(1, bound // 5000)), "toxic-rows")  # a few parts: each tree takes several small jobs
     kinds = {(r["later"], r["label"]): r["count"] for r in rows.groupBy("later", "label").count().collect()}
     ready = table.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), array_to_vector("features").alias("features"))
     if not all(kinds.get((False, x)) for x in (0.0, 1.0)):
