@@ -9,7 +9,7 @@ Two operators share the search below:
   for that column. Of ``max_distance + 3`` blocks at most ``max_distance`` differ between linked
   fingerprints, so they agree in the columns of some three blocks: the key of an equi-join.
 * ``similar_documents`` links documents whose five-word shingles are similar to 0.8 or more,
-  which differ in far more bits. Its keys are random choices of bits of a second
+  which differ in far more bits, and holds each link against the shingles themselves. Its keys are random choices of bits of a second
   fingerprint, that of the set of single words, which near copies share almost whole; there are as many as a
   pair at that similarity needs to meet with the probability asked for.
 
@@ -91,6 +91,18 @@ def _stir(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the ``width``-word shingles; a text of fewer words is one shingle."""
+    words = words_of(text)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64)
+    if not words:
+        return each
+    n = max(1, len(each) - width + 1)
+    order = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k in range(width)]
+    with np.errstate(over="ignore"):
+        return np.unique(functools.reduce(np.add, [_stir(each[k : k + n]) * order[k] for k in range(min(width, len(each)))]))
+
+
 def wide_simhash_of(text: str | None, width: int, parts: int = 4) -> tuple[list[int], list[int]]:
     """(words, shingles): 64 * ``parts`` bits each, as signed numbers, of the set of words and of
     the set of ``width``-word shingles. A text of fewer words is one shingle; none gives zeros."""
@@ -98,11 +110,8 @@ def wide_simhash_of(text: str | None, width: int, parts: int = 4) -> tuple[list[
     if not words:
         return [0] * parts, [0] * parts
     each = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64)
-    n = max(1, len(each) - width + 1)
-    order = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k in range(width)]
     with np.errstate(over="ignore"):
-        shingles = functools.reduce(np.add, [_stir(each[k : k + n]) * order[k] for k in range(min(width, len(each)))])
-        both = [np.unique(each), np.unique(shingles)]
+        both = [np.unique(each), shingle_set(text, width)]
         salt = [np.uint64((k + 1) * 0xD6E8FEB86659FD93 % 2**64) for k in range(parts)]
         return tuple([int(majority(_stir(h ^ x)).view("<i8")[0]) for x in salt] for h in both)
 
@@ -269,17 +278,71 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_distance: int = 3, seed
 
 
 def wide_limit(similarity: float, bits: int) -> int:
-    """The differing bits that 95 % of pairs with this Jaccard similarity stay within."""
+    """Differing bits that pairs with this Jaccard similarity stay within but for less than one in a million."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + 1.65 * math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + 7 * math.sqrt(bits * p * (1 - p)))
+
+
+def similar_groups(sets: list[np.ndarray], similarity: float) -> Iterator[np.ndarray]:
+    """Places of sets (of distinct numbers) that a chain of pairs with this Jaccard similarity joins."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    terms, owner = np.unique(np.concatenate(sets), return_inverse=True)[1], np.repeat(np.arange(n), sizes)
+    own = np.split(terms, np.cumsum(sizes)[:-1])
+    left, count, indexed = np.ones(n, dtype=bool), n, 2 * n + 1
+    for first in range(n):
+        if not left[first]:
+            continue
+        left[first], count, found, queue = False, count - 1, [first], [first]
+        while queue and count:
+            if 2 * count < indexed:  # what holds each term, of the sets that are left
+                at = left[owner]
+                held = owner[at][np.argsort(terms[at], kind="stable")]
+                often = np.bincount(terms[at], minlength=len(terms))
+                starts, indexed = np.cumsum(often) - often, count
+            x = queue.pop()
+            often_x = often[own[x]]
+            holders = held[np.arange(often_x.sum()) + np.repeat(starts[own[x]] - np.cumsum(often_x) + often_x, often_x)]
+            shared = np.bincount(holders, minlength=n)
+            hit = np.flatnonzero(left & (shared > 0) & (shared * (1 + similarity) >= similarity * (sizes[x] + sizes) - 1e-9))
+            left[hit], count = False, count - len(hit)
+            found.extend(hit)
+            queue.extend(hit)
+        if len(found) > 1:
+            yield np.array(found)
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, chunk: int = 4_096, chars: int = 16_000_000) -> DataFrame:
+    """(src, dst), src < dst: links that join all nodes whose texts a chain joins of pairs within a
+    part whose sets of shingles have this similarity.
+
+    nodes: doc_id, mark (XXH64 of the text, of the rows with this id), chars and part. A part with more
+    than ``chunk`` nodes or ``chars`` characters is cut in chunks, and each two are compared in a task.
+    """
+    sizes = nodes.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("chars") / chars)).cast("int").alias("chunks"))
+    many = F.col("chunks") > 1
+    each = nodes.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    key = F.when(many, F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.xxhash64("part"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("mark", F.xxhash64("text"))
+    keyed = texts.join(each.select("doc_id", "mark", key.alias("key")), ["doc_id", "mark"])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["doc_id", "mark"])
+        ids = group["doc_id"].to_numpy(dtype=np.int64)
+        links = [(min(ids[g]), ids[g]) for g in similar_groups([shingle_set(t, width) for t in group["text"]], similarity)]
+        out = pd.DataFrame({"src": np.repeat([a for a, _ in links], [len(g) for _, g in links]), "dst": np.concatenate([g for _, g in links] or [[]])}, dtype=np.int64)
+        return out[out["src"] < out["dst"]]
+
+    return keyed.groupBy("key").applyInPandas(run, "src bigint, dst bigint").distinct()
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99, chunk: int = 16_384) -> DataFrame:
     """Group documents whose ``width``-word shingles are similar to ``similarity`` or more.
 
     docs: doc_id (integer), text; other columns are ignored, and words are as in
-    ``near_duplicates``. Similarity is judged on 256-bit SimHash fingerprints of the set of shingles, at
-    the distance that the similarity implies. Candidates agree in one of several
+    ``near_duplicates``. Links of 256-bit SimHash fingerprints of the set of shingles, at a distance
+    that hardly any pair of this similarity exceeds, join parts; within a part the sets of
+    shingles themselves are compared, and only pairs that reach the similarity are linked. Candidates agree in one of several
     random choices of bits of the fingerprint of the set of words. A choice takes a few bits
     more than log2 of the number of texts, so chance meetings stay few at any size, and
     there are as many choices as a pair with 2 % of its words changed needs to meet with probability ``recall``.
@@ -295,10 +358,18 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
         rows = [sum(wide_simhash_of(t, width, parts), []) for t in texts]
         return pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, 2 * parts), columns=names)
 
-    prints = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), run(text_or_empty()).alias("p")).select("doc_id", "p.*"), "wide-simhash")
+    columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("mark"), F.length(text_or_empty()).cast("bigint").alias("chars")]
+    prints = materialize(docs.select(*columns, run(text_or_empty()).alias("p")).select("doc_id", "mark", "chars", "p.*"), "wide-simhash")
     changed = 1 - (2 * similarity / (1 + similarity)) ** (1 / width)  # of the words
     agree = 1 - 1.3 * math.acos(1 - changed) / math.pi  # of the bits of the word sets, with room for spread
     bits = min(48, max(12, math.ceil(math.log2(prints.count() + 2)) + 3))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
     keys = sampled_keys([F.col(f"w{k}") for k in range(parts)], bits, tables)
-    return _grouped(prints, names[parts:], keys, wide_limit(similarity, 64 * parts), chunk).select("doc_id", "component_id")
+    least = F.min(F.struct("doc_id", "mark", "chars")).alias("least")
+    nodes = materialize(prints.where("doc_id is not null").groupBy(*names).agg(least).select(*names, "least.*"), "fingerprints")
+    search = nodes.select(F.col("doc_id").alias("node"), *[F.col(f"s{k}").alias(f"f{k}") for k in range(parts)], *names[:parts])
+    loose = materialize(connected_components(fingerprint_links(search, keys, wide_limit(similarity, 64 * parts), chunk)), "loose")
+    members = nodes.select("doc_id", "mark", "chars").join(loose.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id")
+    found = materialize(connected_components(similar_links(docs, members, width, similarity)), "parts")
+    labelled = nodes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*names, F.coalesce("component", "doc_id").alias("component_id"))
+    return prints.join(labelled, names, "left").select("doc_id", "component_id")

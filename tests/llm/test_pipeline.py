@@ -7,6 +7,7 @@ import plain
 import pytest
 
 import corpus_pipeline as c
+from factloom.llm import simhash
 from factloom.llm.common import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +48,26 @@ def test_one_of_each_group_stays(stages):
     assert sum(alike(a, b) >= 0.8 for k, a in enumerate(left) for b in left[:k]) == 0
 
 
+def test_dropped_documents_have_a_partner(spark, stages):
+    _, before, after = stages[1]
+    shingles = {r.doc_id: set(plain.five_shingles(plain.ascii_lower(r.text))) for r in before}
+    alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    for d in shingles.keys() - {r.doc_id for r in after}:
+        assert max(alike(d, k) for k in shingles if k != d) >= 0.8
+
+
+def test_templates_below_the_similarity_stay(spark):
+    """Documents that share 270 of 300 words in a row are similar to 0.78 and all stay, in any chunks; true copies go."""
+    template = [f"t{k}" for k in range(270)]
+    rows = [(k, " ".join([*template, *[f"own{k}-{j}" for j in range(37)]]), "en", "s", 1) for k in range(60)]
+    rows += [(100 + k, " ".join([*template, *[f"own{k}-{j}" for j in range(36)]]), "en", "s", 1) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    assert sorted(r.doc_id for r in c.near_duplicates(spark, docs, SF).collect()) == list(range(60))
+    nodes = docs.selectExpr("doc_id", "xxhash64(text) as mark", "bigint(length(text)) as chars", "1L as part")
+    links = {(r.src, r.dst) for r in simhash.similar_links(docs, nodes, 5, 0.8, chunk=7).collect()}
+    assert links == {(k, 100 + k) for k in range(10)}
+
+
 def test_personal_data_is_gone(stages):
     _, before, after = stages[2]
     text = {r.doc_id: r.text for r in before}
