@@ -9,9 +9,9 @@ Two operators share the search below:
   for that column. Of ``max_distance + 3`` blocks at most ``max_distance`` differ between linked
   fingerprints, so they agree in the columns of some three blocks: the key of an equi-join.
 * ``similar_documents`` links documents whose five-word shingles are similar to 0.8 or more,
-  which differ in far more bits, and holds each link against the shingles themselves. Its keys are random choices of bits of a second
-  fingerprint, that of the set of single words, which near copies share almost whole; there are as many as a
-  pair at that similarity needs to meet with the probability asked for.
+  which differ in far more bits, and holds each link against the shingles themselves. Its keys are least hashes
+  of the set of shingles, which a pair shares with the probability of its similarity for any kind of
+  edit; there are as many as a pair at that similarity needs to meet with the probability asked for.
 
 In both, a key's members are compared through the pivot table: the distances to eight
 pseudo-random references over all bits. By the triangle inequality, pairs whose distances to any of
@@ -28,7 +28,6 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +47,9 @@ SLAB = 200_000
 
 SMALL = 8
 
+#: Least hashes in a key of ``similar_documents``.
+ROWS = 5
+
 
 def majority(hashes: np.ndarray) -> np.ndarray:
     """The 64 bits that over half of the hashes have set, as one unsigned number in an array."""
@@ -103,17 +105,31 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
         return np.unique(functools.reduce(np.add, [_stir(each[k : k + n]) * order[k] for k in range(min(width, len(each)))]))
 
 
-def wide_simhash_of(text: str | None, width: int, parts: int = 4) -> tuple[list[int], list[int]]:
-    """(words, shingles): 64 * ``parts`` bits each, as signed numbers, of the set of words and of
-    the set of ``width``-word shingles. A text of fewer words is one shingle; none gives zeros."""
-    words = words_of(text)
-    if not words:
-        return [0] * parts, [0] * parts
-    each = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64)
+def wide_simhash_of(shingles: np.ndarray, parts: int = 4) -> list[int]:
+    """64 * ``parts`` bits, as signed numbers, of a set of hashes; an empty set gives zeros."""
     with np.errstate(over="ignore"):
-        both = [np.unique(each), shingle_set(text, width)]
         salt = [np.uint64((k + 1) * 0xD6E8FEB86659FD93 % 2**64) for k in range(parts)]
-        return tuple([int(majority(_stir(h ^ x)).view("<i8")[0]) for x in salt] for h in both)
+        return [int(majority(_stir(shingles ^ x)).view("<i8")[0]) for x in salt]
+
+
+def planned_tables(similarity: float, recall: float, rows: int = ROWS) -> int:
+    """Keys of ``rows`` least hashes that a pair at ``similarity`` needs to share one with probability ``recall``.
+
+    A least hash is shared with the probability of the Jaccard similarity, whatever kind of edit
+    made the difference, so the number doesn't depend on that or on the number of texts.
+    """
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+
+
+def least_hash_keys(shingles: np.ndarray, tables: int, rows: int = ROWS, seed: int = 7) -> np.ndarray:
+    """``tables`` keys, each of the least of ``rows`` hashes of a set; an empty set's are all alike."""
+    draws = np.random.default_rng(seed).integers(0, 2**64, size=(2, tables * rows, 1), dtype=np.uint64)
+    least = np.full(tables * rows, 2**64 - 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(shingles), 2_048):  # bounded memory for texts of any length
+            np.minimum(least, ((shingles[a : a + 2_048] ^ draws[0]) * (draws[1] | np.uint64(1))).min(axis=1), out=least)
+        least = _stir(least).reshape(tables, rows) * np.arange(1, 2 * rows, 2, dtype=np.uint64)
+        return _stir(least.sum(axis=1, dtype=np.uint64) + np.arange(tables, dtype=np.uint64)).view(np.int64)
 
 
 def _blocks(count: int) -> list[int]:
@@ -144,18 +160,6 @@ def block_keys(fp: Column, max_distance: int, agreeing: int = 3) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(chosen)])
 
 
-def sampled_keys(fp: list[Column], bits: int, tables: int, seed: int = 7) -> Column:
-    """An array of a hash for each of ``tables`` random choices of ``bits`` bits."""
-    pick = random.Random(seed)
-    keys = []
-    for k in range(tables):
-        masks = [0] * len(fp)
-        for bit in pick.sample(range(64 * len(fp)), bits):
-            masks[bit // 64] |= 1 << bit % 64
-        keys.append(F.xxhash64(F.lit(k), *[x.bitwiseAND(F.lit(_signed(m))) for x, m in zip(fp, masks, strict=True)]))
-    return F.array(*keys)
-
-
 def _near(a: np.ndarray, b: np.ndarray, pivots_a: np.ndarray, pivots_b: np.ndarray, limit: int) -> np.ndarray:
     """Whether fingerprints (rows of words) are within ``limit`` bits: by pivots, then by bits."""
     near = np.abs(pivots_a - pivots_b).max(axis=1, initial=0) <= limit
@@ -336,39 +340,34 @@ def similar_links(docs: DataFrame, nodes: DataFrame, width: int, similarity: flo
     return keyed.groupBy("key").applyInPandas(run, "src bigint, dst bigint").distinct()
 
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99, chunk: int = 16_384) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.9999, chunk: int = 16_384) -> DataFrame:
     """Group documents whose ``width``-word shingles are similar to ``similarity`` or more.
 
     docs: doc_id (integer), text; other columns are ignored, and words are as in
     ``near_duplicates``. Links of 256-bit SimHash fingerprints of the set of shingles, at a distance
     that hardly any pair of this similarity exceeds, join parts; within a part the sets of
-    shingles themselves are compared, and only pairs that reach the similarity are linked. Candidates agree in one of several
-    random choices of bits of the fingerprint of the set of words. A choice takes a few bits
-    more than log2 of the number of texts, so chance meetings stay few at any size, and
-    there are as many choices as a pair with 2 % of its words changed needs to meet with probability ``recall``.
+    shingles themselves are compared, and only pairs that reach the similarity are linked. Candidates
+    share one of several keys of five least hashes of the set of shingles; there are as many
+    keys as any pair at that similarity needs to meet with probability ``recall``.
 
     Returns doc_id, component_id for each input row. Texts without words are alike. Ids
     that are null get the component of rows with an id and the same fingerprint, else null.
     """
-    parts = 4
-    names = [f"w{k}" for k in range(parts)] + [f"s{k}" for k in range(parts)]
+    parts, tables = 4, planned_tables(similarity, recall)
+    names = [f"f{k}" for k in range(parts)]
 
-    @F.pandas_udf(", ".join(f"{n} bigint" for n in names))
+    @F.pandas_udf(", ".join(f"{n} bigint" for n in names) + ", keys array<bigint>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [sum(wide_simhash_of(t, width, parts), []) for t in texts]
-        return pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, 2 * parts), columns=names)
+        sets = [shingle_set(t, width) for t in texts]
+        prints = pd.DataFrame(np.array([wide_simhash_of(x, parts) for x in sets], dtype=np.int64).reshape(-1, parts), columns=names)
+        return prints.assign(keys=[least_hash_keys(x, tables) for x in sets])
 
     columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("mark"), F.length(text_or_empty()).cast("bigint").alias("chars")]
     prints = materialize(docs.select(*columns, run(text_or_empty()).alias("p")).select("doc_id", "mark", "chars", "p.*"), "wide-simhash")
-    changed = 1 - (2 * similarity / (1 + similarity)) ** (1 / width)  # of the words
-    agree = 1 - 1.3 * math.acos(1 - changed) / math.pi  # of the bits of the word sets, with room for spread
-    bits = min(48, max(12, math.ceil(math.log2(prints.count() + 2)) + 3))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
-    keys = sampled_keys([F.col(f"w{k}") for k in range(parts)], bits, tables)
-    least = F.min(F.struct("doc_id", "mark", "chars")).alias("least")
+    least = F.min(F.struct("doc_id", "mark", "chars", "keys")).alias("least")
     nodes = materialize(prints.where("doc_id is not null").groupBy(*names).agg(least).select(*names, "least.*"), "fingerprints")
-    search = nodes.select(F.col("doc_id").alias("node"), *[F.col(f"s{k}").alias(f"f{k}") for k in range(parts)], *names[:parts])
-    loose = materialize(connected_components(fingerprint_links(search, keys, wide_limit(similarity, 64 * parts), chunk)), "loose")
+    search = nodes.withColumnRenamed("doc_id", "node")
+    loose = materialize(connected_components(fingerprint_links(search, F.col("keys"), wide_limit(similarity, 64 * parts), chunk)), "loose")
     members = nodes.select("doc_id", "mark", "chars").join(loose.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id")
     found = materialize(connected_components(similar_links(docs, members, width, similarity)), "parts")
     labelled = nodes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*names, F.coalesce("component", "doc_id").alias("component_id"))

@@ -109,6 +109,39 @@ def test_similar_documents_finds_near_copies(spark):
     assert all(got[10 * k + 2] == 10 * k + 2 for k in range(40))
 
 
+def test_similar_documents_finds_contiguous_edits(spark):
+    """A passage of new words in place of another, at similarities just above 0.8, 0.85 and 0.9."""
+    import random
+
+    pick = random.Random(5)
+    vocabulary, rows, new = [f"w{k}" for k in range(20_000)], [], iter(range(100_000))
+    for k in range(300):
+        words = [pick.choice(vocabulary) for _ in range(300)]
+        cut = (28, 19, 11)[k % 3]
+        at = pick.randrange(5, 290 - cut)
+        other = [*words[:at], *[f"new{next(new)}" for _ in range(cut)], *words[at + cut :]]
+        a, b = (set(plain.five_shingles(" ".join(w))) for w in (words, other))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.93
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[10 * k + 1] == got[10 * k] == 10 * k for k in range(300))
+
+
+def test_tables_of_similar_documents():
+    """The plan holds at 0.8 for any number of texts, millions too, and keys are shared as often as planned."""
+    import numpy as np
+
+    tables = simhash.planned_tables(0.8, 0.9999)
+    assert tables <= 40 and (1 - 0.8**5) ** tables <= 1e-4
+    random = np.random.default_rng(1)
+    shared = []
+    for _ in range(400):
+        x = random.integers(0, 2**64, size=270, dtype=np.uint64)
+        a, b = x[:240], np.concatenate([x[:210], x[240:]])  # 210 of 270
+        shared.append(np.mean(simhash.least_hash_keys(a, tables) == simhash.least_hash_keys(b, tables)))
+    assert abs(np.mean(shared) - (210 / 270) ** 5) < 0.03
+
+
 def test_licenses(spark, odd, empty):
     rows = licenses.scan_licenses(odd).collect()
     assert len(rows) == 11
