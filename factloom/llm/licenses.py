@@ -1,13 +1,14 @@
 """License scans: ordered signature rules over the words of a text, all in SQL functions.
 
 A text's words, lower-cased and joined by single spaces, are scanned by regular expressions. Most
-texts hold none of a few anchor strings and are done after that; in the others a rule's pattern
+texts hold nothing of what the rules' patterns can't match without and are done after that; in the others a rule's pattern
 runs only where its keyword is. Detections of all rules are sorted by place, and one
 that lies within a detection of the same or a higher priority is suppressed.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -151,7 +152,7 @@ PHRASES = [
     ("other", "licen", "(?:sous|unter|bajo)(?: la| der| einer| une)? li[cz]en[czs]i?[ae]?"),
 ]
 
-#: Single words, or parts of words, of which any text that matches a rule holds one.
+#: Rare words, or parts of words, that a text is asked for first where a rule's pattern needs one.
 ANCHORS = ["licen", "lizenz", "spdx", "gnu", "gpl", "copyleft", "domain", "reserved", "permission", "copyright", "warrant", "creativecommons", "redistribution", "apache", "mozilla", "altered", "neither", "confidential", "foundation", "fuck"]
 
 VERB = "(?:licen[sc]ed|released|distributed|available|published|provided|offered|shared|redistributed|covered)"
@@ -186,6 +187,25 @@ def build_rules() -> list[Rule]:
 RULES = build_rules()
 
 
+def gate(rules: list[Rule], text: str = "_low") -> str:
+    """SQL that is true for any lower-cased text that matches a rule: an anchor that the pattern
+    can't match without (one of two for foreign names), else (notices) a verb before 'under', else all
+    words of the keyword."""
+    asked = set()
+    for r in rules:
+        bare, before = r.pattern.removeprefix(VERB), None
+        while bare != before:  # optional parts and choices go
+            bare, before = re.sub(r"\(\?:[^()]*\)\??", "", bare), bare
+        words = [] if "|" in bare else [a for a in ANCHORS if a in bare][:1]
+        if r.rule.endswith("/foreign"):
+            asked |= {f"(contains({text}, '{w}'))" for w in ("licen", "lizenz")}
+        elif not words and r.pattern.startswith(VERB):
+            asked.add(f"(contains({text}, 'under') and {text} rlike r'{VERB}{NOT_WORDS}under')")
+        else:
+            asked.add("(" + " and ".join(f"contains({text}, '{w}')" for w in words or r.keyword.split()) + ")")
+    return " or ".join(sorted(asked, key=lambda a: (a.count("contains"), a))) or "false"
+
+
 LEVELS = 4
 
 DETECTION = "struct<start:int,end:int,rule:string,label:string,priority:int,confidence:double>"
@@ -246,11 +266,11 @@ def scan_licenses(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     docs = docs.drop("n_words", "base", "detections", "score")
     low = docs.withColumn("_low", F.lower(raw))
-    gate = low.withColumn("_gate", F.coalesce(F.expr(" or ".join(f"contains(_low, '{a}')" for a in ANCHORS)), F.lit(False)))
+    gated = low.withColumn("_gate", F.coalesce(F.expr(gate(rules)), F.lit(False)))
     words = F.regexp_extract_all(ascii_lower(raw), F.lit(WORDS), F.lit(0))
     none_found, none_based = F.expr(f"cast(array() as array<{DETECTION}>)"), F.expr("cast(array() as array<struct<start:bigint,label:string>>)")
     joined = F.concat(F.lit(" "), F.array_join(F.col("_words"), " "), F.lit(" "))
-    out = gate.withColumn("n_words", F.regexp_count(raw, F.lit(WORDS_ANY_CASE)).cast("bigint")).withColumn("_words", F.when(F.col("_gate"), words)).withColumn("_joined", F.when(F.col("_gate"), joined))
+    out = gated.withColumn("n_words", F.regexp_count(raw, F.lit(WORDS_ANY_CASE)).cast("bigint")).withColumn("_words", F.when(F.col("_gate"), words)).withColumn("_joined", F.when(F.col("_gate"), joined))
     out = out.withColumn("base", F.when(F.contains("_joined", F.lit(" license ")), base_places(F.col("_words"))).otherwise(none_based))
     out = out.withColumn("detections", F.when(F.col("_gate"), detections(F.col("_joined"), rules)).otherwise(none_found))
     found = F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0))
