@@ -15,11 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (as in tests) a temporary folder is made and
-    kept in the session's settings.
+    Only where a local session has none (as in tests) a temporary folder is made and
+    kept in the session's settings; on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,6 +39,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, how: str = "left") -> DataFrame:
+    """Join ``left`` to ``right``, whose keys are unique and whose column ``count`` (dropped) says how
+    many rows of ``left`` have them.
+
+    Keys that more than a thousandth of ``total`` rows have, of which there are at most 1,000, are
+    broadcast, so their rows stay where they are; only the others are shuffled. Both
+    should be written tables, since each is read twice. Rows of ``left`` with null keys have no partner.
+    """
+    often = F.col(count) > max(1_000, total // 1_000)
+    hot = right.where(often).drop(count)
+    if not hot.limit(1).count():
+        return left.join(right.drop(count), keys, how)
+    crowd = left.join(F.broadcast(hot.select(*keys)), keys, "left_semi").join(F.broadcast(hot), keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(~often).drop(count), keys, how)
+    return crowd.unionByName(rest)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

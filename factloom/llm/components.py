@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -13,17 +13,17 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    far = both.where("v > u").join(least, "u").where("v <> m")
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("bigint")).alias("n")), "least")
+    far = join_counted(both.where("v > u"), least, ["u"], "n", total, "inner").where("v <> m")
     return far.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    """``edges`` with u > v, a written table."""
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    moved = join_counted(edges, least, ["u"], "n", total, "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least.select("u", F.col("m").alias("v")).union(moved)
 
 
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """Return (node, component): each node of an edge with the smallest node it reaches.
 
     Each round is a few joins and grouped minima over long keys; its edges are written
-    to the shared folder, so nothing is gathered on the driver and no lineage grows. The
+    to the shared folder, so nothing is gathered on the driver and no lineage grows. Nodes with a
+    great share of all edges are joined by broadcast, so a hub is no single task. The
     number of rounds grows with the logarithm of the longest path. Null ends and loops
     are ignored; no edges give no rows.
     """
@@ -43,7 +44,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        now = materialize(_small_star(_large_star(now).distinct()).distinct(), "components")
+        stars = materialize(_large_star(now, before[0]).distinct(), "stars")
+        now = materialize(_small_star(stars, before[0]).distinct(), "components")
         after = _mark(now)
         if after == before:
             break

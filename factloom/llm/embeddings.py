@@ -8,12 +8,14 @@ cosine in double precision. The number of codes grows with the table, so a cell
 vectors at any size.
 
 Equal vectors are one vector of the index. A cell's visitors and members are dealt into blocks of
-bounded size; a block gives counts per vector and at most one link per vector, so a crowd of near
-copies never becomes all its pairs.
+bounded size; a block gives counts per vector, and links each vector to the least one that it reaches
+within the block. So all that a block joins stays joined, and a crowd of near copies never becomes all
+its pairs.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -22,13 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 from .components import connected_components
 
 #: The most vectors that codebooks and the number of visits are fitted on.
 SAMPLE = 20_000
 PER_CELL = 64
 VISITORS, MEMBERS = 4_096, 2_048
+#: Places (rows times cells that could be next) that a task orders at once.
+SLAB = 8_000_000
+LINKS = "node bigint, links bigint, to bigint"
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -70,22 +75,27 @@ class MultiIndex:
         Cell (i-th nearest, j-th nearest) comes after at least (i + 1)(j + 1) - 1 others, so only
         those with (i + 1)(j + 1) <= count can be among them.
         """
-        a, b = self.tables(units)
-        width = b.shape[1]
-        count = min(count, a.shape[1] * width)
-        pairs = [(i, j) for i in range(min(count, a.shape[1])) for j in range(min(count // (i + 1), width))]
+        height, width = (len(b) for b in self.books)
+        count = min(count, height * width)
+        pairs = [(i, j) for i in range(min(count, height)) for j in range(min(count // (i + 1), width))]
         i, j = np.array(pairs).T
-        order_a, order_b = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
-        near_a, near_b = np.take_along_axis(a, order_a, axis=1), np.take_along_axis(b, order_b, axis=1)
-        best = np.argsort(near_a[:, i] + near_b[:, j], axis=1, kind="stable")[:, :count]
-        return np.take_along_axis(order_a, i[best], axis=1) * width + np.take_along_axis(order_b, j[best], axis=1)
+        out = np.empty((len(units), count), dtype=np.int64)
+        step = max(1, SLAB // max(len(pairs), height + width))
+        for at in range(0, len(units), step):
+            a, b = self.tables(units[at : at + step])
+            order_a, order_b = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
+            near_a, near_b = np.take_along_axis(a, order_a, axis=1), np.take_along_axis(b, order_b, axis=1)
+            best = np.argsort(near_a[:, i] + near_b[:, j], axis=1, kind="stable")[:, :count]
+            out[at : at + step] = np.take_along_axis(order_a, i[best], axis=1) * width + np.take_along_axis(order_b, j[best], axis=1)
+        return out
 
 
 def fit(sample: np.ndarray, total: int, threshold: float, recall: float, seed: int = 11) -> tuple[MultiIndex, int]:
     """An index for ``total`` vectors, and how many cells to visit.
 
     The visits are those that find ``recall`` of copies turned to exactly the threshold, the
-    hardest pairs that count, each from either side.
+    hardest pairs that count, each from either side. The order is followed twice as far until
+    it is enough, to the whole grid if need be, where nothing is missed.
     """
     codes = max(1, min(4_096, math.isqrt(max(1, total // PER_CELL)), len(sample)))
     half = (sample.shape[1] + 1) // 2
@@ -98,11 +108,14 @@ def fit(sample: np.ndarray, total: int, threshold: float, recall: float, seed: i
     angle = math.acos(min(threshold + 0.005, 1.0))
     y = math.cos(angle) * x + math.sin(angle) * noise / np.where(length > 0, length, 1)
     grid = index.books[0].shape[0] * index.books[1].shape[0]
-    most = min(grid, 256)
-    at_x, at_y = index.visits(x, most), index.visits(y, most)
-    place = lambda seen, home: np.where((hit := seen == home[:, None]).any(axis=1), hit.argmax(axis=1), most)
-    needed = np.minimum(place(at_x, at_y[:, 0]), place(at_y, at_x[:, 0])) + 1
-    return index, int(min(most, np.quantile(needed, recall, method="higher")))
+    place = lambda seen, home: np.where((hit := seen == home[:, None]).any(axis=1), hit.argmax(axis=1), seen.shape[1])
+    home_x, home_y, most = index.visits(x, 1)[:, 0], index.visits(y, 1)[:, 0], min(grid, 128)
+    while True:
+        needed = np.minimum(place(index.visits(x, most), home_y), place(index.visits(y, most), home_x)) + 1
+        count = int(np.quantile(needed, recall, method="higher"))
+        if count <= most:
+            return index, count
+        most = min(grid, 2 * most)
 
 
 def _assign(index: MultiIndex, count: int):
@@ -117,6 +130,26 @@ def _assign(index: MultiIndex, count: int):
     return run
 
 
+def joined(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each row and of each column, where true entries join a row with a column.
+
+    Breadth first, and each row and column is met once, so it takes time in proportion to the matrix.
+    """
+    rows, columns = np.where(near.any(axis=1), -1, np.arange(near.shape[0])), np.full(near.shape[1], -1)
+    for first in range(near.shape[0]):
+        if rows[first] >= 0:
+            continue
+        rows[first], at = first, np.array([first])
+        while len(at):
+            free = np.flatnonzero(columns < 0)
+            across = free[near[np.ix_(at, free)].any(axis=0)]
+            columns[across] = first
+            left = np.flatnonzero(rows < 0)
+            at = left[near[np.ix_(left, across)].any(axis=1)]
+            rows[at] = first
+    return rows, columns
+
+
 def _block(threshold: float):
     """For applyInPandas: the links between one block's visitors and its cell's members."""
 
@@ -131,18 +164,23 @@ def _block(threshold: float):
         visits_m = np.vstack(m["visits"].to_numpy())
         home_q = np.array([v[0] for v in q["visits"]])
         links_q, links_m = np.zeros(len(q), dtype=np.int64), np.zeros(len(m), dtype=np.int64)
-        least_q, least_m = ids_q.copy(), ids_m.copy()
+        near = np.empty((len(q), len(m)), dtype=bool)
         for a in range(0, len(q), 512):
             part = slice(a, a + 512)
-            near = (unit_q[part] @ unit_m.T >= threshold) & (ids_q[part][:, None] != ids_m)
-            i, j = np.nonzero(near)
+            same = ids_q[part][:, None] == ids_m
+            near[part] = (unit_q[part] @ unit_m.T >= threshold) | same
+            i, j = np.nonzero(near[part] & ~same)
             np.add.at(links_q, i + a, copies_m[j])
             # what a member finds itself, when it visits, isn't counted for it again
             unseen = ~(visits_m[j] == home_q[part][i][:, None]).any(axis=1)
             np.add.at(links_m, j[unseen], copies_q[part][i[unseen]])
-            np.minimum.at(least_q, i + a, ids_m[j])
-            np.minimum.at(least_m, j, ids_q[part][i])
-        out = pd.DataFrame({"node": np.concatenate([ids_q, ids_m]), "links": np.concatenate([links_q, links_m]), "to": np.concatenate([least_q, least_m])})
+        # the least id of each part, for all its rows and columns
+        part_q, part_m = joined(near)
+        part_m = np.where(part_m < 0, len(q) + np.arange(len(m)), part_m)
+        parts, ids = np.concatenate([part_q, part_m]), np.concatenate([ids_q, ids_m])
+        least = np.full(len(q) + len(m), np.iinfo(np.int64).max)
+        np.minimum.at(least, parts, ids)
+        out = pd.DataFrame({"node": ids, "links": np.concatenate([links_q, links_m]), "to": least[parts]})
         return out[(out["links"] > 0) | (out["to"] < out["node"])]
 
     return run
@@ -151,36 +189,42 @@ def _block(threshold: float):
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.99, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    vectors: vec_id (distinct integers), embedding (array of numbers). n_links counts the other
-    vectors found with a cosine of ``threshold`` or more (none below it counts); component_id is the
+    vectors: vec_id (distinct integers), embedding (array of numbers); other columns are ignored. n_links counts the other
+    vectors found with a cosine of ``threshold`` or more (none below it counts), equal ones included; component_id is the
     smallest vec_id that links reach; kept is whether that is the row's own. Vectors that are null, empty, zero or hold
-    null or non-finite components link with nothing; vectors of another length than most are
-    compared with their own length only. The index is fitted on at most SAMPLE vectors, those with
-    the smallest hashes; all vectors are indexed and all are queries.
+    null or non-finite components, and rows without an id, link with nothing; vectors are compared with those of their own length
+    only. The index is fitted on at most SAMPLE vectors, those with
+    the smallest hashes; all vectors are indexed and all are queries. Lengths other than the commonest that have at most MEMBERS
+    vectors need no index: each is one block, all of them in one job. No vectors give no rows.
     """
-    v = F.transform(F.col(column), lambda x: x.cast("double"))
+    v = F.transform(F.col(column), lambda x: x.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
     rows = vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), v.alias("vector"))
     fine = F.size("vector") > 0
     fine = fine & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    usable = F.coalesce(fine & F.when(fine, (norm > 0) & (norm < float("inf"))).otherwise(False), F.lit(False))
-    known = materialize(rows.select("vec_id", F.when(usable, F.col("vector")).alias("vector"), F.when(usable, F.size("vector")).alias("dims")), "vectors")
-    # the array itself, as text, tells vectors apart; -0.0 and 0.0 may differ, which only leaves two equal vectors apart
-    distinct = materialize(known.where("vector is not null and vec_id is not null").groupBy("dims", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "distinct-vectors")
-    found = None
-    for r in distinct.groupBy("dims").count().orderBy("dims").collect():
-        each = _links(distinct.where(F.col("dims") == r["dims"]), r["count"], threshold, recall)
-        found = each if found is None else found.unionByName(each)
-    if found is None:
-        return known.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = materialize(found, "vector-links")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("to < node").select(F.col("node").alias("src"), F.col("to").alias("dst")))
-    nodes = distinct.join(links, "node", "left").join(parts, "node", "left")
-    labelled = nodes.select("dims", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    joined = known.join(labelled, ["dims", "vector"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    usable = F.coalesce(fine & F.when(fine, (norm > 0) & (norm < float("inf"))).otherwise(False), F.lit(False)) & F.col("vec_id").isNotNull()
+    known = rows.select("vec_id", F.when(usable, F.col("vector")).alias("vector"), F.when(usable, F.size("vector")).alias("dims"))
+    # 128 bits tell vectors apart where only ids matter
+    known = materialize(known.withColumns({"k1": F.when(usable, F.xxhash64("vector")), "k2": F.when(usable, F.xxhash64(F.lit("second"), "vector"))}), "vectors")
+    distinct = materialize(known.where("vector is not null").groupBy("dims", "vector", "k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "distinct-vectors")
+    lengths = {r["dims"]: r["count"] for r in distinct.groupBy("dims").count().collect()}
+    alone = known.where("vector is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    if not lengths:
+        return alone
+    most = max(lengths, key=lambda d: (lengths[d], d))
+    indexed = [d for d in sorted(lengths) if d == most or lengths[d] > MEMBERS]
+    found = [_links(distinct.where(F.col("dims") == d), lengths[d], threshold, recall) for d in indexed]
+    if len(indexed) < len(lengths):
+        few = distinct.where(~F.col("dims").isin(indexed)).select(F.col("dims").alias("cell"), "node", "copies", "vector", F.array(F.lit(0)).alias("visits"))
+        both = few.withColumn("member", F.explode(F.array(F.lit(True), F.lit(False))))
+        found.append(both.groupBy("cell").applyInPandas(_block(threshold), LINKS))
+    links = materialize(functools.reduce(DataFrame.unionByName, found), "vector-links")
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
+    parts = connected_components(links.where("to < node").select(F.col("node").alias("src"), F.col("to").alias("dst")))
+    nodes = distinct.join(counts, "node", "left").join(parts, "node", "left")
+    labelled = materialize(nodes.select("k1", "k2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"), F.coalesce("component", "node").alias("component_id")), "labelled")
+    every = join_counted(known.where("vector is not null").select("vec_id", "k1", "k2"), labelled, ["k1", "k2"], "copies", sum(lengths.values()), "inner")
+    return every.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionByName(alone)
 
 
 def _links(distinct: DataFrame, total: int, threshold: float, recall: float) -> DataFrame:
@@ -198,4 +242,4 @@ def _links(distinct: DataFrame, total: int, threshold: float, recall: float) ->
     members = placed.withColumn("cell", F.col("visits")[0]).join(cells, "cell").select("cell", own(F.col("m")).alias("m"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("q"), F.lit(True).alias("member"), "node", "copies", "vector", "visits")
     guests = placed.select("node", "copies", "vector", "visits", F.explode("visits").alias("cell")).join(cells, "cell")
     guests = guests.select("cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("m"), own(F.col("q")).alias("q"), F.lit(False).alias("member"), "node", "copies", "vector", F.slice("visits", 1, 1).alias("visits"))
-    return members.unionByName(guests).groupBy("cell", "m", "q").applyInPandas(_block(threshold), "node bigint, links bigint, to bigint")
+    return members.unionByName(guests).groupBy("cell", "m", "q").applyInPandas(_block(threshold), LINKS)
