@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,11 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
 
+#: White space in a row that the faster library, which backtracks over it, isn't given (it fails at some 700,000).
+LONG_RUN = 100_000
+
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 SPECIAL = "<|endoftext|>"
 
@@ -32,8 +36,8 @@ def _encoder(json_path: str, ranks_path: str | None):
     """A function from text to ids.
 
     The ranks file holds the same vocabulary for a faster library; a text with the special
-    token's own string, or with a run that is long enough to be slow there, takes the
-    tokenizer of the JSON file.
+    token's own string, or with LONG_RUN white-space characters in a row, takes the
+    tokenizer of the JSON file, whose ids are the same.
     """
     from tokenizers import Tokenizer
 
@@ -52,11 +56,16 @@ def _encoder(json_path: str, ranks_path: str | None):
     fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        return plain(text) if SPECIAL in text else fast.encode_ordinary(text)
+        return plain(text) if SPECIAL in text or long_space(text) else fast.encode_ordinary(text)
 
     return encode
 
 
+def long_space(text: str) -> bool:
+    """Whether LONG_RUN white-space characters stand in a row, in time proportional to the text."""
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in re.finditer(r"\s+", text))
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: all as long as a sequence but the first."""
     if n <= capacity:
@@ -185,11 +194,14 @@ def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = Non
 def sequence_tokens(docs: DataFrame, packed: DataFrame, json_path: str, ranks_path: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids (at most ``capacity``), for training.
 
-    docs must have distinct ids. A sequence's pieces meet in one group of at most
+    An id may repeat, or be null, as after mixing: pieces are matched by id, place, length and crc32, and
+    each row of ``packed`` gets its ids once. A sequence's pieces meet in one group of at most
     ``capacity`` tokens.
     """
-    ids = tokenize(docs, json_path, ranks_path, capacity, end_id, with_ids=True).select("doc_id", "piece", "ids")
-    joined = packed.join(ids, ["doc_id", "piece"])
+    keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    ids = tokenize(docs, json_path, ranks_path, capacity, end_id, with_ids=True).dropDuplicates(keys)
+    same = functools.reduce(Column.__and__, [packed[k].eqNullSafe(ids[k]) for k in keys])
+    joined = packed.join(ids, same).select("sequence_id", "offset", "ids")
     return joined.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
