@@ -48,6 +48,21 @@ def test_ids_are_those_of_the_tokenizer():
         assert fast(text) == slow(text)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000 + "end", "start" + " \n\t" * 400_000 + "end", "x " + "\u00a0" * 800_000, "!" * 1_000_000, "1" * 1_000_000, "a b " * 200_000], ids=["spaces", "newlines", "mixed", "wide", "signs", "digits", "words"])
+def test_long_runs_are_tokenised(text):
+    files = queries.tokenizer_files()
+    assert packing._encoder(files["json_path"], files["ranks_path"])(text) == packing._encoder(files["json_path"], None)(text)
+
+
+def test_mixed_documents_become_sequences(spark):
+    """Repeated and null ids, as after mixing: the sequences hold each row's tokens once."""
+    files = queries.tokenizer_files()
+    docs = spark.createDataFrame([(1, "some words of one text")] * 3 + [(None, "no id here")] * 2 + [(2, "other " * 1_500), (2, "another text")], "doc_id bigint, text string")
+    packed = packing.pack_documents(docs, **files)
+    sequences = packing.sequence_tokens(docs, packed, **files).collect()
+    assert sum(len(r.ids) for r in sequences) == sum(r.length for r in packed.collect()) and all(len(r.ids) <= 1024 for r in sequences)
+
+
 def test_fingerprints(spark, odd, empty):
     rows = fingerprints.edited_pairs(odd).collect()
     assert len(rows) == 11 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
@@ -209,6 +224,16 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd).count() == sum(r.copies for r in rows)
 
 
+def test_mixing_clashing_columns(spark):
+    """Columns with the names of those that are added: the plan replaces them, the mix keeps them."""
+    names = ["size", "source_size", "target", "rate", "copies", "copy", "weight", "limit", "level", "_row"]
+    docs = spark.createDataFrame([(k, "a b c", "s" if k % 3 else "t", *[f"{n}{k}" for n in names]) for k in range(12)], "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    rows = mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "rate", "copies", "copy", "level").collect()
+    assert all((r["size"], r["copy"], r["level"]) == (3, f"copy{r.doc_id}", f"level{r.doc_id}") and isinstance(r.target, float) for r in rows)
+    out = mixing.mix(docs).collect()
+    assert len(out) == sum(r.copies for r in rows) and all(r.rate == f"rate{r.doc_id}" and r["copies"] == f"copies{r.doc_id}" and r["_row"] == f"_row{r.doc_id}" for r in out)
+
+
 def test_urls(spark):
     rows = ["http://NET/x", "https://a.net", "http://a.example.net/en/?q", "ftp://example.com/de/x#y", "http://u.org/fr/", "http://x.org/de/", None, "no url", "http://", "a://b://c.net/"]
     df = spark.createDataFrame([(k, u, "<p>fine words here</p>", "h", 1) for k, u in enumerate(rows)], "page_id bigint, url string, html string, host string, n int")
