@@ -16,15 +16,17 @@ from .features import featurize, few, toxic_features, training_labels
 #: The most labelled rows that the model learns from, and the most words in its lexicon.
 SAMPLE, LEXICON = 20_000, 5_000
 LEAST_DOCS, LEAST_WEIGHT = 3, 1.0
+#: How much of the score the trees' own probability is, within a step of the calibration.
+TIE = 1e-6
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, size: int = LEXICON) -> dict[str, tuple[float, ...]]:
     """Words that mark toxic documents: word -> its weight by fold of the reader.
 
     labels: (doc_id, label) training rows. A word's weight is the smoothed log ratio of its document
-    rates among toxic and other rows. Weight 0 of the tuple counts all rows; weight f leaves out
-    those of fold f, and is what a document of fold f sees, so no document's own label
-    shapes its features. Words are counted in Spark; only the ``size`` words that mark most come here.
+    rates among toxic and other rows. Weight 0 of the tuple counts all rows and is what scores use; weight f leaves out
+    those of fold f, and is what a row of fold f is learned from, so no row's own label
+    shapes the features that it is learned from. Words are counted in Spark; only the ``size`` words that mark most come here.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))
@@ -52,22 +54,23 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, size: int = LEXICON) -> di
 def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of each row of docs.
 
-    docs: doc_id (integer), text (null counts as empty); nothing else is looked at. labels: doc_id, toxic. The trees
+    docs: doc_id (integer), text (null counts as empty); only the text is an input of the score, so equal
+    texts get equal scores. labels: doc_id, toxic. The trees
     learn from at most about ``bound`` labelled rows, with crc32(doc_id as text) mod 5
-    of 1 to 3; the calibration from those with 4; rows with 0 only get scores. Without rows
+    of 1 to 3; the calibration from those with 4; rows with 0 only get scores. A labelled row's features
+    for learning come from a lexicon without its own fold, those for scores from the whole one. The score is the
+    isotonic step of the trees' probability, which moves it by a millionth so that order within a step stays. Without rows
     of both labels every score is the share of toxic ones, 0 if there are none.
     """
     known = materialize(training_labels(labels, "toxic", bound), "toxic-labels")
     lexicon = learn_lexicon(docs, few(known, bound))
-
     by_fold = [{w: x[f] for w, x in lexicon.items() if x[f] > 0} for f in range(5)]
 
-    def features(text: str, fold: int) -> list[float]:
-        return toxic_features(text, by_fold[fold])
-
-    table = materialize(featurize(docs, features), "toxic-features")
-    rows = table.join(few(known, bound), "doc_id").select("label", array_to_vector("features").alias("features"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 4).alias("later"))
-    rows = materialize(rows.repartition(max(1, bound // 5000)), "toxic-rows")  # a few parts: each tree takes several small jobs
+    table = materialize(featurize(docs, lambda text, _: toxic_features(text, by_fold[0])), "toxic-features")
+    labelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(few(known, bound), "doc_id")
+    learning = featurize(labelled.repartition(max(1, bound // 1_000), F.xxhash64("doc_id", "text")), lambda text, fold: toxic_features(text, by_fold[fold]))
+    rows = learning.join(few(known, bound), "doc_id").select("label", array_to_vector("features").alias("features"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 4).alias("later"))
+    rows = materialize(rows.coalesce(max(1, bound // 5000)), "toxic-rows")  # a few parts: each tree takes several small jobs
     kinds = {(r["later"], r["label"]): r["count"] for r in rows.groupBy("later", "label").count().collect()}
     ready = table.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), array_to_vector("features").alias("features"))
     if not all(kinds.get((False, x)) for x in (0.0, 1.0)):
@@ -80,8 +83,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, thre
         scored = trees.transform(ready).withColumn("p", chance)
         if all(kinds.get((True, x), 0) >= 3 for x in (0.0, 1.0)):
             steps = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="step").fit(later)
-            # the trees' own probability keeps the order within a step
-            scored = steps.transform(scored).withColumn("score", 0.9 * F.col("step") + 0.1 * F.col("p"))
+            scored = steps.transform(scored).withColumn("score", (1 - TIE) * F.col("step") + TIE * F.col("p"))
         else:
             scored = scored.withColumn("score", F.col("p"))
     score = F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0))
