@@ -2,18 +2,19 @@
 
 Two operators share the search below:
 
-* ``near_duplicates`` links 64-bit fingerprints at up to a few differing bits and misses none.
-  The references of a block are all its prefixes of ones, compared on that block alone;
-  the distances to them say all about the block and nothing else, so two fingerprints
-  agree in a block exactly where its column of the table agrees, and the block's bits stand
-  for that column. Of ``max_distance + 3`` blocks at most ``max_distance`` differ between linked
-  fingerprints, so they agree in the columns of some three blocks: the key of an equi-join.
+* ``near_duplicates`` links 64-bit fingerprints at up to a few differing bits and misses none. The
+  table holds each fingerprint's distances to 49 references: the zero fingerprint, one for each
+  of 32 pairs of neighbouring bits with ones there, and 16 pseudo-random ones. A distance to a pair's
+  reference less that to zero is a coordinate of 0, 1 or 2 (shifted). Changing a bit changes one of
+  these 32 coordinates, so linked fingerprints differ in at most ``max_distance`` of them and agree
+  in all coordinates of some a of ``max_distance`` + a groups: those are the keys of
+  an equi-join, with a = 3 shared by chance by about 1 in 6 million each, and a grows with the table. Nothing of the fingerprints but these distances is in a key.
 * ``similar_documents`` links documents whose five-word shingles are similar to 0.8 or more,
   which differ in far more bits, and holds each link against the shingles themselves. Its keys are least hashes
   of the set of shingles, which a pair shares with the probability of its similarity for any kind of
   edit; there are as many as a pair at that similarity needs to meet with the probability asked for.
 
-In both, a key's members are compared through the pivot table: the distances to eight
+In both, a key's members are compared through the pivot table: the distances to the 16
 pseudo-random references over all bits. By the triangle inequality, pairs whose distances to any of
 these differ by more than the limit can't be linked and are discarded by the largest coordinate
 difference; only survivors are compared bit by bit. Large keys are searched
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import join_counted, materialize, text_or_empty
 from .components import connected_components
 
 UPPER = bytes(range(65, 91))
@@ -46,6 +47,8 @@ SLAB = 200_000
 
 
 SMALL = 8
+#: Nodes whose keys a task takes, where there are more than the session's shuffle partitions hold.
+PER_TASK = 200_000
 
 #: Least hashes in a key of ``similar_documents``.
 ROWS = 5
@@ -132,10 +135,8 @@ def least_hash_keys(shingles: np.ndarray, tables: int, rows: int = ROWS, seed: i
         return _stir(least.sum(axis=1, dtype=np.uint64) + np.arange(tables, dtype=np.uint64)).view(np.int64)
 
 
-def _blocks(count: int) -> list[int]:
-    """Bit masks of ``count`` blocks of nearly equal width."""
-    edges = [64 * k // count for k in range(count + 1)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(edges)]
+#: References with ones in one pair of neighbouring bits each, and pseudo-random references.
+PAIRS, RANDOM = 32, 16
 
 
 def _signed(x: int) -> int:
@@ -143,7 +144,7 @@ def _signed(x: int) -> int:
 
 
 def pivot_table(*fp: Column) -> Column:
-    """The distances to eight references over all bits, one in each byte of a long (distances
+    """The distances to RANDOM references over all bits, one in each byte of an array of longs (distances
     above 255 count as 255, which keeps the triangle inequality's bound)."""
 
     def distance(k: int) -> Column:
@@ -151,13 +152,39 @@ def pivot_table(*fp: Column) -> Column:
         parts = [F.bit_count(x.bitwiseXOR(F.lit(r))) for x, r in zip(fp, reference, strict=True)]
         return F.least(functools.reduce(Column.__add__, parts), F.lit(255)).cast("bigint")
 
-    return functools.reduce(Column.bitwiseOR, [F.shiftleft(distance(k), 8 * k) for k in range(8)])
+    eight = lambda first: functools.reduce(Column.bitwiseOR, [F.shiftleft(distance(first + k), 8 * k) for k in range(8)])
+    return F.array(*[eight(first) for first in range(0, RANDOM, 8)])
 
 
-def block_keys(fp: Column, max_distance: int, agreeing: int = 3) -> Column:
-    """An array of a hash for each choice of ``agreeing`` blocks and their columns of the table."""
-    chosen = [sum(c) for c in itertools.combinations(_blocks(max_distance + agreeing), agreeing)]
-    return F.array(*[F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(chosen)])
+def pair_coordinates(fp: Column) -> Column:
+    """The distances to the pairs' references less that to zero, each halved and counted from its largest: 2 bits each in a long.
+
+    With d the distance: d(fp, pair) - d(fp, 0) is 2, 0 or -2, as none, one or both of the pair's
+    bits are set; kept is (2 - that) / 2. All 32 at once: both bits set, else one of them.
+    """
+    upper, lower = F.shiftrightunsigned(fp, 1), F.lit(_signed(0x5555555555555555))
+    return F.shiftleft(upper.bitwiseAND(fp).bitwiseAND(lower), 1).bitwiseOR(upper.bitwiseXOR(fp).bitwiseAND(lower))
+
+
+def planned_agreeing(nodes: int, max_distance: int, chance: float = 100.0) -> int:
+    """Groups in a key, 3 to 6: the fewest with which a fingerprint meets at most ``chance`` others by chance.
+
+    Two coordinates are equal by chance at 3 in 8. More groups give more keys; any number misses nothing.
+    """
+    for agreeing in range(3, 7):
+        groups = max_distance + agreeing
+        if nodes * math.comb(groups, agreeing) * 0.375 ** (PAIRS * agreeing / groups) <= chance:
+            break
+    return agreeing
+
+
+def coordinate_keys(coordinates: Column, max_distance: int, agreeing: int = 3) -> Column:
+    """An array of a hash for each choice of ``agreeing`` groups of coordinates, and these."""
+    groups = max_distance + agreeing
+    edges = [2 * (PAIRS * k // groups) for k in range(groups + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(edges)]
+    chosen = [sum(c) for c in itertools.combinations(masks, agreeing)]
+    return F.array(*[F.xxhash64(F.lit(k), coordinates.bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(chosen)])
 
 
 def _near(a: np.ndarray, b: np.ndarray, pivots_a: np.ndarray, pivots_b: np.ndarray, limit: int) -> np.ndarray:
@@ -189,7 +216,9 @@ def linked_groups(ids: np.ndarray, fps: np.ndarray, pivots: np.ndarray, limit: i
 
 def _search(limit: int, parts: int):
     """For mapInPandas over rows sorted by key: the links within each run of a key."""
-    names = ["key", "node", "pivots", *[f"f{k}" for k in range(parts)]]
+    pivot_columns = [f"p{k}" for k in range(RANDOM // 8)]
+    names = ["key", "node", *pivot_columns, *[f"f{k}" for k in range(parts)]]
+    wide = 2 + len(pivot_columns)
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         kept: list[np.ndarray] = []  # of the last key, whose run may go on in the next batch
@@ -212,8 +241,8 @@ def _search(limit: int, parts: int):
             key, ids = rows[:, 0], rows[:, 1]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.array([], dtype=int)
             sizes = np.diff(np.append(starts, len(key)))
-            fps = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
-            pivots = np.ascontiguousarray(rows[:, 2]).view(np.uint8).reshape(-1, 8).astype(np.int16)
+            fps = np.ascontiguousarray(rows[:, wide:]).view(np.uint64)
+            pivots = np.ascontiguousarray(rows[:, 2:wide]).view(np.uint8).reshape(len(rows), -1).astype(np.int16)
             few = np.repeat(sizes <= SMALL, sizes)
             src, dst = [], []
             for step in range(1, min(SMALL, len(key))):  # small keys: all their rows at once
@@ -238,8 +267,10 @@ def fingerprint_links(prints: DataFrame, keys: Column, limit: int, chunk: int =
     prints: a written table of node (a distinct long) and fingerprint words f0, f1 ...
     """
     words = sorted(c for c in prints.columns if c.startswith("f"))
-    columns = ["key", "node", "pivots", *words]
-    keyed = prints.select("node", *words, pivot_table(*map(F.col, words)).alias("pivots"), F.explode(keys).alias("key")).select(columns)
+    table = prints.withColumn("pivots", pivot_table(*map(F.col, words)))
+    pivots = [F.col("pivots")[k].alias(f"p{k}") for k in range(RANDOM // 8)]
+    columns = ["key", "node", *[f"p{k}" for k in range(RANDOM // 8)], *words]
+    keyed = table.select("node", *words, *pivots, F.explode(keys).alias("key")).select(columns)
     crowded = materialize(prints.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "crowded")
     if crowded.limit(1).count():
         chunks = F.ceil(F.col("n") / chunk).cast("int")
@@ -247,20 +278,22 @@ def fingerprint_links(prints: DataFrame, keys: Column, limit: int, chunk: int =
         many = each.where("n is not null").withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
         many = many.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
         keyed = each.where("n is null").select(columns).unionByName(many.select(columns))
-    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() // PER_TASK))
     return keyed.repartition(tasks, "key").sortWithinPartitions("key").mapInPandas(_search(limit, len(words)), "src bigint, dst bigint").distinct()
 
 
-def _grouped(prints: DataFrame, words: list[str], keys: Column, limit: int, chunk: int) -> DataFrame:
-    """Add component_id to a written table of doc_id and fingerprint words.
+def _grouped(prints: DataFrame, limit: int, chunk: int) -> DataFrame:
+    """Add component_id to a written table of doc_id and fp.
 
     Equal fingerprints are one node, the least doc_id that has it.
     """
-    nodes = materialize(prints.where("doc_id is not null").groupBy(prints.columns[1:]).agg(F.min("doc_id").alias("node")), "fingerprints")
-    search = nodes.select("node", *[F.col(w).alias(f"f{k}") for k, w in enumerate(words)], *[c for c in prints.columns[1:] if c not in words])
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "fingerprints")
+    search = nodes.where("node is not null").select("node", F.col("fp").alias("f0"))
+    keys = coordinate_keys(pair_coordinates(F.col("f0")), limit, planned_agreeing(nodes.count(), limit))
     parts = materialize(connected_components(fingerprint_links(search, keys, limit, chunk)), "parts")
-    labelled = nodes.join(parts, "node", "left").withColumn("component_id", F.coalesce("component", "node")).drop("component", "node")
-    return prints.join(labelled, prints.columns[1:], "left")
+    labelled = materialize(nodes.join(parts, "node", "left").withColumn("component_id", F.coalesce("component", "node")).drop("component", "node"), "labelled")
+    total = labelled.agg(F.sum("copies")).first()[0] or 0
+    return join_counted(prints, labelled, ["fp"], "copies", total)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_distance: int = 3, seed: int = 42, chunk: int = 16_384) -> DataFrame:
@@ -277,7 +310,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_distance: int = 3, seed
     gets the component of the rows with an id that share its fingerprint, else null.
     """
     prints = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), simhash(text_or_empty(), width, seed).alias("fp")), "simhash")
-    grouped = _grouped(prints, ["fp"], block_keys(F.col("f0"), max_distance), max_distance, chunk)
+    grouped = _grouped(prints, max_distance, chunk)
     return grouped.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -105,6 +105,44 @@ def test_simhash_crowd(spark):
         assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df, chunk=chunk).collect()} == want
 
 
+def test_pivot_coordinates(spark):
+    """The packed coordinates are those of Hamming distances to the references, computed plainly; linked fingerprints share
+    a key, and distances bound the difference in bits."""
+    import random
+
+    pick = random.Random(9)
+    values = [0, 2**64 - 1, 1 << 63, *(pick.getrandbits(64) for _ in range(200))]
+    near = [v ^ sum(1 << b for b in pick.sample(range(64), pick.randrange(4))) for v in values]
+    F = simhash.F
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(k, signed(a), signed(b)) for k, (a, b) in enumerate(zip(values, near, strict=True))], "k int, a bigint, b bigint")
+    keys = lambda c: F.concat(*[simhash.coordinate_keys(simhash.pair_coordinates(F.col(c)), 3, a) for a in (3, 5)])
+    rows = df.select("k", simhash.pair_coordinates(F.col("a")).alias("c"), F.size(F.array_intersect(keys("a"), keys("b"))).alias("shared"), simhash.pivot_table(F.col("a")).alias("pa"), simhash.pivot_table(F.col("b")).alias("pb")).collect()
+    for r in rows:
+        x = values[r.k]
+        d = lambda y, x=x: (x ^ y).bit_count()
+        want = [(2 - (d(3 << 2 * j) - d(0))) // 2 for j in range(32)]
+        assert [r.c % 2**64 >> 2 * j & 3 for j in range(32)] == want and r.shared > 0
+        table = lambda p: [v % 2**64 >> 8 * k & 255 for v in p for k in range(8)]
+        assert max(abs(p - q) for p, q in zip(table(r.pa), table(r.pb), strict=True)) <= (x ^ near[r.k]).bit_count() and len(table(r.pa)) == 16
+
+
+def test_simhash_links_planted_bits(spark):
+    """Fingerprints planted at 0 to 5 bits from each other: exactly those at 3 or fewer are linked."""
+    import itertools
+    import random
+
+    pick = random.Random(10)
+    prints = [pick.getrandbits(64) for _ in range(150)]
+    prints += [p ^ sum(1 << b for b in pick.sample(range(64), k % 6)) for k, p in enumerate(prints)]
+    ids = list(range(len(prints)))
+    pick.shuffle(ids)
+    df = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in zip(ids, prints, strict=True)], "doc_id bigint, fp bigint")
+    want = plain.components(ids, ((ids[a], ids[b]) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 3))
+    assert {r.doc_id: r.component_id for r in simhash._grouped(df, 3, 16_384).collect()} == want
+    assert [simhash.planned_agreeing(n, 3) for n in (0, 10**6, 10**8, 10**11)] == [3, 3, 4, 6]
+
+
 def test_similar_documents_finds_near_copies(spark):
     import random
 
