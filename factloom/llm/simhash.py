@@ -348,24 +348,29 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> Iterator[np.nda
             yield np.array(found)
 
 
+#: A column whose equality is that of doc_id, null included.
+def _row_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_signed(1 << 63)))
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, chunk: int = 4_096, chars: int = 16_000_000) -> DataFrame:
     """(src, dst), src < dst: links that join all nodes whose texts a chain joins of pairs within a
     part whose sets of shingles have this similarity.
 
-    nodes: doc_id, mark (XXH64 of the text, of the rows with this id), chars and part. A part with more
+    nodes: node, doc_id, mark (XXH64 of the text, of the rows with this id), chars and part. A part with more
     than ``chunk`` nodes or ``chars`` characters is cut in chunks, and each two are compared in a task.
     """
     sizes = nodes.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("chars") / chars)).cast("int").alias("chunks"))
     many = F.col("chunks") > 1
-    each = nodes.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
+    each = nodes.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     key = F.when(many, F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.xxhash64("part"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("mark", F.xxhash64("text"))
-    keyed = texts.join(each.select("doc_id", "mark", key.alias("key")), ["doc_id", "mark"])
+    texts = docs.select(_row_id().alias("row"), text_or_empty().alias("text")).withColumn("mark", F.xxhash64("text"))
+    keyed = texts.join(each.select(_row_id().alias("row"), "mark", "node", key.alias("key")), ["row", "mark"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["doc_id", "mark"])
-        ids = group["doc_id"].to_numpy(dtype=np.int64)
+        group = group.drop_duplicates("node")
+        ids = group["node"].to_numpy(dtype=np.int64)
         links = [(min(ids[g]), ids[g]) for g in similar_groups([shingle_set(t, width) for t in group["text"]], similarity)]
         out = pd.DataFrame({"src": np.repeat([a for a, _ in links], [len(g) for _, g in links]), "dst": np.concatenate([g for _, g in links] or [[]])}, dtype=np.int64)
         return out[out["src"] < out["dst"]]
@@ -383,8 +388,10 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     share one of several keys of five least hashes of the set of shingles; there are as many
     keys as any pair at that similarity needs to meet with probability ``recall``.
 
-    Returns doc_id, component_id for each input row. Texts without words are alike. Ids
-    that are null get the component of rows with an id and the same fingerprint, else null.
+    Returns doc_id, mark (XXH64 of the text), component_id and keep for each input row. component_id is the smallest
+    doc_id of the row's group (null where no row of it has one). keep is true for one (doc_id, mark) of each
+    group: that with this id and, of several texts with it, the smallest mark. Rows that repeat both are all marked;
+    ``one_of_each`` leaves one of them. Texts without words are alike, and ids may be null or repeat.
     """
     parts, tables = 4, planned_tables(similarity, recall)
     names = [f"f{k}" for k in range(parts)]
@@ -397,11 +404,28 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     columns = [F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("mark"), F.length(text_or_empty()).cast("bigint").alias("chars")]
     prints = materialize(docs.select(*columns, run(text_or_empty()).alias("p")).select("doc_id", "mark", "chars", "p.*"), "wide-simhash")
-    least = F.min(F.struct("doc_id", "mark", "chars", "keys")).alias("least")
-    nodes = materialize(prints.where("doc_id is not null").groupBy(*names).agg(least).select(*names, "least.*"), "fingerprints")
-    search = nodes.withColumnRenamed("doc_id", "node")
-    loose = materialize(connected_components(fingerprint_links(search, F.col("keys"), wide_limit(similarity, 64 * parts), chunk)), "loose")
-    members = nodes.select("doc_id", "mark", "chars").join(loose.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id")
+    # a fingerprint is one node; its first row is that with the least id, null last
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark", "chars", "keys")).alias("least")
+    nodes = materialize(prints.groupBy(*names).agg(least, F.count("*").alias("copies")).select(F.xxhash64(*names).alias("node"), *names, "least.*", "copies"), "fingerprints")
+    loose = materialize(connected_components(fingerprint_links(nodes.select("node", *names, "keys"), F.col("keys"), wide_limit(similarity, 64 * parts), chunk)), "loose")
+    members = nodes.select("node", "doc_id", "mark", "chars").join(loose.select("node", F.col("component").alias("part")), "node")
     found = materialize(connected_components(similar_links(docs, members, width, similarity)), "parts")
-    labelled = nodes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*names, F.coalesce("component", "doc_id").alias("component_id"))
-    return prints.join(labelled, names, "left").select("doc_id", "component_id")
+    grouped = materialize(nodes.select("node", *names, "absent", "doc_id", "mark", "copies").join(found, "node", "left").withColumn("group", F.coalesce("component", "node")), "grouped")
+    first = grouped.groupBy("group").agg(F.min(F.struct("absent", "doc_id", "mark")).alias("first"), F.count("*").alias("n"))
+    first = materialize(first.select("group", F.col("first.doc_id").alias("component_id"), F.col("first.mark").alias("kept_mark"), "n"), "first-of-group")
+    total, nodes_total = grouped.agg(F.sum("copies"), F.count("*")).first()
+    labelled = materialize(join_counted(grouped.select(*names, "group", "copies"), first, ["group"], "n", nodes_total).drop("group"), "labelled")
+    rows = join_counted(prints.select("doc_id", "mark", *names), labelled, names, "copies", total or 0)
+    keep = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("kept_mark"))
+    return rows.select("doc_id", "mark", "component_id", keep.alias("keep"))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs of each group that ``similar_documents`` found in it."""
+    kept = materialize(groups.where("keep").groupBy(_row_id().alias("_row"), F.col("mark").alias("_mark")).agg((F.count("*") > 1).alias("_again")), "kept")
+    keys = ["_row", "_mark"]
+    marked = docs.withColumns({"_row": _row_id(), "_mark": F.xxhash64(text_or_empty())})
+    once = marked.join(kept.where("not _again").select(keys), keys, "left_semi")
+    again = kept.where("_again").select(keys)
+    out = once if not again.limit(1).count() else once.unionByName(marked.join(again, keys, "left_semi").dropDuplicates(keys))
+    return out.select(*docs.columns)

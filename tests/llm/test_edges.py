@@ -94,6 +94,17 @@ def test_simhash(spark, odd, empty):
     assert len(simhash.similar_documents(odd).collect()) == 11
 
 
+def test_one_of_each_group(spark):
+    """Repeated rows, null ids, one id with several texts: one row of each group stays, with all its columns."""
+    a, b, c, near = ("alpha " + " ".join(f"{x}{k}" for k in range(60)) for x in ("a", "b", "c", "a"))
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "y"), (None, a, "z"), (None, b, "u"), (None, b, "u"), (4, c, "v"), (4, near + " new", "w"), (5, c + " one two three four five six seven eight", "t"), (6, None, "n"), (7, " ", "n"), (8, c + " more", "q")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, mark string")
+    left = simhash.one_of_each(docs, simhash.similar_documents(docs)).collect()
+    assert sorted((str(r.doc_id), r.mark) for r in left) == [("1", "x"), ("4", "v"), ("6", "n"), ("None", "u")]
+    ids = {(r.doc_id, r.component_id) for r in simhash.similar_documents(docs).collect()}
+    assert ids == {(1, 1), (2, 1), (None, 1), (None, None), (4, 4), (4, 1), (5, 4), (6, 6), (7, 6), (8, 4)}
+
+
 def test_simhash_crowd(spark):
     """One crowded key, cut in chunks, gives the components of all pairs."""
     words = [f"w{k}" for k in range(400)]
