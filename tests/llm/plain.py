@@ -130,3 +130,30 @@ def license_base(text):
     w = license_words(text)
     found = sorted((k, label) for label, phrase in BASE.items() for k in range(len(w) - len(phrase) + 1) if w[k : k + len(phrase)] == phrase)
     return len(w), found
+
+
+def host_posteriors(outcomes, strength=20.0, z=1.645):
+    """{host: (mean, low)} of (host, domain, suffix, bad or None) by beta-binomial priors from suffix to domain to host."""
+    level = lambda at: {
+        key: [sum(o[3] is not None for o in outcomes if o[at] == key), sum(o[3] or 0 for o in outcomes if o[at] == key)] for key in {o[at] for o in outcomes}
+    }
+    hosts, domains, suffixes = level(0), level(1), level(2)
+    overall = (sum(b for _, b in hosts.values()) + 0.5) / (sum(n for n, _ in hosts.values()) + 1)
+
+    def worth(table):
+        seen = [(n, b / n) for n, b in table.values() if n > 1]
+        if len(seen) < 3:
+            return strength
+        beyond = sum((r - overall) ** 2 - overall * (1 - overall) / n for n, r in seen) / len(seen)
+        return min(100 * strength, max(1.0, overall * (1 - overall) / beyond - 1)) if beyond > 0 else 100 * strength
+
+    s1, s2, s3 = worth(suffixes), worth(domains), worth(hosts)
+    out = {}
+    for host, domain, suffix in {o[:3] for o in outcomes}:
+        (n1, b1), (n2, b2), (n3, b3) = suffixes[suffix], domains[domain], hosts[host]
+        m1 = (b1 + s1 * overall) / (n1 + s1)
+        m2 = (b2 + s2 * m1) / (n2 + s2)
+        a, b = b3 + s3 * m2, n3 - b3 + s3 * (1 - m2)
+        sd = (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
+        out[host] = a / (a + b), max(0.0, a / (a + b) - z * sd)
+    return out

@@ -302,6 +302,40 @@ def test_url_reputation(spark):
     assert mean["good.example.org"] < mean["new.example.org"] < mean["few.example.org"] < mean["bad.example.org"]
 
 
+def test_url_posteriors_equal_plain_ones(spark, monkeypatch):
+    """Many hosts of several domains, one with a third of all pages: posteriors and verdicts of a plain version, broadcast or not."""
+    import random
+
+    pick = random.Random(8)
+    rows = []
+    for h in range(60):
+        domain, rate = ("bad.com", 0.9) if h % 6 == 0 else (f"d{h % 7}.{'org.uk' if h % 2 else 'com'}", pick.random() ** 3)
+        rows += [(f"http://h{h}.{domain}/p/{k}", pick.choice([None, *[int(pick.random() < rate)] * 4])) for k in range(pick.randrange(1, 30))]
+    rows += [("http://huge.d1.org.uk/x", int(k % 9 == 0)) for k in range(1_500)] + [("http://one.bad.com/", None), (None, 1)]
+    F = urls.F
+    df = spark.createDataFrame([(*r, "own") for r in rows], "url string, bad int, _pages string")
+    where = lambda u: (u or "://").split("://")[1].split("/")[0]
+    up = lambda h: tuple(".".join(h.split(".")[-k:]) for k in ((3, 2) if h.endswith(".org.uk") else (2, 1))) if "." in h else (h, h)
+    want = plain.host_posteriors([(h := where(u), *up(h), bad) for u, bad in rows])
+    for most in (20_000, 3):
+        monkeypatch.setattr(urls, "BROADCAST_HOSTS", most)
+        got = urls.judge_urls(df.drop("_pages"), F.col("bad")).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            mean, low = want[r.host]
+            assert (r.bad_mean, r.bad_low) == pytest.approx((mean, low))
+            assert r.rule is not None or r.verdict == ("block" if low > 0.5 else "allow")
+    assert {want[h][1] > 0.5 for h in want} == {True, False}
+
+
+def test_url_outcomes(spark):
+    pages = [("http://m.casino-win.example.com/a", "<p>fine words</p>"), ("http://a.example.com/xxx/1", None), ("http://essex.example.com/alphabet", "<p>fine words</p>"), ("http://a.b/", "<script>" * 50_000 + "<" * 50_000), ("http://a.b/", None), ("http://a.b/", "<p>" + "$$$ !!! a " * 9 + "<script>if (a < b) {}")]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "k int, url string, html string")
+    host, path = urls.url_parts(urls.F.col("url"))
+    got = df.select("k", urls.page_outcome(host, path, urls.F.col("html")).alias("bad")).orderBy("k").collect()
+    assert [r.bad for r in got] == [1, 1, 0, None, None, 1]
+
+
 def test_scores_without_labels(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     for score in (quality.score_quality, toxicity.score_toxicity):
