@@ -23,7 +23,8 @@ NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: label, keyword, the license's name in words, and its identifier in words ('' if it has none of its own).
 LICENSES = [
-    ("mit", "mit", "(?:mit|expat|mit expat)", "mit"),
+    ("mit", "mit", "mit(?: expat)?", "mit"),
+    ("mit", "expat", "expat", ""),
     ("mit-0", "mit", "mit (?:no attribution|0)", "mit 0"),
     ("x11", "x11", "(?:mit )?x11", "x11"),
     ("apache-1.1", "apache", "apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?1 1", "apache 1 1"),
@@ -53,7 +54,8 @@ LICENSES = [
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)", "bsd 4 clause"),
-    ("isc", "isc", "(?:isc|internet systems consortium)", "isc"),
+    ("isc", "isc", "isc", "isc"),
+    ("isc", "internet systems", "internet systems consortium", ""),
     ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
     ("libpng", "libpng", "libpng(?: version 2)?", "libpng(?: 2 0)?"),
     ("bsl-1.0", "boost", "boost software(?: licen[sc]e)?(?:(?: version)? 1 0)?", "bsl 1 0"),
@@ -111,7 +113,8 @@ LICENSES = [
     ("elastic-2.0", "elastic", "elastic(?: licen[sc]e)? 2 0", "elastic 2 0"),
     ("json", "json", "json", "json"),
     ("beerware", "beerware", "beerware", "beerware"),
-    ("openrail-m", "openrail", "(?:creativeml |bigscience )?(?:open ?rail(?: \\+\\+)?)(?: m)?", "openrail"),
+    ("openrail-m", "openrail", "(?:creativeml |bigscience )?openrail(?: m)?", "openrail"),
+    ("openrail-m", "open rail", "(?:creativeml |bigscience )?open rail(?: m)?", ""),
     ("llama-community", "llama", "llama [23](?: [0-9])? community", ""),
 ]
 
@@ -123,9 +126,9 @@ PHRASES = [
     ("bsd-3-clause", "neither the name", "neither the name of .{1,80}? may be used to endorse or promote products"),
     ("apache-2.0", "apache org licenses", "apache org licenses license 2 0(?: txt| html)?"),
     ("apache-2.0", "you may not use this file", "you may not use this file except in compliance with the license"),
-    ("gpl", "gnu org licenses", "gnu org (?:licenses|copyleft)(?: old licenses)? gpl(?: [23] 0)?"),
-    ("lgpl", "gnu org licenses", "gnu org (?:licenses|copyleft)(?: old licenses)? lgpl(?: [23] [01])?"),
-    ("agpl", "gnu org licenses", "gnu org licenses agpl(?: 3 0)?"),
+    ("gpl", "gnu org", "gnu org (?:licenses|copyleft)(?: old licenses)? gpl(?: [23] 0)?"),
+    ("lgpl", "gnu org", "gnu org (?:licenses|copyleft)(?: old licenses)? lgpl(?: [23] [01])?"),
+    ("agpl", "gnu org", "gnu org licenses agpl(?: 3 0)?"),
     ("gpl", "free software foundation", "(?:redistribute it and or modify it )?under the terms of the gnu general public license as published by the free software foundation"),
     ("mit", "opensource org licenses", "opensource org licenses mit"),
     ("bsd-2-clause", "opensource org licenses", "opensource org licenses bsd(?: 2 clause| license)?"),
@@ -149,11 +152,55 @@ PHRASES = [
     ("no-warranty", "warrant", "(?:provided )?as is without warrant(?:y|ies) of any kind"),
     ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}"),
     ("other", "licen", "(?:licensed|released|distributed|available|published) under (?:the |an? )?[^ ]{1,40} licen[sc]e"),
-    ("other", "licen", "(?:sous|unter|bajo)(?: la| der| einer| une)? li[cz]en[czs]i?[ae]?"),
+    ("other", "licen", "(?:sous|bajo)(?: la| une| una)? licen[cs]i?[ae]"),
+    ("other", "lizenz", "unter(?: der| einer)? lizenz"),
+    ("apache-2.0", "grant of copyright license", "grant of copyright license subject to the terms and conditions of this license each contributor hereby grants"),
+    ("apache-2.0", "grant of patent license", "grant of patent license subject to the terms and conditions of this license each contributor hereby grants"),
+    ("mpl-2.0", "source code form is subject", "this source code form is subject to the terms of the mozilla public license"),
+    ("epl", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("gpl", "this program is free software", "this program is free software you can redistribute it and or modify it"),
+    ("gpl", "absolutely no warranty", "(?:this program )?comes with absolutely no warranty"),
+    ("lgpl", "this library is free software", "this library is free software you can redistribute it and or modify it"),
+    ("agpl-3.0", "remotely through a computer network", "your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("gfdl", "distribute and or modify this document", "permission is granted to copy distribute and or modify this document"),
+    ("bsd-4-clause", "advertising materials mentioning", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-2-clause", "source code must retain", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("ncsa", "the following disclaimers", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers"),
+    ("bsl-1.0", "person or organization obtaining", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("zlib", "origin of this software", "the origin of this software must not be misrepresented"),
+    ("isc", "author disclaims all warranties", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("artistic-2.0", "bug fixes portability fixes", "you may apply bug fixes portability fixes and other modifications derived from the public domain"),
+    ("unlicense", "anyone is free to copy", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("ofl-1.1", "reserved font name", "(?:with )?reserved font names?"),
+    ("ofl-1.1", "font software", "the font software may be modified altered or added to"),
+    ("cc0-1.0", "neighboring rights", "waived all copyright and related or neighboring rights"),
+    ("cc-by", "give appropriate credit", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-sa", "distribute your contributions under", "you must distribute your contributions under the same license as the original"),
+    ("cc-by-nc", "for commercial purposes", "you may not use the material for commercial purposes"),
+    ("cc-by-nd", "distribute the modified material", "you may not distribute the modified material"),
+    ("odbl-1.0", "this database is made available", "this database is made available under the open database license"),
+    ("json", "good not evil", "the software shall be used for good not evil"),
+    ("postgresql", "written agreement", "without fee and without a written agreement is hereby granted"),
+    ("openssl", "openssl toolkit", "software developed by the openssl project for use in the openssl toolkit"),
+    ("x11", "x consortium", "except as contained in this notice the name of the x consortium"),
+    ("beerware", "buy me a beer", "you can buy me a beer in return"),
+    ("psf-2.0", "psf is making python available", "psf is making python available to licensee on an as is basis"),
+    ("sspl-1.0", "third parties as a service", "functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2.0", "hosted or managed service", "you may not provide the software to third parties as a hosted or managed service"),
+    ("busl-1.1", "non production use", "redistribute and make non production use of the licensed work"),
+    ("commons-clause", "commons clause", "commons clause licen[sc]e condition"),
+    ("openrail-m", "use based restrictions", "use based restrictions"),
+    ("ms-pl", "risk of using it", "the software is licensed as is you bear the risk of using it"),
+    ("cecill", "cecill", "cecill(?: [abc])?(?: v?[12](?: [01])?)?"),
+    ("proprietary", "may be reproduced", "no part of this (?:publication|book|document|work) may be reproduced"),
+    ("proprietary", "strictly prohibited", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "trade secret", "(?:contains|constitutes) trade secrets?"),
+    ("no-warranty", "implied warrant", "without any express or implied warrant(?:y|ies)"),
+    ("no-warranty", "fitness for a particular purpose", "merchantability(?: and| or)? fitness for a particular purpose"),
 ]
 
 #: Rare words, or parts of words, that a text is asked for first where a rule's pattern needs one.
-ANCHORS = ["licen", "lizenz", "spdx", "gnu", "gpl", "copyleft", "domain", "reserved", "permission", "copyright", "warrant", "creativecommons", "redistribution", "apache", "mozilla", "altered", "neither", "confidential", "foundation", "fuck"]
+ANCHORS = ["licen", "lizenz", "spdx", "gnu", "gpl", "copyleft", "domain", "reserved", "permission", "copyright", "warrant", "creativecommons", "redistribution", "apache", "mozilla", "altered", "neither", "confidential", "foundation", "fuck", "advertising", "modif", "reproduced", "prohibited"]
 
 VERB = "(?:licen[sc]ed|released|distributed|available|published|provided|offered|shared|redistributed|covered)"
 

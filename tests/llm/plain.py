@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+from re import _constants, _parser
 
 import xxhash
 
@@ -157,3 +158,43 @@ def host_posteriors(outcomes, strength=20.0, z=1.645):
         sd = (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5
         out[host] = a / (a + b), max(0.0, a / (a + b) - z * sd)
     return out
+
+
+def sample_match(pattern, pick):
+    """A random text that matches a pattern."""
+    c = _constants
+
+    def walk(parsed):
+        out = []
+        for op, arg in parsed:
+            if op is c.LITERAL:
+                out.append(chr(arg))
+            elif op in (c.ANY, c.NOT_LITERAL) or op is c.IN and arg[0][0] is c.NEGATE:
+                out.append("q")
+            elif op is c.IN:
+                kind, value = pick.choice(arg)
+                out.append(chr(value if kind is c.LITERAL else pick.randint(*value)))
+            elif op is c.BRANCH:
+                out.append(walk(pick.choice(arg[1])))
+            elif op is c.SUBPATTERN:
+                out.append(walk(arg[-1]))
+            else:
+                low, high, inner = arg
+                out += [walk(inner) for _ in range(pick.randint(low, min(high, low + 2)))]
+        return "".join(out)
+
+    return walk(_parser.parse(pattern))
+
+
+def license_detections(text, rules):
+    """Every rule over the joined words, then suppression within detections of the same or a higher priority: (start, end, rule)."""
+    joined = " " + " ".join(license_words(text)) + " "
+    hits = []
+    for r in rules:
+        for m in re.finditer(f" (?:{r.pattern})(?= )", joined):
+            hits.append((joined.count(" ", 0, m.start()), -joined.count(" ", 0, m.end()), -r.priority, r.rule))
+    kept = []
+    for start, end, priority, rule in sorted(hits):
+        if not any(-priority <= p and -end <= e for _, e, p, _ in kept):
+            kept.append((start, -end, -priority, rule))
+    return [(a, b, rule) for a, b, _, rule in kept]
