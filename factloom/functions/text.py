@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def normalise_reference(value: Column) -> Column:
-    """Lower case, other than letters and digits as one space, no leading article."""
-    out = F.btrim(F.regexp_replace(F.lower(value), "[^a-z0-9]+", " "))
-    return F.regexp_replace(out, "^(the|a|an) ", "")
+    """Case folded, other than a-z and 0-9 as one space; leading articles "the", "a", "an" go once each, in that order."""
+    out = F.btrim(F.regexp_replace(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), "[^a-z0-9]+", " "))
+    return F.regexp_replace(out, "^(?:the )?(?:a )?(?:an )?", "")
 
 
 def words(text: Column) -> Column:

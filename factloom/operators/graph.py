@@ -84,12 +84,6 @@ def label_claims(claims: DataFrame, facts: DataFrame) -> DataFrame:
     return both.select("claim_id", "world", "subject", "object", "support", "refute", label.alias("label"), (s & r).alias("co_truth"))
 
 
-def fold_counts(actions: Column) -> Column:
-    """ADD, REMOVE and NOOP over a count that starts at 0 and never goes below it."""
-    step = lambda n, a: F.when(a == "ADD", n + 1).when(a == "REMOVE", F.greatest(n - 1, F.lit(0).cast("bigint"))).otherwise(n)
-    return F.aggregate(actions, F.lit(0).cast("bigint"), step)
-
-
 def separated(a_low: Column, a_high: Column, b_low: Column, b_high: Column, margin: float = 0.02) -> Column:
     """BEFORE where a ends more than the margin before b begins, AFTER for the reverse, else null."""
     return F.when(a_high + margin < b_low, "BEFORE").when(b_high + margin < a_low, "AFTER")

@@ -46,12 +46,11 @@ def json_object_entries(t):
     return e.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"))
 
 
-@query("select 0::bigint as branch_ordinal, o_custkey as scene, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::bigint as question_ordinal, o_orderstatus as change, o_orderkey as id from orders where o_custkey % 10 = 0 and o_orderstatus = 'F'")
+@query("select (dense_rank() over (partition by o_custkey order by o_orderstatus) - 1)::bigint as branch_ordinal, o_custkey as scene, (row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey) - 1)::bigint as question_ordinal, o_orderstatus as change, o_orderkey as id from orders")
 def annotation_flattening(t):
     """Scenes with branches of questions flattened with both ordinals."""
-    o = t("orders").where("o_custkey % 10 = 0 and o_orderstatus = 'F'")
-    q = o.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: F.struct(k.alias("id"))).alias("questions"))
-    scenes = q.select(F.col("o_custkey").alias("scene"), F.array(F.struct(F.lit("F").alias("change"), "questions")).alias("branches"))
+    branches = t("orders").groupBy("o_custkey", "o_orderstatus").agg(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: F.struct(k.alias("id"))).alias("questions"))
+    scenes = branches.groupBy(F.col("o_custkey").alias("scene")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderstatus").alias("change"), "questions"))).alias("branches"))
     rows = readers.annotation_rows(scenes)
     return rows.select(F.col("branch_ordinal").cast("bigint").alias("branch_ordinal"), "scene", F.col("question_ordinal").cast("bigint").alias("question_ordinal"), "change", "id")
 

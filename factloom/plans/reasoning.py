@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import canonical_json, content_id
 from ..operators import graph as g
+from ..operators import proofs as p
 from .frames import FACTS_SQL, facts
 from .registry import query
 
@@ -101,8 +102,8 @@ def inverse_normalised_path(t):
 
 CLAIM_SQL = """claims as (select l_orderkey * 10 + l_linenumber as claim_id, l_orderkey as world, l_suppkey as subject, lead(l_suppkey, 2) over (partition by l_orderkey order by l_linenumber, l_suppkey) as object from lineitem),
 asked as (select * from claims where object is not null and object <> subject)"""
-LABEL_SQL = """edges as (select distinct world, 'BEFORE' as predicate, subject, object from norm), """ + HOP_SQL.format(e="edges") + """,
-known as (select world, subject, object, min(how) as how from (select world, subject, object, 'direct' as how from edges union all select world, subject, object, 'two_hop' from hops) group by all),
+LABEL_SQL = """edges as materialized (select distinct world, 'BEFORE' as predicate, subject, object from norm), """ + HOP_SQL.format(e="edges") + """,
+known as materialized (select world, subject, object, min(how) as how from (select world, subject, object, 'direct' as how from edges union all select world, subject, object, 'two_hop' from hops) group by all),
 labelled as (select c.claim_id, c.world, c.subject, c.object, s.how as support, r.how as refute,
   case when s.how is not null and r.how is null then 'SUPPORTED' when r.how is not null and s.how is null then 'CONTRADICTORY' else 'UNKNOWN' end as label, s.how is not null and r.how is not null as co_truth
   from asked c left join known s on s.world = c.world and s.subject = c.subject and s.object = c.object left join known r on r.world = c.world and r.subject = c.object and r.object = c.subject)"""
@@ -145,17 +146,69 @@ def witness_replay(t):
     return g.label_claims(asked, added).select("claim_id", F.split("world", ":")[1].alias("witness"), "label")
 
 
-@query("""with a as (select user_id, case event_type when 'purchase' then 'ADD' when 'error' then 'REMOVE' else 'NOOP' end as act, row_number() over (partition by user_id order by ts, event_id) as k from events),
-s as (select user_id, k, sum(case act when 'ADD' then 1 when 'REMOVE' then -1 else 0 end) over (partition by user_id order by k) as run from a)
-select user_id, count(*) as actions, (last(run order by k) - least(0, min(run)))::bigint as final_count from s group by user_id""")
+@query("""with a as (select user_id, case event_type when 'purchase' then 1 when 'error' then -1 else 0 end as step, row_number() over (partition by user_id order by ts, event_id) as k from events),
+s as (select user_id, k, 5 + sum(step) over (partition by user_id order by k) as run from a)
+select user_id, count(*) as actions, case when min(run) >= 0 then last(run order by k)::bigint end as final_count, case when min(run) < 0 then 'UNDERFLOW' else 'VALID' end as status from s group by user_id""")
 def transition_fold(t):
-    """A user's events in order as actions on a count with a floor at 0.
-
-    SQL has it as the last running sum less the least one below 0.
-    """
-    act = F.when(F.col("event_type") == "purchase", "ADD").when(F.col("event_type") == "error", "REMOVE").otherwise("NOOP")
-    seq = t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", act.alias("act")))).alias("seq"))
-    return seq.select("user_id", F.size("seq").cast("bigint").alias("actions"), g.fold_counts(F.transform("seq", lambda x: x["act"])).alias("final_count"))
+    """A user's events in order as actions on a count that starts at 5; taking from none makes the sequence invalid."""
+    step = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    return p.folded(t("events").select("user_id", "ts", "event_id", step.alias("step")), "user_id", ["ts", "event_id"], F.date_trunc("day", "ts"), 5)
+
+
+STATED_SQL = FACTS_SQL + ", stated as (select distinct world, subject, object, ordinal || ':' || subject || ':' || object as fact_id from facts)"
+WAYS_SQL = """ways as (select claim_id, world, 'support' as side, subject, object from asked union all select claim_id, world, 'refute', object, subject from asked),
+chain as (select a.world, a.subject, b.object, a.fact_id as one, b.fact_id as two from stated a join stated b on a.world = b.world and a.object = b.subject where a.subject <> b.object)"""
+
+
+@query("with " + STATED_SQL + """, claims as (select l_orderkey * 10 + l_linenumber as claim_id, l_orderkey as world, l_suppkey as subject, lead(l_suppkey, 2) over (partition by l_orderkey order by l_linenumber, l_suppkey) as object from lineitem),
+asked as (select * from claims where object is not null and object <> subject), """ + WAYS_SQL + """,
+direct as (select claim_id, side, fact_id from ways join stated using (world, subject, object)),
+single as (select world, subject, object, min(one) as one, min(two) as two from chain group by all having count(*) = 1),
+used as (select * from direct union all select claim_id, side, unnest([one, two]) from ways join single using (world, subject, object)),
+labelled as (select claim_id, case when bool_or(side = 'support') and not bool_or(side = 'refute') then 'SUPPORTED' when bool_or(side = 'refute') and not bool_or(side = 'support') then 'CONTRADICTORY' else 'UNKNOWN' end as label,
+  bool_or(side = 'support') and bool_or(side = 'refute') as both_sides, list_sort(list(distinct fact_id)) as evidence from used group by claim_id),
+removed as (select distinct claim_id, fact_id as gone from used),
+left_direct as (select r.claim_id, r.gone from removed r join direct d on d.claim_id = r.claim_id and d.fact_id <> r.gone),
+left_chain as (select claim_id, gone from (select r.claim_id, r.gone, w.side, count(*) as n from removed r join ways w on w.claim_id = r.claim_id join chain c on c.world = w.world and c.subject = w.subject and c.object = w.object and c.one <> r.gone and c.two <> r.gone group by all) where n = 1),
+still as (select distinct claim_id from (select * from left_direct union all select * from left_chain))
+select a.claim_id, coalesce(label, 'UNKNOWN') as label, array_to_string(coalesce(evidence, []), ',') as evidence,
+  array_to_string(list_filter([case when both_sides then 'CO_TRUTH_POSSIBLE' end, case when label in ('SUPPORTED', 'CONTRADICTORY') and s.claim_id is not null then 'MINIMALITY_ABLATION_FAIL' end,
+    case when l.claim_id is null then 'UNPROVIDED_PREMISE' end, case when coalesce(label, 'UNKNOWN') <> case when a.claim_id % 2 = 0 then 'SUPPORTED' else 'CONTRADICTORY' end then 'VERIFIER_DISAGREEMENT' end], lambda x: x is not null), ',') as codes
+from asked a left join labelled l on l.claim_id = a.claim_id left join still s on s.claim_id = a.claim_id""")
+def proof_verification(t):
+    """Labels, evidence and reject codes of claims against an expected label; SQL takes each piece of evidence away and labels again."""
+    stated = facts(t).select("world", "predicate", "subject", "object", F.concat_ws(":", "ordinal", "subject", "object").alias("fact_id")).distinct()
+    expected = F.when(F.col("claim_id") % 2 == 0, "SUPPORTED").otherwise("CONTRADICTORY")
+    out = p.verified(_claims(t).withColumn("expected", expected), stated)
+    return out.select("claim_id", "label", F.array_join("evidence", ",").alias("evidence"), F.array_join("codes", ",").alias("codes"))
+
+
+@query("""with g as (select l_orderkey, l_suppkey, count(*) - case when l_orderkey % 3 = 0 then 1 else 0 end as pre, min(l_linenumber) as line from lineitem group by l_orderkey, l_suppkey),
+f as (select *, case (l_orderkey + l_suppkey) % 4 when 0 then 'REMOVE' when 1 then 'ADD' when 2 then 'MOVE' else 'PAINT' end as family, l_orderkey % 7 <> 0 as there, l_orderkey % 11 = 0 as unlisted, l_orderkey % 13 = 0 as elsewhere from g),
+a as (select *, case when family = 'PAINT' then [] else list_filter([case when elsewhere then 'DELETE_FACT_NOT_IN_PRESTATE' end, case when family = 'REMOVE' and pre < 1 then 'INVALID_POST_COUNT' end, case when unlisted then 'UNLISTED_POST_FACT_UPDATE' end], lambda x: x is not null) end as errors,
+  case when family = 'PAINT' then 'REJECT_UNAUTHORIZED_RULE' when family = 'REMOVE' and (pre < 1 or not there) then 'REJECT_TRANSITION_PRECONDITION_FAIL' else '' end as b_errors from f)
+select l_orderkey, l_suppkey, family, array_to_string(errors, ',') as a_errors, b_errors, len(errors) = 0 and b_errors = '' as agree,
+  case when len(errors) = 0 and family in ('REMOVE', 'ADD') then pre + case family when 'ADD' then 1 else -1 end end as post_count from a""")
+def engine_on_fact_slots(t):
+    """Actions as deltas of facts by a general engine, and by a checker with a rule per family, on the same states."""
+    k, line = F.col("l_orderkey"), F.concat(F.lit("e"), F.col("line"))
+    g1 = t("lineitem").groupBy("l_orderkey", "l_suppkey").agg((F.count("*") - F.when(k % 3 == 0, 1).otherwise(0)).alias("n"), F.min("l_linenumber").alias("line"))
+    kind = (k + F.col("l_suppkey")) % 4
+    rows = g1.withColumns({"family": F.when(kind == 0, "REMOVE").when(kind == 1, "ADD").when(kind == 2, "MOVE").otherwise("PAINT"), "target": line, "category": F.concat(F.lit("s"), "l_suppkey")})
+    c, target, family = F.col("category"), F.col("target"), F.col("family")
+    pre = F.array(p.fact("COUNT", c, F.col("n")), p.fact("EXISTS_IN_WORLD", target, F.when(k % 7 == 0, 0).otherwise(1)), p.fact("LEFT_OF", target, None, F.lit("door")))
+    count = lambda by: p.fact("COUNT", c, F.col("n") + by)
+    none = F.array().cast(f"array<{p.FACT}>")
+    add = F.when(family == "REMOVE", F.array(count(-1), p.fact("EXISTS_IN_WORLD", target, F.lit(0)))).when(family == "ADD", F.array(count(1), p.fact("EXISTS_IN_WORLD", F.concat(F.lit("new-"), target), F.lit(1))))
+    add = add.when(family == "MOVE", F.array(p.fact("RIGHT_OF", target, None, F.lit("door")))).otherwise(none)
+    rows = rows.withColumns({"pre": pre, "add": add})
+    known, every = family != "PAINT", F.transform("add", p.slot)
+    gone = F.when(~known, F.array().cast("array<string>")).when(k % 13 == 0, F.array(F.lit("COUNT|nothing||scene"))).otherwise(F.transform(F.slice("pre", 1, 1), p.slot))
+    allowed = F.when(k % 11 == 0, F.slice(every, 2, 9)).otherwise(every)
+    both = rows.withColumns({"a": p.apply_delta(F.col("pre"), gone, F.col("add"), allowed), "b": p.check_family(F.col("pre"), family, target, c, F.lit("door"), F.lit("LEFT_OF"))})
+    agree = (F.col("a.status") == "PASS") & (F.col("b.status") == "PASS") & (F.col("a.post") == F.col("b.post"))
+    counted = F.filter("a.post", lambda f: f["predicate"] == "COUNT")
+    return both.select("l_orderkey", "l_suppkey", "family", F.array_join("a.errors", ",").alias("a_errors"), F.array_join("b.errors", ",").alias("b_errors"), agree.alias("agree"), F.when(F.col("a.status") == "PASS", F.get(counted, F.lit(0))["value"]).alias("post_count"))
 
 
 @query("""with a as (select o_orderkey, case when o_orderkey % 4 = 0 then 'ADD' when o_orderkey % 4 = 1 then 'REMOVE' when o_orderkey % 4 = 2 then 'REPLACE' else 'MOVE' end as family, o_orderkey % 3 as pre, 1 + o_orderkey % 2 as delta from orders),
@@ -205,12 +258,12 @@ def contradiction_swap(t):
     return turned.unionByName(f.select("world", "ordinal", "predicate", F.col("object").alias("subject"), F.col("subject").alias("object"), F.lit("CONTRADICTORY").alias("label")))
 
 
-@query("""with b as (select label, min(embedding[1]) as lo, max(embedding[1]) as hi from (select label, embedding from embeddings where vec_id % 97 < 2) group by label)
+@query("""with b as (select label, min(embedding[1]) as lo, max(embedding[1]) as hi from embeddings group by label)
 select a.label as a, b.label as b, case when a.hi::double + 0.02 < b.lo::double then 'BEFORE' when b.hi::double + 0.02 < a.lo::double then 'AFTER' end as relation from b a join b on a.label < b.label""")
 def box_separation(t):
     """Which of two intervals lies wholly before the other, by a margin; all pairs of a few labels."""
     x = F.get("embedding", 0).cast("double")
-    b = t("embeddings").where("vec_id % 97 < 2").groupBy("label").agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    b = t("embeddings").groupBy("label").agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     left, right = b.select(F.col("label").alias("a"), F.col("lo").alias("al"), F.col("hi").alias("ah")), b.select(F.col("label").alias("b"), F.col("lo").alias("bl"), F.col("hi").alias("bh"))
     return left.join(right, F.col("a") < F.col("b")).select("a", "b", g.separated(F.col("al"), F.col("ah"), F.col("bl"), F.col("bh")).alias("relation"))
 

@@ -39,13 +39,13 @@ def semi_and_anti(t):
     return t("lineitem").select("l_orderkey", "l_suppkey").join(allowed, "l_suppkey", "left_semi").join(closed, "l_orderkey", "left_anti").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
 
 
-@query("""with r as (select c_mktsegment as grp, c_custkey, c_nationkey, row_number() over (partition by c_mktsegment order by sha256('13' || chr(0) || c_custkey), c_custkey) as k from customer where c_nationkey < 5)
+@query("""with r as (select c_mktsegment as grp, c_custkey, c_nationkey, row_number() over (partition by c_mktsegment order by sha256('13' || chr(0) || c_custkey), c_custkey) as k from customer)
 select a.c_custkey, (select b.c_custkey from r b where b.grp = a.grp and b.k > a.k and b.c_nationkey <> a.c_nationkey order by b.k limit 1) as donor from r a""")
 def next_donor(t):
     """The next row in seeded order from another world."""
     from ..functions.canon import seeded_hash
 
-    rows = t("customer").where("c_nationkey < 5").select(F.col("c_mktsegment").alias("grp"), "c_custkey", "c_nationkey", seeded_hash(13, F.col("c_custkey")).alias("key"))
+    rows = t("customer").select(F.col("c_mktsegment").alias("grp"), "c_custkey", "c_nationkey", seeded_hash(13, F.col("c_custkey")).alias("key"))
     return j.next_other(rows, ["key", "c_custkey"], "c_nationkey", "c_custkey").select("c_custkey", "donor")
 
 
@@ -172,9 +172,10 @@ def split_leakage(t):
     return s.groupBy("digest").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("split")).alias("splits")).where(F.size("splits") > 1)
 
 
-@query("with s as (select lower(trim(role)) || ':' || left(lower(text), 12) as surface, conv_id % 3 as split from conversations) select surface, count(*) as n, count(distinct split) as splits from s group by 1 having count(distinct split) > 1")
+@query("with s as (select lang || ':' || sha256(lower(trim(text))) as surface, doc_id % 3 as split from documents) select surface, count(*) as n, count(distinct split) as splits from s group by 1 having count(distinct split) > 1")
 def duplicate_surfaces(t):
-    s = t("conversations").select(F.concat(F.lower(F.btrim("role")), F.lit(":"), F.substring(F.lower("text"), 1, 12)).alias("surface"), (F.col("conv_id") % 3).alias("split"))
+    """Whole texts, but for case and outer spaces, that stand in several splits."""
+    s = t("documents").select(F.concat("lang", F.lit(":"), F.sha2(F.lower(F.trim("text")), 256)).alias("surface"), (F.col("doc_id") % 3).alias("split"))
     return s.groupBy("surface").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits")).where("splits > 1")
 
 
@@ -231,10 +232,10 @@ def percentile_interpolated(t):
 
 
 @query("""with k as (select lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) as token from documents), c as (select lang, token, count(*) as n from k group by all), d as (select token, count(*) as df from c group by 1)
-select lang, token, n, round(sqrt(n) * (0.25 + ln(5 / (df + 0.5))) * (0.25 + ln(5 / (df + 0.5))), 6) as salience from c join d using (token) where n >= 20""")
+select lang, token, n, round(sqrt(n) * (0.25 + ln(5 / (df + 0.5))) * (0.25 + ln(5 / (df + 0.5))), 6) as salience from c join d using (token)""")
 def token_salience(t):
     """Tokens that mark a group against the others."""
-    return st.salience(t("documents"), "lang", "text", 4).where("n >= 20").select("lang", "token", "n", F.round("salience", 6).alias("salience"))
+    return st.salience(t("documents"), "lang", "text", 4).select("lang", "token", "n", F.round("salience", 6).alias("salience"))
 
 
 @query("with " + SCORED_SQL + ", b as (select source, coalesce(gold = pred, false) as base, coalesce(gold = case when n_chars % 5 = 0 then gold else pred end, false) as inter from scored) select source, count(*) as n, count(*) filter (where not base and inter) as rescue, count(*) filter (where base and not inter) as harm, (count(*) filter (where not base and inter) - count(*) filter (where base and not inter))::double / count(*) as net from b group by source")

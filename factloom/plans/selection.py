@@ -94,10 +94,10 @@ def first_k_examples(t):
 select user_id, i::bigint as slot, frames[1 + round_even(i * (n - 1) / 15.0, 0)::bigint] as event_id from i where n > 0""")
 def frame_selection(t):
     """Sixteen evenly spaced frames of each sequence; places are rounded half to even."""
-    frames = t("events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"]).alias("frames"))
-    slots = frames.select("user_id", "frames", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("slot"))
-    at = F.bround(F.col("slot") * (F.size("frames") - 1) / 15.0, 0).cast("int")
-    return slots.select("user_id", F.col("slot").cast("bigint").alias("slot"), F.get("frames", at).alias("event_id"))
+    each = Window.partitionBy("user_id")
+    rows = t("events").select("user_id", "event_id", F.row_number().over(each.orderBy("ts", "event_id")).alias("place"), F.count("*").over(each).alias("n"))
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda i: F.bround(i * (F.col("n") - 1) / 15.0, 0) == F.col("place") - 1)
+    return rows.select("user_id", "event_id", F.explode(wanted).alias("slot")).select("user_id", F.col("slot").cast("bigint").alias("slot"), "event_id")
 
 
 @query("select step, rank, step * 16 + rank + 4 * k as index from (select unnest(range(10)) as step), (select unnest(range(4)) as rank), (select unnest(range(4)) as k)")

@@ -14,9 +14,13 @@ def slugify(t):
     return t("part").select("p_partkey", slug(F.col("p_name")).alias("slug"))
 
 
-@query("select p_partkey, regexp_replace(trim(regexp_replace(lower('The ' || p_name || '!'), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an) ', '') as reference from part")
+@query("""with v as (select p_partkey, ['The ', 'an a ', 'A  the ', 'THE A AN ', 'Straße ', '']::varchar[] as front, p_name from part),
+w as (select p_partkey, trim(regexp_replace(replace(lower(front[1 + p_partkey % 6] || p_name || '!'), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) as a from v),
+x as (select p_partkey, case when starts_with(a, 'the ') then substr(a, 5) else a end as a from w), y as (select p_partkey, case when starts_with(a, 'a ') then substr(a, 3) else a end as a from x)
+select p_partkey, case when starts_with(a, 'an ') then substr(a, 4) else a end as reference from y""")
 def normalise_reference(t):
-    return t("part").select("p_partkey", x.normalise_reference(F.concat(F.lit("The "), "p_name", F.lit("!"))).alias("reference"))
+    front = F.element_at(F.array(*map(F.lit, ("The ", "an a ", "A  the ", "THE A AN ", "Straße ", ""))), (1 + F.col("p_partkey") % 6).cast("int"))
+    return t("part").select("p_partkey", x.normalise_reference(F.concat(front, "p_name", F.lit("!"))).alias("reference"))
 
 
 @query("select p_partkey, upper(substr('ABCD', 1 + p_partkey % 4, 1)) as letter, p_type as answer from part")
