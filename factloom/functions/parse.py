@@ -67,3 +67,16 @@ def recovered_label(raw: Column) -> Column:
     or repeat."""
     found = F.regexp_extract_all(raw, F.lit(LABEL_KEY), F.lit(1))
     return F.when(F.size(found) == 1, found[0])
+
+
+def first_closed_label(raw: Column) -> Column:
+    """The label of an answer that begins with an object whose first key is the label, once its string is closed, whatever follows.
+
+    Null where another label key follows, quoted (escapes undone), or bare before a colon; a fence that opens the answer is skipped.
+    """
+    text = F.regexp_replace(raw, r"^\s*```(?:json)?\s*\n", "")
+    label = F.regexp_extract(text, r'^\s*\{\s*"label"\s*:\s*"(SUPPORTED|CONTRADICTORY|UNKNOWN)"', 1)
+    rest = F.regexp_replace(text, r'^\s*\{\s*"label"\s*:\s*"[A-Z]+"', "")
+    letters = "".join(rf"(?:{c}|\\u00{ord(c):02x})" for c in "label")
+    again = rest.rlike(rf'"{letters}"\s*:') | F.regexp_replace(rest, r'"(?:[^"\\]|\\.)*"', '""').rlike(r"[{,]\s*label\s*:")
+    return F.when((label != "") & ~again, label)
