@@ -102,6 +102,30 @@ def greedy_caps(candidates: DataFrame, order: Sequence[str], caps: dict[str, int
     return marked.select(*columns, F.when(after, "TARGET_REACHED").when(F.col("_in"), "TAKEN").otherwise(F.col("_why")).alias("outcome"))
 
 
+def ratio_capped(rows: DataFrame, order: Sequence[str], flag: str, part: int, whole: int) -> DataFrame:
+    """Walk rows in order and take each unless it has the flag and flagged rows would be more than part / whole of all taken. Adds ``taken``.
+
+    Rows without the flag are always taken, so before the n-th flagged row at most c = floor(part * plain / (whole - part)) may be in, a number that
+    never falls. The walk then takes a flagged row where its slack c - n isn't below the least slack before it (and 0). That is a running
+    least number, made per range of the order and moved on by the ranges before, so no task sees all rows. order: columns that tell rows apart; a null
+    flag counts as none.
+    """
+    flagged = F.coalesce(F.col(flag), F.lit(False))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ratio")
+    so_far = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier, parts_before = so_far.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_part").agg(F.count_if(flagged).alias("_a"), F.count_if(~flagged).alias("_b"))
+    before = sizes.select("_part", *[F.coalesce(F.sum(c).over(parts_before), F.lit(0)).alias(n) for c, n in (("_a", "_flags"), ("_b", "_plain"))])
+    n, plain = F.sum(flagged.cast("bigint")).over(so_far) + F.col("_flags"), F.sum((~flagged).cast("bigint")).over(so_far) + F.col("_plain")
+    slack = F.when(flagged, F.floor(part * plain / (whole - part)).cast("bigint") - n)
+    slacks = dealt.join(F.broadcast(before), "_part").withColumn("_slack", slack).drop("_flags", "_plain")
+    least = slacks.groupBy("_part").agg(F.min("_slack").alias("_m"))
+    low = least.select("_part", F.least(F.lit(0), F.min("_m").over(parts_before)).alias("_low"))  # least() skips nulls
+    out = slacks.join(F.broadcast(low), "_part").withColumn("_low", F.least("_low", F.min("_slack").over(earlier)))
+    return out.withColumn("taken", ~flagged | (F.col("_slack") >= F.col("_low"))).drop("_part", "_slack", "_low")
+
+
 def balanced_slice(rows: DataFrame, flag: str, key: str, target: int, share: float = 0.4) -> DataFrame:
     """``share`` of the target from rows with the flag and the rest from those without; what one side lacks the
     other fills up. Rows are taken by key."""

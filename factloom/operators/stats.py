@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,73 @@ def salience(rows: DataFrame, group: str, text: str, groups: int) -> DataFrame:
     return c.join(df, "token").select(group, "token", "n", (F.sqrt("n") * idf * idf).alias("salience"))
 
 
+def poisson_bounds(most: int = 11) -> list[float]:
+    """Chances of a Poisson(1) variable to be below 1, 2, ...: a uniform number is turned into a count by the bounds that it reaches."""
+    out, term, below = [], math.exp(-1), 0.0
+    for k in range(1, most + 1):
+        below += term
+        out.append(below)
+        term /= k
+    return out
+
+
+def resampled(parts: DataFrame, cluster: str, repetitions: int) -> DataFrame:
+    """Each row once per repetition that draws it, with ``_rep`` and its count ``_w``, from an MD5 of repetition and cluster.
+
+    Any engine can draw the same numbers, so that results can be compared; ``cluster_bootstrap`` takes a faster hash.
+    """
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("_rep"), F.col(cluster))), 1, 8), 16, 10).cast("bigint")
+    weight = F.lit(0)
+    for bound in poisson_bounds():
+        weight = weight + (u >= math.ceil(bound * 2**32)).cast("int")
+    return parts.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions)))).withColumn("_w", weight).where("_w > 0")
+
+
+def stratified_bootstrap(rows: DataFrame, groups: Sequence[str], stratum: str, cluster: str, value: str, repetitions: int = 2000) -> DataFrame:
+    """Mean of a value with a 95 % percentile interval over clusters that are resampled within their stratum, per group.
+
+    Each repetition scales a stratum's weighted sums to its number of clusters, so strata keep their share; a stratum of which a
+    repetition draws nothing is left out of it. Rows with a null value don't count; a group without any isn't returned.
+    """
+    sums = rows.where(F.col(value).isNotNull()).groupBy(*groups, stratum, cluster).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    sizes = sums.groupBy(*groups, stratum).agg(F.count("*").alias("_m"), F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    point = sizes.groupBy(*groups).agg((F.sum("_s") / F.sum("_n")).alias("effect"), F.sum("_m").alias("clusters"), F.count("*").alias("strata"))
+    drawn = resampled(sums, cluster, repetitions).groupBy(*groups, stratum, "_rep").agg(F.sum(F.col("_w") * F.col("_s")).alias("_a"), F.sum(F.col("_w") * F.col("_n")).alias("_b"), F.sum("_w").alias("_k"))
+    scaled = drawn.join(sizes.select(*groups, stratum, "_m"), [*groups, stratum]).withColumn("_f", F.col("_m") / F.col("_k"))
+    draws = scaled.groupBy(*groups, "_rep").agg((F.sum(F.col("_f") * F.col("_a")) / F.sum(F.col("_f") * F.col("_b"))).alias("_e"))
+    interval = draws.groupBy(*groups).agg(F.percentile("_e", 0.025).alias("low"), F.percentile("_e", 0.975).alias("high"))
+    return point.join(interval, list(groups))
+
+
+def conditional_macro(rows: DataFrame, groups: Sequence[str], cluster: str, value: str, eligible: Column, repetitions: int = 2000) -> DataFrame:
+    """Mean over clusters of a value's mean over eligible rows, with an interval from resampling the whole cohort of clusters.
+
+    A cluster without eligible rows is drawn but has no ratio. ``empty`` is the share of repetitions that draw clusters without ratios only; they
+    have no value and don't count as 0. The estimate and interval are null where no cluster has a ratio.
+    """
+    use = F.coalesce(eligible, F.lit(False))
+    parts = rows.where(F.col(value).isNotNull()).groupBy(*groups, cluster).agg(F.coalesce(F.sum(F.when(use, F.col(value))), F.lit(0)).alias("_s"), F.count_if(use).alias("_n"))
+    ratio = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))
+    point = parts.groupBy(*groups).agg(F.sum("_s").alias("numerator"), F.sum("_n").alias("denominator"), F.count_if(F.col("_n") > 0).alias("clusters"), F.count("*").alias("cohort"), F.avg(ratio).alias("estimate"))
+    whole = F.when(F.col("_n") > 0, F.col("_w"))
+    draws = resampled(parts, cluster, repetitions).groupBy(*groups, "_rep").agg((F.sum(F.col("_w") * ratio) / F.sum(whole)).alias("_e"))
+    interval = draws.groupBy(*groups).agg(F.percentile("_e", 0.025).alias("low"), F.percentile("_e", 0.975).alias("high"), (1 - F.count("_e") / repetitions).alias("empty"))
+    return point.join(interval, list(groups), "left").withColumn("empty", F.coalesce("empty", F.lit(1.0)))
+
+
+def intervention_strata(rows: DataFrame, fields: Sequence[str], base: str, inter: str, cluster: str) -> DataFrame:
+    """Over all rows and per value of each field: what an intervention rescues and harms, its net effect, and both given the base's outcome.
+
+    base and inter: 0 or 1. Null values of a field are a group of their own. Each row is counted once per field, with partial sums before the shuffle.
+    """
+    keys = [F.struct(F.lit("ALL").alias("field"), F.lit("ALL").alias("group"))] + [F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("null")).alias("group")) for f in fields]
+    each = rows.select(cluster, base, inter, F.inline(F.array(*keys)))
+    b, i = F.col(base) == 1, F.col(inter) == 1
+    sums = each.groupBy("field", "group").agg(F.count("*").alias("n"), F.count_distinct(cluster).alias("clusters"), F.count_if(~b & i).alias("rescue"), F.count_if(b & ~i).alias("harm"), F.count_if(~b).alias("base_errors"), F.count_if(b).alias("base_successes"))
+    share = lambda top, below: F.when(F.col(below) > 0, F.col(top) / F.col(below))
+    return sums.withColumns({"net": (F.col("rescue") - F.col("harm")) / F.col("n"), "rescue_given_error": share("rescue", "base_errors"), "harm_given_success": share("harm", "base_successes")})
+
+
 def cluster_bootstrap(rows: DataFrame, groups: Sequence[str], cluster: str, value: str, repetitions: int = 5000) -> DataFrame:
     """Mean of a value with a 95 % percentile interval over resampled clusters, per group.
 
@@ -35,11 +103,9 @@ def cluster_bootstrap(rows: DataFrame, groups: Sequence[str], cluster: str, valu
     sums = rows.where(F.col(value).isNotNull()).groupBy(*groups, cluster).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
     point = sums.groupBy(*groups).agg((F.sum("_s") / F.sum("_n")).alias("effect"), F.count("*").alias("clusters"), F.sum("_n").alias("rows"))
     u = F.shiftrightunsigned(F.xxhash64(F.lit("boot"), F.col("_rep"), F.col(cluster)), 11).cast("double") / float(1 << 53)
-    weight, term, below = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 12):  # counts of a Poisson variable with mean 1
-        below += term
-        weight = weight + (u >= below).cast("int")
-        term /= k
+    weight = F.lit(0)
+    for bound in poisson_bounds():
+        weight = weight + (u >= bound).cast("int")
     reps = sums.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions)))).withColumn("_w", weight).where("_w > 0")
     draws = reps.groupBy(*groups, "_rep").agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_n"))).alias("_e"))
     interval = draws.groupBy(*groups).agg(F.percentile("_e", 0.025).alias("low"), F.percentile("_e", 0.975).alias("high"))

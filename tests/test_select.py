@@ -30,3 +30,19 @@ def test_global_rank_counts_all_rows(spark):
     got = sorted((r["rank"], r["k"], r["id"]) for r in select.globally_ranked(df, "k", "id").collect())
     assert [g[0] for g in got] == list(range(1, 1001))
     assert [g[1:] for g in got] == sorted((g[1], g[2]) for g in got)
+
+
+def test_ratio_capped_equals_the_walk(spark):
+    for seed, share in ((1, 3), (2, 2), (3, 7), (4, 1)):
+        rows = [(k, None if k % 41 == 0 else (k * 7919 + seed) % 1009 % share == 0) for k in range(400)]
+        plain = flagged = 0
+        want = {}
+        for k, flag in rows:
+            if not flag:
+                plain += 1
+                want[k] = True
+            else:
+                want[k] = 100 * (flagged + 1) <= 15 * (flagged + 1 + plain)
+                flagged += want[k]
+        df = spark.createDataFrame(rows, "id int, flag boolean").repartition(5)
+        assert {r.id: r.taken for r in select.ratio_capped(df, ["id"], "flag", 15, 100).collect()} == want
