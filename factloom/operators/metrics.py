@@ -83,6 +83,14 @@ def pair_accuracy(members: DataFrame) -> DataFrame:
     return out.withColumn("pair_accuracy", ratio(F.col("right"), F.col("pairs")))
 
 
+def strict_pairs(members: DataFrame, labels: int = 2) -> DataFrame:
+    """members: pair_id, gold, pred. Whether all predictions of each pair are right; a pair without all of the labels raises. A null prediction is wrong."""
+    right = F.coalesce(F.col("gold") == F.col("pred"), F.lit(False))
+    pairs = members.groupBy("pair_id").agg(F.count_distinct("gold").alias("_k"), F.bool_and(right).alias("_ok"))
+    fail = F.raise_error(F.concat(F.lit("INCOMPLETE_GOLD_PAIR:"), F.coalesce(F.col("pair_id").cast("string"), F.lit("null"))))
+    return pairs.select("pair_id", F.when(F.col("_k") == labels, F.col("_ok")).otherwise(fail).alias("correct"))
+
+
 def set_scores(gold: Column, predicted: Column) -> Column:
     """struct(precision, recall, f1, exact) of two arrays as sets; both empty score 1, one empty 0."""
     g, p = F.array_distinct(gold), F.array_distinct(predicted)

@@ -1,6 +1,6 @@
 """Every query by name, with its SQL twin where SQL can state it."""
 
-from . import checks, directions, estimates, extraction, flows, reasoning, relations, scoring, selection, texts  # noqa: F401
+from . import answers, checks, directions, estimates, extraction, flows, reasoning, relations, scoring, selection, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "score_three_class"
