@@ -42,14 +42,19 @@ def _one_of(text: Column, cues: list[str]) -> Column:
     return found
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _fact(subject: Column, predicate: Column, other: Column, value: Column | None = None) -> Column:
     fields = {"subject": subject, "predicate": predicate, "object": other, "value": F.lit(None) if value is None else value, "polarity": F.lit("positive")}
     return F.struct(*[v.alias(k) for k, v in fields.items()]).cast(FACT)
 
 
 def _result(code: Column, frame: Column, facts: Column) -> Column:
-    ok = code.isNull()
-    return F.struct(code.alias("reject_code"), F.when(ok, frame).alias("frame"), F.when(ok, facts).otherwise(F.expr(f"cast(array() as array<{FACT}>)")).alias("facts"))
+    none = F.expr(f"cast(array() as array<{FACT}>)")
+    return _let(code, lambda c: F.struct(c.alias("reject_code"), F.when(c.isNull(), frame).alias("frame"), F.when(c.isNull(), facts).otherwise(none).alias("facts")))
 
 
 def _relations(predicates: Column, subject: Column, other: Column) -> Column:
@@ -112,9 +117,8 @@ def after_change(item: Column, question_type: Column, question: Column, answer:
 
 def free_relations(text: Column, depth: Column) -> Column:
     """The relations whose words stand in a text, in a fixed order; those of depth only where ``depth``."""
-    low = F.lower(text)
-    has = lambda words: [F.when(low.rlike(rf"\b{w}\b"), p) for w, p in words.items()]
-    return F.array_compact(F.concat(F.array(*has(FREE)), F.when(depth, F.array(*has(DEPTH))).otherwise(F.array().cast("array<string>"))))
+    has = lambda low, words, use: [F.when(use & low.rlike(rf"\b{w}\b"), p) for w, p in words.items()]
+    return _let(F.lower(text), lambda low: F.array_compact(F.array(*has(low, FREE, F.lit(True)), *has(low, DEPTH, depth))))
 
 
 def coloured_boxes(observer: Column, question: Column, answer: Column) -> Column:
@@ -127,12 +131,16 @@ def coloured_boxes(observer: Column, question: Column, answer: Column) -> Column
     letter = F.upper(F.btrim(answer))
     is_letter = letter.isin("A", "B", "C", "D")
     option = F.element_at(F.filter(lines, lambda x: F.substring(x, 1, 1) == letter), -1)
-    said = free_relations(F.when(is_letter, F.regexp_replace(option, r"^[A-D]\.\s*", "")).otherwise(answer), observer)
-    same = F.filter(lines, lambda x: free_relations(F.regexp_replace(x, r"^[A-D]\.\s*", ""), observer) == said)
-    clash = F.lit(False)
-    for a, b in EXCLUSIVE:
-        clash = clash | (F.array_contains(said, a) & F.array_contains(said, b))
-    bad = said.isNull() | (F.size(said) == 0) | clash | (is_letter & (F.size(same) != 1))
-    code = F.when(F.coalesce(bad, F.lit(True)), "SOURCE_RECONSTRUCTION_FAIL")
+    meaning = F.when(is_letter, F.regexp_replace(option, r"^[A-D]\.\s*", "")).otherwise(answer)
     other = F.when(observer, "mention:observer_primary_view").otherwise("mention:blue_bbox_target")
-    return _result(code, F.lit("source_question_declared_perspective"), _relations(said, F.lit("mention:red_bbox_target"), other))
+
+    def judged(said: Column) -> Column:
+        same = F.filter(lines, lambda x: free_relations(F.regexp_replace(x, r"^[A-D]\.\s*", ""), observer) == said)
+        clash = F.lit(False)
+        for a, b in EXCLUSIVE:
+            clash = clash | (F.array_contains(said, a) & F.array_contains(said, b))
+        bad = said.isNull() | (F.size(said) == 0) | clash | (is_letter & (F.size(same) != 1))
+        code = F.when(F.coalesce(bad, F.lit(True)), "SOURCE_RECONSTRUCTION_FAIL")
+        return _result(code, F.lit("source_question_declared_perspective"), _relations(said, F.lit("mention:red_bbox_target"), other))
+
+    return _let(free_relations(meaning, observer), judged)
