@@ -2,55 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import INVERSE
+from ..sources.tables import materialize
+from .graph import INVERSE, TRANSITIVE, inverse_of
 
 FACT = "struct<predicate:string,subject:string,object:string,scope:string,value:bigint>"
 #: A relation and what holds after its subject goes to the other side.
 OPPOSITE = {"LEFT_OF": "RIGHT_OF", "RIGHT_OF": "LEFT_OF", "ABOVE": "BELOW", "BELOW": "ABOVE", "FRONT_OF": "BEHIND", "BEHIND": "FRONT_OF"}
 
 
-def derivations(claims: DataFrame, facts: DataFrame, predicate: str = "BEFORE") -> DataFrame:
-    """(claim_id, side, premises): each way in which facts support or refute a claim.
+RULES = "rule_id string, claim_predicate string, side string, hops int, fact_predicate string, swapped boolean, polarity string, value string, claim_positive boolean"
 
-    claims: claim_id, world, subject, object. facts: world, fact_id, predicate, subject, object; those of the inverse
-    predicate are turned round. A stated fact is a proof by itself; two facts in a chain are one if theirs is
-    the only such chain from subject to object. What proves the reverse refutes the claim.
+
+def _standard() -> list[tuple]:
+    rows = [("STATED", "*", "support", 1, "*", False, "SAME", "SAME", False), ("OPPOSITE_POLARITY", "*", "refute", 1, "*", False, "OPPOSITE", "SAME", False), ("OTHER_COUNT", "COUNT", "refute", 1, "COUNT", False, "POSITIVE", "OTHER", True)]
+    for a, b in INVERSE.items():
+        rows += [("INVERSE", a, "support", 1, b, True, "SAME", "SAME", False), ("ASYMMETRY", a, "refute", 1, a, True, "POSITIVE", "ANY", False), ("EXCLUSION", a, "refute", 1, b, False, "POSITIVE", "ANY", True)]
+    for a in TRANSITIVE:
+        name = "STRICT_ORDER_TRANSITIVITY" if a in ("BEFORE", "AFTER") else "AUTHORIZED_DIRECTION_TRANSITIVITY"
+        rows += [(name, a, "support", 2, a, False, "POSITIVE", "ANY", True), (name, a, "refute", 2, a, True, "POSITIVE", "ANY", True)]
+    return rows
+
+
+#: The ids of the standard rules.
+RULE_IDS = sorted({row[0] for row in _standard()})
+
+
+def standard_rules(spark: SparkSession) -> DataFrame:
+    """The table of rules: which facts support or refute a claim of a predicate (``*``: of any).
+
+    side; hops: a fact that matches (1), or the only chain of two (2); fact_predicate (``*``: the claim's); swapped: the fact's
+    ends are the claim's turned round; polarity of the fact: SAME as the claim's, OPPOSITE or POSITIVE; its value: SAME,
+    OTHER or ANY; claim_positive: for positive claims only. Any table of this form will do.
+    """
+    return spark.createDataFrame(_standard(), RULES)
+
+
+def _fits(fact_context: str, claim_context: str) -> Column:
+    """Whether a fact's context says all that the claim's does; a null claim context asks for nothing."""
+    asked = F.coalesce(F.map_entries(claim_context), F.array())
+    return F.forall(asked, lambda e: F.coalesce(F.element_at(F.col(fact_context), e["key"]).eqNullSafe(e["value"]), F.lit(False)))
+
+
+def matches(claims: DataFrame, facts: DataFrame, rules: DataFrame, authorised: DataFrame | None = None) -> DataFrame:
+    """(claim_id, side, rule_id, hops, premises): each fact, and each chain of two, that some rule sets against a claim.
+
+    claims: claim_id, world, predicate, subject, object, value, polarity, context (map or null). facts: fact_id and the same. ``authorised``
+    (world, rule_id): the rules that hold in a world; None: all do. Chains of one rule that compete are all listed. A chain
+    starts from the claim's subject, so a node between many others costs no more than the claims about it; facts of the inverse predicate are turned round.
     """
-    turned = F.col("predicate") == INVERSE[predicate]
-    ends = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("subject", "object"), ("object", "subject"))]
-    edges = facts.where(F.col("predicate").isin(predicate, INVERSE[predicate])).select("world", "fact_id", *ends)
-    first = edges.select("world", F.col("fact_id").alias("one"), "subject", F.col("object").alias("middle"))
-    second = edges.select("world", F.col("fact_id").alias("two"), F.col("subject").alias("middle"), "object")
-    chains = first.join(second, ["world", "middle"]).where("subject <> object").groupBy("world", "subject", "object")
-    chains = chains.agg(F.count("*").alias("n"), F.min("one").alias("one"), F.min("two").alias("two")).where("n = 1")
-    proofs = edges.select("world", "subject", "object", F.array("fact_id").alias("premises")).unionByName(chains.select("world", "subject", "object", F.sort_array(F.array("one", "two")).alias("premises")))
-    ways = claims.select("claim_id", "world", F.explode(F.array(F.struct(F.lit("support").alias("side"), F.col("subject"), F.col("object")), F.struct(F.lit("refute").alias("side"), F.col("object").alias("subject"), F.col("subject").alias("object")))).alias("w"))
-    return ways.select("claim_id", "world", "w.*").join(proofs, ["world", "subject", "object"]).select("claim_id", "side", "premises")
-
-
-def verified(claims: DataFrame, facts: DataFrame, expected: str = "expected") -> DataFrame:
-    """Each claim with its label, evidence (sorted fact ids), number of proofs and reject codes (sorted).
-
-    Codes: VERIFIER_DISAGREEMENT where the label isn't the expected one, CO_TRUTH_POSSIBLE where both sides have proofs,
-    UNPROVIDED_PREMISE without any evidence, MINIMALITY_ABLATION_FAIL where some evidence can be taken away and the claim is still
-    decided. A proof lasts as long as its premises, and chains that compete with another don't count before or after, so
-    the last is so exactly where there are several proofs.
+    asked = claims.select("claim_id", "world", "predicate", "subject", "object", F.col("value").alias("_value"), F.col("polarity").alias("_polarity"), F.col("context").alias("_context"))
+    ways = asked.withColumn("claim_predicate", F.explode(F.array("predicate", F.lit("*")))).join(rules, "claim_predicate").where(~F.col("claim_positive") | (F.col("_polarity") == "positive"))
+    if authorised is not None:
+        ways = ways.join(authorised.select("world", "rule_id").distinct(), ["world", "rule_id"], "left_semi")
+    turn = lambda a, b: F.when(F.col("swapped"), F.col(b)).otherwise(F.col(a))
+    wanted = F.when(F.col("fact_predicate") == "*", F.col("predicate")).otherwise(F.col("fact_predicate"))
+    ways = ways.select("claim_id", "side", "rule_id", "hops", F.col("world").alias("w"), wanted.alias("p"), turn("subject", "object").alias("s"), turn("object", "subject").alias("o"), "_value", "_polarity", "_context", F.col("polarity"), F.col("value").alias("of_value"))
+    own = facts.select("fact_id", "world", "predicate", "subject", "object", F.col("value").alias("f_value"), F.col("polarity").alias("f_polarity"), F.col("context").alias("f_context"))
+    same_value = F.col("f_value").eqNullSafe(F.col("_value"))
+    polarity = F.when(F.col("polarity") == "SAME", F.col("f_polarity") == F.col("_polarity")).when(F.col("polarity") == "OPPOSITE", F.col("f_polarity") != F.col("_polarity")).otherwise(F.col("f_polarity") == "positive")
+    value = F.when(F.col("of_value") == "SAME", same_value).when(F.col("of_value") == "OTHER", ~same_value).otherwise(True)
+    met = (F.col("w") == F.col("world")) & (F.col("p") == F.col("predicate")) & (F.col("s") == F.col("subject")) & F.col("o").eqNullSafe(F.col("object"))
+    one = ways.where("hops = 1").join(own, met).where(polarity & value & _fits("f_context", "_context"))
+    singles = one.select("claim_id", "side", "rule_id", "hops", F.array("fact_id").alias("premises"))
+
+    ends = F.array(F.struct("predicate", "subject", "object"), F.struct(inverse_of(F.col("predicate")).alias("predicate"), F.col("object").alias("subject"), F.col("subject").alias("object")))
+    edges = own.where("f_polarity = 'positive' and subject is not null and object is not null").select("fact_id", F.col("world").alias("w"), "f_context", F.explode(ends).alias("e")).where("e.predicate is not null")
+    first = edges.select("w", F.col("e.predicate").alias("p"), F.col("e.subject").alias("s"), F.col("e.object").alias("middle"), F.col("fact_id").alias("one"), F.col("f_context").alias("one_context"))
+    second = edges.select("w", F.col("e.predicate").alias("p"), F.col("e.subject").alias("middle"), F.col("e.object").alias("o"), F.col("fact_id").alias("two"), F.col("f_context").alias("two_context"))
+    two = ways.where("hops = 2 and s <> o").join(first, ["w", "p", "s"]).where(_fits("one_context", "_context")).join(second, ["w", "p", "middle", "o"]).where(_fits("two_context", "_context"))
+    return singles.unionByName(two.select("claim_id", "side", "rule_id", "hops", F.array("one", "two").alias("premises")))
+
+
+def verified(claims: DataFrame, facts: DataFrame, rules: DataFrame, authorised: DataFrame | None = None, expected: str = "expected") -> DataFrame:
+    """claim_id, label, level, evidence (fact ids), rules (ids of those that prove it) and codes, all sorted, of each claim.
+
+    The inputs are those of ``matches``; claims may have an expected label too. A fact that matches is a proof; chains of a rule and side are one if there is
+    just one of them. SUPPORTED or CONTRADICTORY need proofs of that side alone. Level: L2 with a chain, else L3 for BEFORE, else L1; null where UNKNOWN.
+
+    Codes: VERIFIER_DISAGREEMENT where the label isn't the expected one; CO_TRUTH_POSSIBLE where both sides have proofs; UNPROVIDED_PREMISE
+    without evidence; MINIMALITY_ABLATION_FAIL where the claim is decided (either way) when one fact of its evidence is away.
+    The last is counted, not tried: without a fact a side keeps the matching facts less that one, and a chain exactly where one chain
+    is left of all that compete, be it that a single one doesn't need the fact or that the others did.
+
+    Repeated claim ids raise ValueError, since evidence would mix. Claims without any match are UNKNOWN.
     """
-    each = derivations(claims, facts).groupBy("claim_id").agg(
-        F.count_if(F.col("side") == "support").alias("s"), F.count_if(F.col("side") == "refute").alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("premises")))).alias("evidence"), F.count_distinct("premises").alias("proofs")
-    )
-    out = claims.join(each, "claim_id", "left").withColumns({"s": F.coalesce("s", F.lit(0)), "r": F.coalesce("r", F.lit(0)), "proofs": F.coalesce("proofs", F.lit(0))})
-    label = F.when((F.col("s") > 0) & (F.col("r") == 0), "SUPPORTED").when((F.col("r") > 0) & (F.col("s") == 0), "CONTRADICTORY").otherwise("UNKNOWN")
-    out = out.withColumn("label", label).withColumn("evidence", F.coalesce("evidence", F.array().cast(facts.schema["fact_id"].dataType.simpleString().join(["array<", ">"]))))
-    decided = F.col("label") != "UNKNOWN"
+    if claims.groupBy("claim_id").count().where("count > 1").limit(1).count():
+        raise ValueError("REPEATED_CLAIM_ID")
+    found = materialize(matches(claims, facts, rules, authorised), "matches")
+    single = found.where("hops = 1").select("claim_id", "side", "rule_id", F.get("premises", F.lit(0)).alias("fact_id"))
+    chain_key = ["claim_id", "side", "rule_id"]
+    chains = found.where("hops = 2").groupBy(*chain_key).agg(F.count("*").alias("n"), F.first("premises").alias("premises"))
+    proofs = single.withColumn("hops", F.lit(1)).unionByName(chains.where("n = 1").select(*chain_key, F.explode("premises").alias("fact_id"), F.lit(2).alias("hops")))
+    each = proofs.groupBy("claim_id").agg(F.bool_or(F.col("side") == "support").alias("s"), F.bool_or(F.col("side") == "refute").alias("r"), F.max("hops").alias("hops"), F.sort_array(F.collect_set("fact_id")).alias("evidence"), F.sort_array(F.collect_set("rule_id")).alias("rules"))
+
+    used = proofs.select("claim_id", "fact_id").distinct()
+    facts_of_side = single.select("claim_id", "side", "fact_id").distinct()
+    stay = facts_of_side.groupBy("claim_id").agg(*[F.count_if(F.col("side") == side).alias(side) for side in ("support", "refute")])
+    gone = facts_of_side.groupBy("claim_id", "fact_id").agg(*[F.count_if(F.col("side") == side).alias(f"{side}_gone") for side in ("support", "refute")])
+    through = found.where("hops = 2").select(*chain_key, F.explode(F.array_distinct("premises")).alias("fact_id")).groupBy(*chain_key, "fact_id").agg(F.count("*").alias("m"))
+    left = used.join(chains.drop("premises"), "claim_id").join(through, [*chain_key, "fact_id"], "left").where(F.col("n") - F.coalesce("m", F.lit(0)) == 1)
+    left = left.groupBy("claim_id", "fact_id").agg(*[F.count_if(F.col("side") == side).alias(f"{side}_chains") for side in ("support", "refute")])
+    after = used.join(stay, "claim_id", "left").join(gone, ["claim_id", "fact_id"], "left").join(left, ["claim_id", "fact_id"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    still = {side: zero(side) - zero(f"{side}_gone") + zero(f"{side}_chains") > 0 for side in ("support", "refute")}
+    loose = after.where(still["support"] != still["refute"]).select("claim_id").distinct().withColumn("loose", F.lit(True))
+
+    out = claims.select("claim_id", "predicate", F.col(expected).alias("_expected") if expected in claims.columns else F.lit(None).alias("_expected")).join(each, "claim_id", "left").join(loose, "claim_id", "left")
+    s, r = F.coalesce("s", F.lit(False)), F.coalesce("r", F.lit(False))
+    label = F.when(s & ~r, "SUPPORTED").when(r & ~s, "CONTRADICTORY").otherwise("UNKNOWN")
     codes = F.array_compact(F.array(
-        F.when((F.col("s") > 0) & (F.col("r") > 0), "CO_TRUTH_POSSIBLE"), F.when(decided & (F.col("proofs") > 1), "MINIMALITY_ABLATION_FAIL"),
-        F.when(F.col("proofs") == 0, "UNPROVIDED_PREMISE"), F.when(F.col("label") != F.col(expected), "VERIFIER_DISAGREEMENT"),
+        F.when(s & r, "CO_TRUTH_POSSIBLE"), F.when(F.col("loose"), "MINIMALITY_ABLATION_FAIL"), F.when(~s & ~r, "UNPROVIDED_PREMISE"), F.when(label != F.col("_expected"), "VERIFIER_DISAGREEMENT"),
     ))
-    return out.select("claim_id", "label", "evidence", "proofs", codes.alias("codes"))
+    level = F.when(s != r, F.when(F.col("hops") == 2, "L2").when(F.col("predicate") == "BEFORE", "L3").otherwise("L1"))
+    ids, none = facts.schema["fact_id"].dataType.simpleString(), F.array()
+    return out.select("claim_id", label.alias("label"), level.alias("level"), F.coalesce("evidence", none.cast(f"array<{ids}>")).alias("evidence"), F.coalesce("rules", none.cast("array<string>")).alias("rules"), codes.alias("codes"))
 
 
 def fact(predicate: str | Column, subject: Column, value: Column | None = None, other: Column | None = None, scope: str = "scene") -> Column:

@@ -100,18 +100,25 @@ def inverse_normalised_path(t):
     return g.two_hop(g.normalised(_mixed(t)), irreducible=False)
 
 
-CLAIM_SQL = """claims as (select l_orderkey * 10 + l_linenumber as claim_id, l_orderkey as world, l_suppkey as subject, lead(l_suppkey, 2) over (partition by l_orderkey order by l_linenumber, l_suppkey) as object from lineitem),
+LINE_SQL = "partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity, l_shipdate"
+CLAIM_SQL = f"""claims as (select l_orderkey * 100000 + row_number() over ({LINE_SQL}) as claim_id, l_orderkey as world, l_suppkey as subject, lead(l_suppkey, 2) over ({LINE_SQL}) as object from lineitem),
 asked as (select * from claims where object is not null and object <> subject)"""
-LABEL_SQL = """edges as materialized (select distinct world, 'BEFORE' as predicate, subject, object from norm), """ + HOP_SQL.format(e="edges") + """,
-known as materialized (select world, subject, object, min(how) as how from (select world, subject, object, 'direct' as how from edges union all select world, subject, object, 'two_hop' from hops) group by all),
+LABEL_SQL = """edges as materialized (select distinct world, subject, object from norm),
+pairs as materialized (select distinct world, subject, object from (select world, subject, object from asked union all select world, object, subject from asked)),
+two as materialized (select p.world, p.subject, p.object from pairs p join edges a on a.world = p.world and a.subject = p.subject join edges b on b.world = p.world and b.subject = a.object and b.object = p.object group by all having count(*) = 1),
+known as materialized (select world, subject, object, min(how) as how from (select world, subject, object, 'direct' as how from edges union all select world, subject, object, 'two_hop' from two) group by all),
 labelled as (select c.claim_id, c.world, c.subject, c.object, s.how as support, r.how as refute,
   case when s.how is not null and r.how is null then 'SUPPORTED' when r.how is not null and s.how is null then 'CONTRADICTORY' else 'UNKNOWN' end as label, s.how is not null and r.how is not null as co_truth
   from asked c left join known s on s.world = c.world and s.subject = c.subject and s.object = c.object left join known r on r.world = c.world and r.subject = c.object and r.object = c.subject)"""
 
 
+def _line_order():
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
+
+
 def _claims(t):
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey")
-    rows = t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("world"), F.col("l_suppkey").alias("subject"), F.lead("l_suppkey", 2).over(order).alias("object"))
+    order = _line_order()
+    rows = t("lineitem").select((F.col("l_orderkey") * 100000 + F.row_number().over(order)).alias("claim_id"), F.col("l_orderkey").alias("world"), F.col("l_suppkey").alias("subject"), F.lead("l_suppkey", 2).over(order).alias("object"))
     return rows.where("object is not null and object <> subject")
 
 
@@ -155,32 +162,80 @@ def transition_fold(t):
     return p.folded(t("events").select("user_id", "ts", "event_id", step.alias("step")), "user_id", ["ts", "event_id"], F.date_trunc("day", "ts"), 5)
 
 
-STATED_SQL = FACTS_SQL + ", stated as (select distinct world, subject, object, ordinal || ':' || subject || ':' || object as fact_id from facts)"
-WAYS_SQL = """ways as (select claim_id, world, 'support' as side, subject, object from asked union all select claim_id, world, 'refute', object, subject from asked),
-chain as (select a.world, a.subject, b.object, a.fact_id as one, b.fact_id as two from stated a join stated b on a.world = b.world and a.object = b.subject where a.subject <> b.object)"""
-
-
-@query("with " + STATED_SQL + """, claims as (select l_orderkey * 10 + l_linenumber as claim_id, l_orderkey as world, l_suppkey as subject, lead(l_suppkey, 2) over (partition by l_orderkey order by l_linenumber, l_suppkey) as object from lineitem),
-asked as (select * from claims where object is not null and object <> subject), """ + WAYS_SQL + """,
-direct as (select claim_id, side, fact_id from ways join stated using (world, subject, object)),
-single as (select world, subject, object, min(one) as one, min(two) as two from chain group by all having count(*) = 1),
-used as (select * from direct union all select claim_id, side, unnest([one, two]) from ways join single using (world, subject, object)),
-labelled as (select claim_id, case when bool_or(side = 'support') and not bool_or(side = 'refute') then 'SUPPORTED' when bool_or(side = 'refute') and not bool_or(side = 'support') then 'CONTRADICTORY' else 'UNKNOWN' end as label,
-  bool_or(side = 'support') and bool_or(side = 'refute') as both_sides, list_sort(list(distinct fact_id)) as evidence from used group by claim_id),
-removed as (select distinct claim_id, fact_id as gone from used),
-left_direct as (select r.claim_id, r.gone from removed r join direct d on d.claim_id = r.claim_id and d.fact_id <> r.gone),
-left_chain as (select claim_id, gone from (select r.claim_id, r.gone, w.side, count(*) as n from removed r join ways w on w.claim_id = r.claim_id join chain c on c.world = w.world and c.subject = w.subject and c.object = w.object and c.one <> r.gone and c.two <> r.gone group by all) where n = 1),
-still as (select distinct claim_id from (select * from left_direct union all select * from left_chain))
-select a.claim_id, coalesce(label, 'UNKNOWN') as label, array_to_string(coalesce(evidence, []), ',') as evidence,
-  array_to_string(list_filter([case when both_sides then 'CO_TRUTH_POSSIBLE' end, case when label in ('SUPPORTED', 'CONTRADICTORY') and s.claim_id is not null then 'MINIMALITY_ABLATION_FAIL' end,
-    case when l.claim_id is null then 'UNPROVIDED_PREMISE' end, case when coalesce(label, 'UNKNOWN') <> case when a.claim_id % 2 = 0 then 'SUPPORTED' else 'CONTRADICTORY' end then 'VERIFIER_DISAGREEMENT' end], lambda x: x is not null), ',') as codes
-from asked a left join labelled l on l.claim_id = a.claim_id left join still s on s.claim_id = a.claim_id""")
+RULED_SQL = f"""lines as (select *, row_number() over ({LINE_SQL}) as k from lineitem),
+facts as materialized (select l_orderkey || ':' || k as fact_id, l_orderkey as world, case k % 4 when 0 then 'AFTER' when 1 then 'BEFORE' when 2 then 'LEFT_OF' else 'RIGHT_OF' end as predicate, 'n' || l_suppkey % 4 as subject, 'n' || l_partkey % 4 as object,
+  null::bigint as value, case when l_quantity > 8 then 'positive' else 'negative' end as polarity, l_linestatus as status from lines
+  union all select l_orderkey || ':' || l_suppkey % 10 || ':' || count(*), l_orderkey, 'COUNT', 'class' || l_suppkey % 10, null, count(*), 'positive', 'O' from lineitem group by l_orderkey, l_suppkey % 10),
+claims as materialized (select l_orderkey * 100000 + k as claim_id, l_orderkey as world, case when k % 5 = 0 then 'COUNT' when l_partkey % 4 = 0 then 'AFTER' when l_partkey % 4 = 1 then 'BEFORE' when l_partkey % 4 = 2 then 'LEFT_OF' else 'RIGHT_OF' end as predicate,
+  case when k % 5 = 0 then 'class' || l_suppkey % 10 else 'n' || l_partkey % 3 end as subject, case when k % 5 <> 0 then 'n' || l_suppkey % 4 end as object, case when k % 5 = 0 then 1 + l_partkey % 2 end as value,
+  case when l_discount > 0.08 then 'negative' else 'positive' end as polarity, case when l_tax > 0.05 then l_linestatus end as status, case when k % 2 = 0 then 'SUPPORTED' else 'CONTRADICTORY' end as expected from lines),
+inverse as (select unnest(['BEFORE', 'AFTER', 'LEFT_OF', 'RIGHT_OF']) as p, unnest(['AFTER', 'BEFORE', 'RIGHT_OF', 'LEFT_OF']) as q),
+edges as materialized (select f.fact_id, f.world, f.predicate as p, f.subject, f.object, f.status from facts f where f.polarity = 'positive' and object is not null
+  union all select f.fact_id, f.world, q, f.object, f.subject, f.status from facts f join inverse on p = f.predicate where f.polarity = 'positive'),
+matched as materialized (
+  select c.claim_id, case when f.polarity = c.polarity then 'support' else 'refute' end as side, case when f.polarity = c.polarity then 'STATED' else 'OPPOSITE_POLARITY' end as rule, f.fact_id as one, null as two
+    from claims c join facts f on f.world = c.world and f.predicate = c.predicate and f.subject = c.subject where f.object is not distinct from c.object and f.value is not distinct from c.value and (c.status is null or c.status = f.status)
+  union all select c.claim_id, 'refute', 'OTHER_COUNT', f.fact_id, null from claims c join facts f on f.world = c.world and f.predicate = c.predicate and f.subject = c.subject where c.predicate = 'COUNT' and c.polarity = 'positive' and f.value <> c.value and (c.status is null or c.status = f.status)
+  union all select c.claim_id, 'support', 'INVERSE', f.fact_id, null from claims c join inverse on p = c.predicate join facts f on f.world = c.world and f.predicate = q and f.subject = c.object and f.object = c.subject where f.polarity = c.polarity and (c.status is null or c.status = f.status)
+  union all select c.claim_id, 'refute', 'ASYMMETRY', f.fact_id, null from claims c join facts f on f.world = c.world and f.predicate = c.predicate and f.subject = c.object and f.object = c.subject where f.polarity = 'positive' and (c.status is null or c.status = f.status)
+  union all select c.claim_id, 'refute', 'EXCLUSION', f.fact_id, null from claims c join inverse on p = c.predicate join facts f on f.world = c.world and f.predicate = q and f.subject = c.subject and f.object = c.object where f.polarity = 'positive' and c.polarity = 'positive' and (c.status is null or c.status = f.status)
+  union all select w.claim_id, side, rule, a.fact_id, b.fact_id from (select claim_id, world, predicate as p, status, 'support' as side, subject as s, object as o, case when predicate in ('BEFORE', 'AFTER') then 'STRICT_ORDER_TRANSITIVITY' else 'AUTHORIZED_DIRECTION_TRANSITIVITY' end as rule from claims where polarity = 'positive' and subject <> object
+      union all select claim_id, world, predicate, status, 'refute', object, subject, case when predicate in ('BEFORE', 'AFTER') then 'STRICT_ORDER_TRANSITIVITY' else 'AUTHORIZED_DIRECTION_TRANSITIVITY' end from claims where polarity = 'positive' and subject <> object) w
+    join edges a on a.world = w.world and a.p = w.p and a.subject = w.s join edges b on b.world = w.world and b.p = w.p and b.subject = a.object and b.object = w.o
+    where (w.status is null or (a.status = w.status and b.status = w.status)) and (w.world % 5 <> 0 or rule <> 'STRICT_ORDER_TRANSITIVITY')),
+unique_chain as (select claim_id, side, rule, min(one) as one, min(two) as two from matched where two is not null group by all having count(*) = 1),
+proofs as materialized (select claim_id, side, rule, one as fact_id, 1 as hops from matched where two is null union all select claim_id, side, rule, unnest([one, two]), 2 from unique_chain),
+labelled as (select claim_id, bool_or(side = 'support') as s, bool_or(side = 'refute') as r, max(hops) as hops, list_sort(list(distinct fact_id)) as evidence, list_sort(list(distinct rule)) as rules from proofs group by claim_id)"""
+
+
+def _ruled(t):
+    """Facts and claims of orders: relations of four kinds over few nodes, so that chains compete, some facts negative, counts, contexts; strict orders don't chain in every fifth world."""
+    rows = t("lineitem").withColumn("k", F.row_number().over(_line_order()))
+    pick = lambda on: F.when(on == 0, "AFTER").when(on == 1, "BEFORE").when(on == 2, "LEFT_OF").otherwise("RIGHT_OF")
+    node = lambda kind, c, n: F.concat(F.lit(kind), (F.col(c) % n).cast("string"))
+    none = F.lit(None)
+    relations = rows.select(
+        F.concat_ws(":", "l_orderkey", "k").alias("fact_id"), F.col("l_orderkey").alias("world"), pick(F.col("k") % 4).alias("predicate"), node("n", "l_suppkey", 4).alias("subject"), node("n", "l_partkey", 4).alias("object"),
+        none.cast("bigint").alias("value"), F.when(F.col("l_quantity") > 8, "positive").otherwise("negative").alias("polarity"), F.create_map(F.lit("status"), "l_linestatus").alias("context"),
+    )
+    counted = rows.groupBy("l_orderkey", (F.col("l_suppkey") % 10).alias("c")).agg(F.count("*").alias("n"))
+    counts = counted.select(
+        F.concat_ws(":", "l_orderkey", "c", "n").alias("fact_id"), F.col("l_orderkey").alias("world"), F.lit("COUNT").alias("predicate"), F.concat(F.lit("class"), "c").alias("subject"), none.cast("string").alias("object"),
+        F.col("n").alias("value"), F.lit("positive").alias("polarity"), F.create_map(F.lit("status"), F.lit("O")).alias("context"),
+    )
+    count = F.col("k") % 5 == 0
+    claims = rows.select(
+        (F.col("l_orderkey") * 100000 + F.col("k")).alias("claim_id"), F.col("l_orderkey").alias("world"), F.when(count, "COUNT").otherwise(pick(F.col("l_partkey") % 4)).alias("predicate"),
+        F.when(count, node("class", "l_suppkey", 10)).otherwise(node("n", "l_partkey", 3)).alias("subject"), F.when(~count, node("n", "l_suppkey", 4)).alias("object"), F.when(count, 1 + F.col("l_partkey") % 2).alias("value"),
+        F.when(F.col("l_discount") > 0.08, "negative").otherwise("positive").alias("polarity"), F.when(F.col("l_tax") > 0.05, F.create_map(F.lit("status"), "l_linestatus")).alias("context"), F.when(F.col("k") % 2 == 0, "SUPPORTED").otherwise("CONTRADICTORY").alias("expected"),
+    )
+    ids = F.explode(F.array(*[F.lit(r) for r in p.RULE_IDS])).alias("rule_id")
+    authorised = t("lineitem").select(F.col("l_orderkey").alias("world")).distinct().select("world", ids).where("world % 5 <> 0 or rule_id <> 'STRICT_ORDER_TRANSITIVITY'")
+    return claims, relations.unionByName(counts), p.standard_rules(rows.sparkSession), authorised
+
+
+@query("with " + RULED_SQL + """ select claim_id, side, rule as rule_id, count(*) as n, min(one) as least_first, max(two) as greatest_second from matched group by all""")
+def rule_matches(t):
+    """What each rule of a table sets against each claim: facts, and chains that may compete; some rules are switched off in some worlds."""
+    claims, facts_, rules, authorised = _ruled(t)
+    found = p.matches(claims, facts_, rules, authorised)
+    return found.groupBy("claim_id", "side", "rule_id").agg(F.count("*").alias("n"), F.min(F.get("premises", F.lit(0))).alias("least_first"), F.max(F.get("premises", F.lit(1))).alias("greatest_second"))
+
+
+@query("with " + RULED_SQL + """,
+used as (select distinct claim_id, fact_id as gone from proofs),
+left_single as (select distinct u.claim_id, gone, side from used u join matched m on m.claim_id = u.claim_id and m.two is null and m.one <> gone),
+left_chain as (select u.claim_id, gone, side from used u join matched m on m.claim_id = u.claim_id and m.two is not null and m.one <> gone and m.two <> gone group by u.claim_id, gone, side, rule having count(*) = 1),
+relabelled as (select claim_id, gone, count(distinct side) as sides from (select * from left_single union all select * from left_chain) group by all),
+loose as (select distinct claim_id from relabelled where sides = 1),
+out as (select c.claim_id, c.predicate, c.expected, coalesce(s, false) as s, coalesce(r, false) as r, hops, evidence, rules, o.claim_id is not null as loose, case when s and not r then 'SUPPORTED' when r and not s then 'CONTRADICTORY' else 'UNKNOWN' end as label
+  from claims c left join labelled l on l.claim_id = c.claim_id left join loose o on o.claim_id = c.claim_id)
+select claim_id, label, case when s <> r then case when hops = 2 then 'L2' when predicate = 'BEFORE' then 'L3' else 'L1' end end as level, array_to_string(coalesce(evidence, []), ',') as evidence, array_to_string(coalesce(rules, []), ',') as rules,
+  array_to_string(list_filter([case when s and r then 'CO_TRUTH_POSSIBLE' end, case when loose then 'MINIMALITY_ABLATION_FAIL' end, case when not s and not r then 'UNPROVIDED_PREMISE' end, case when label <> expected then 'VERIFIER_DISAGREEMENT' end], lambda x: x is not null), ',') as codes from out""")
 def proof_verification(t):
-    """Labels, evidence and reject codes of claims against an expected label; SQL takes each piece of evidence away and labels again."""
-    stated = facts(t).select("world", "predicate", "subject", "object", F.concat_ws(":", "ordinal", "subject", "object").alias("fact_id")).distinct()
-    expected = F.when(F.col("claim_id") % 2 == 0, "SUPPORTED").otherwise("CONTRADICTORY")
-    out = p.verified(_claims(t).withColumn("expected", expected), stated)
-    return out.select("claim_id", "label", F.array_join("evidence", ",").alias("evidence"), F.array_join("codes", ",").alias("codes"))
+    """Labels, levels, evidence, rules and reject codes of claims against an expected label; SQL takes each piece of evidence away and labels again."""
+    out = p.verified(*_ruled(t))
+    return out.select("claim_id", "label", "level", *[F.array_join(c, ",").alias(c) for c in ("evidence", "rules", "codes")])
 
 
 @query("""with g as (select l_orderkey, l_suppkey, count(*) - case when l_orderkey % 3 = 0 then 1 else 0 end as pre, min(l_linenumber) as line from lineitem group by l_orderkey, l_suppkey),
@@ -211,22 +266,6 @@ def engine_on_fact_slots(t):
     return both.select("l_orderkey", "l_suppkey", "family", F.array_join("a.errors", ",").alias("a_errors"), F.array_join("b.errors", ",").alias("b_errors"), agree.alias("agree"), F.when(F.col("a.status") == "PASS", F.get(counted, F.lit(0))["value"]).alias("post_count"))
 
 
-@query("""with a as (select o_orderkey, case when o_orderkey % 4 = 0 then 'ADD' when o_orderkey % 4 = 1 then 'REMOVE' when o_orderkey % 4 = 2 then 'REPLACE' else 'MOVE' end as family, o_orderkey % 3 as pre, 1 + o_orderkey % 2 as delta from orders),
-e as (select *, case family when 'ADD' then pre + delta when 'REMOVE' then case when pre >= delta then pre - delta end when 'REPLACE' then delta else pre end as engine_a,
-  case when family = 'REMOVE' and pre < delta then null when family = 'REPLACE' then delta when family = 'MOVE' then pre else pre + delta * case family when 'ADD' then 1 else -1 end end as checker_b from a)
-select family, count(*) as n, count(*) filter (where engine_a is null) as failed, count(*) filter (where engine_a is not distinct from checker_b) as agree from e group by family""")
-def engine_ab_agree(t):
-    """Post counts by a general delete-and-add engine and by a rule per family, compared."""
-    k = F.col("o_orderkey")
-    family = F.when(k % 4 == 0, "ADD").when(k % 4 == 1, "REMOVE").when(k % 4 == 2, "REPLACE").otherwise("MOVE")
-    a = t("orders").select(family.alias("family"), (k % 3).alias("pre"), (1 + k % 2).alias("delta"))
-    gone = F.when(F.col("family").isin("REMOVE"), F.col("delta")).when(F.col("family") == "REPLACE", F.col("pre")).otherwise(F.lit(0))
-    new = F.when(F.col("family").isin("ADD", "REPLACE"), F.col("delta")).otherwise(F.lit(0))
-    engine = F.when(gone <= F.col("pre"), F.col("pre") - gone + new)
-    rule = F.when(F.col("family") == "ADD", F.col("pre") + F.col("delta")).when(F.col("family") == "REMOVE", F.when(F.col("pre") >= F.col("delta"), F.col("pre") - F.col("delta"))).when(F.col("family") == "REPLACE", F.col("delta")).otherwise(F.col("pre"))
-    return a.groupBy("family").agg(F.count("*").alias("n"), F.count_if(engine.isNull()).alias("failed"), F.count_if(engine.eqNullSafe(rule)).alias("agree"))
-
-
 @query("""with c as (select l_orderkey, l_suppkey, count(*) as pre, max(l_linenumber) % 3 as delta, min(l_partkey) % 4 as claimed, bool_or(l_returnflag = 'R') as missing from lineitem group by all)
 select l_orderkey, l_suppkey, case when missing then 'UNKNOWN' when claimed = pre + delta then 'SUPPORTED' else 'CONTRADICTORY' end as label from c""")
 def count_rule_replay(t):
