@@ -12,40 +12,56 @@ from pyspark.sql import functions as F
 from .parse import strict_object
 
 MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[][{},]')
-KEY = re.compile(r'\s*("(?:[^"\\]|\\.)*")', re.S)
+DECODE = json.JSONDecoder().raw_decode
 NUMBER_AT_END = re.compile(r"[:\s,\[]-?[0-9][0-9.eE+-]*\Z")
 #: Words for relations in values.
 VALUES = {"left": "LEFT_OF", "right": "RIGHT_OF", "front": "FRONT_OF", "behind": "BEHIND", "above": "ABOVE", "below": "BELOW"}
 OPERATIONS = ["REMOVE", "ADD", "REPLACE", "MOVE", "SWAP"]
 
 
+def _broken(rest: str, found: dict) -> bool:
+    """Whether what follows the last whole member is wrong by itself, rather than cut off: a key that repeats or isn't a string, no colon after it, or no comma after its value."""
+    try:
+        key, end = DECODE(rest)
+    except ValueError:
+        return False
+    after = rest[end:].lstrip()
+    if not isinstance(key, str) or key in found or after[:1] not in ("", ":"):
+        return True
+    try:
+        end = DECODE(after[1:].lstrip())[1]
+    except ValueError:
+        return False
+    after = after[1:].lstrip()[end:].lstrip()
+    return after[:1] not in ("", ",", "}") or len(after) > 1 and after[0] == "}"
+
+
 def whole_members(text: str) -> dict:
-    """The members of an object that is cut off somewhere: those whose values are surely whole.
+    """The members of an object that is cut off or malformed somewhere: those before that place, whose values are surely whole.
 
-    The text is closed after its last member, or at its last comma on the outer level. A number at the very end may go on, so it doesn't
-    count. Empty if a key repeats, the object was closed and more follows, or nothing parses.
+    The text is closed at its end, or else at the last comma on the outer level before which it reads as an object. A number at the very end may go on, so it doesn't
+    count. Empty if a key repeats, the object was closed and more follows, or marks between keys and values are missing.
     """
     if not text.startswith("{"):
         return {}
-    depth, comma = 0, 1
+    depth, ends = 0, [1]
     for m in MARKS.finditer(text):
         mark = m.group()
         depth += (mark in "{[") - (mark in "}]")
         if depth == 0:
-            return {}
+            break
         if mark == "," and depth == 1:
-            comma = m.start()
-    for end in (len(text), comma):
-        if end == len(text) and NUMBER_AT_END.search(text):
-            continue
+            ends.append(m.start())
+    if depth and not NUMBER_AT_END.search(text):
+        ends.append(len(text))
+    for end in reversed(ends):
         try:
             found = strict_object(text[:end] + "}")
         except ValueError as e:
             if str(e) == "REPEATED_KEY":
                 return {}
             continue
-        begun = KEY.match(text, end + 1)
-        return {} if begun and json.loads(begun.group(1)) in found else found
+        return {} if _broken(text[end + (end > 1) :].lstrip(), found) else found
     return {}
 
 

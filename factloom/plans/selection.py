@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.canon import digest_byte, seeded_hash
+from ..operators import quota as q
 from ..operators import select as s
 from .registry import query
 
@@ -41,13 +42,65 @@ def single_cap_quota(t):
     return s.ranked(rows, ["l_suppkey"], "key", "l_orderkey", "l_linenumber").where("rank <= 5").drop("key")
 
 
-@query()
+@query("""with recursive c as (select c_custkey, c_nationkey, c_mktsegment, c_custkey % 40 as world, row_number() over (order by sha256('5' || chr(0) || c_custkey), c_custkey) as step from customer),
+w as (select 0::bigint as step, null::bigint as c_custkey, null::bigint as c_nationkey, null::varchar as c_mktsegment, null::bigint as world, null::varchar as outcome, []::struct(n bigint, s varchar, w bigint)[] as taken
+  union all select step, c_custkey, c_nationkey, c_mktsegment, world, outcome, case when outcome = 'TAKEN' then list_append(taken, {'n': c_nationkey::bigint, 's': c_mktsegment, 'w': world::bigint}) else taken end
+  from (select c.*, w.taken, case when len(w.taken) >= 80 then 'TARGET_REACHED' when len(list_filter(w.taken, lambda x: x.n = c.c_nationkey)) >= 4 then 'CAP_c_nationkey' when len(list_filter(w.taken, lambda x: x.s = c.c_mktsegment)) >= 20 then 'CAP_c_mktsegment'
+    when len(list_filter(w.taken, lambda x: x.w = c.world)) >= 2 then 'CAP_world' else 'TAKEN' end as outcome from w join c on c.step = w.step + 1))
+select c_custkey, c_nationkey, c_mktsegment, world, outcome from w where step > 0""")
 def greedy_multi_cap(t):
-    """Several caps at once: of a nation, a segment and a world, until a target is reached."""
+    """Several caps at once: of a nation, a segment and a world, until a target is reached; SQL walks row by row."""
     rows = t("customer").select(seeded_hash(5, F.col("c_custkey")).alias("key"), "c_custkey", "c_nationkey", "c_mktsegment", (F.col("c_custkey") % 40).alias("world"))
     return s.greedy_caps(rows, ["key", "c_custkey"], {"c_nationkey": 4, "c_mktsegment": 20, "world": 2}, 80).drop("key")
 
 
+@query("""with recursive c as (select c_custkey, c_mktsegment as family, c_custkey % 40 as scene, c_nationkey % 3 = 0 as test, c_acctbal < 0 as kind, c_nationkey % 2 as move, row_number() over (order by sha256('9' || chr(0) || c_custkey), c_custkey) as k from customer),
+steps as (select *, row_number() over (order by phase, k) as step from (select 1 as phase, 15 as target, * from c where kind union all select 2, 20, * from c where test union all select 3, 60, * from c)),
+w as (select 0::bigint as step, []::struct(id bigint, family varchar, scene bigint, test boolean, kind boolean, move bigint, phase integer)[] as taken
+  union all select s.step, case when list_contains(list_transform(w.taken, lambda x: x.id), s.c_custkey) or len(list_filter(w.taken, lambda x: s.phase = 3 or s.phase = 1 and x.kind or s.phase = 2 and x.test)) >= s.target
+      or len(list_filter(w.taken, lambda x: x.family = s.family)) >= case s.family when 'BUILDING' then 9 else 15 end or len(list_filter(w.taken, lambda x: x.scene = s.scene and x.test = s.test)) >= case when s.test then 2 else 3 end
+      or s.test and len(list_filter(w.taken, lambda x: x.test and x.scene = s.scene and x.move = s.move)) >= 1 then w.taken
+    else list_append(w.taken, {'id': s.c_custkey::bigint, 'family': s.family, 'scene': s.scene::bigint, 'test': s.test, 'kind': s.kind, 'move': s.move::bigint, 'phase': s.phase}) end from w join steps s on s.step = w.step + 1)
+select x.id as c_custkey, ['kind', 'test', 'rest'][x.phase] as phase from (select unnest(taken) as x from w where step = (select max(step) from steps))""")
+def greedy_phases(t):
+    """Minimums before what fills up: of a kind, then of the test split, then until the target, under quotas of families, scenes and moves."""
+    c = t("customer")
+    test = F.col("c_nationkey") % 3 == 0
+    scene, move = F.col("c_custkey") % 40, F.col("c_nationkey") % 2
+    caps = [
+        q.Cap("family", F.col("c_mktsegment"), F.when(F.col("c_mktsegment") == "BUILDING", 9).otherwise(15)), q.Cap("scene", F.concat_ws("/", scene, test.cast("string")), F.when(test, 2).otherwise(3)),
+        q.Cap("move", F.when(test, F.concat_ws("/", scene, move)), 1),
+    ]
+    phases = [q.Phase("kind", F.col("c_acctbal") < 0, 15, True), q.Phase("test", test, 20, True), q.Phase("rest", F.lit(True), 60, True)]
+    return q.phased(c.withColumn("key", seeded_hash(9, F.col("c_custkey"))), ["key", "c_custkey"], caps, phases)[0].drop("key")
+
+
+@query("""with recursive p as (select p_partkey, p_size, p_partkey % 4 = 0 as test, p_retailprice > 1000 as dear, row_number() over (order by sha256('13' || chr(0) || p_partkey), p_partkey) as k from part),
+steps as (select *, row_number() over (order by phase, k) as step from (select 1 as phase, 12 as target, * from p where p_size % 2 = 0 union all select 2, 20, * from p where dear union all select 3, 10, * from p)),
+w as (select 0::bigint as step, []::struct(id bigint, world bigint, test boolean, phase integer)[] as taken
+  union all select s.step, case when list_contains(list_transform(w.taken, lambda x: x.id), s.p_partkey) or len(list_filter(w.taken, lambda x: x.phase = s.phase)) >= s.target or s.test and len(list_filter(w.taken, lambda x: x.test and x.world = s.p_size)) >= 1 then w.taken
+    else list_append(w.taken, {'id': s.p_partkey::bigint, 'world': s.p_size::bigint, 'test': s.test, 'phase': s.phase}) end from w join steps s on s.step = w.step + 1)
+select x.id as p_partkey, ['even', 'dear', 'any'][x.phase] as phase from (select unnest(taken) as x from w where step = (select max(step) from steps))""")
+def greedy_by_reason(t):
+    """Reasons one after another take rows that are eligible for them, each row once and each world of the test split once."""
+    p = t("part").withColumn("key", seeded_hash(13, F.col("p_partkey")))
+    world = q.Cap("world", F.when(F.col("p_partkey") % 4 == 0, F.col("p_size")), 1)
+    reasons = [q.Phase("even", F.col("p_size") % 2 == 0, 12), q.Phase("dear", F.col("p_retailprice") > 1000, 20), q.Phase("any", F.lit(True), 10)]
+    return q.phased(p, ["key", "p_partkey"], [world], reasons)[0].drop("key")
+
+
+@query("""with recursive e as (select event_type as op, user_id as source, min(struct_pack(ts := ts, id := event_id)) as first from events where event_type is not null and user_id is not null group by all),
+ops as (select op, row_number() over (order by op) - 1 as i, count(*) over () as k from (select distinct op from e)),
+w as (select 0::bigint as n, 0::bigint as idle, []::bigint[] as used, null::varchar as op, null::bigint as source, null::bigint as event_id, 0::bigint as turn
+  union all select n + 1, case when pick is null then idle + 1 else 0 end, case when pick is null then used else list_append(used, pick.source::bigint) end, op, pick.source::bigint, pick.id::bigint, n // k + 1
+  from (select w.n, w.idle, w.used, o.op, o.k, (select arg_min(struct_pack(source := e.source, id := e.first.id), e.first) from e where e.op = o.op and not list_contains(w.used, e.source::bigint)) as pick from w join ops o on o.i = w.n % o.k where len(w.used) < 60 and w.idle < o.k))
+select op, source, event_id, turn, row_number() over (order by n) as position from w where source is not null""")
+def round_robin_sources(t):
+    """Kinds of events in turn take their next event of a user whom no kind has used, 60 in all."""
+    e = t("events").select(F.col("event_type").alias("op"), F.col("user_id").alias("source"), "ts", "event_id")
+    return q.turns(e, "op", "source", ["ts", "event_id"], 60, block=10).drop("ts")
+
+
 @query("""with a as (select c_custkey, c_acctbal < 0 as flag from customer), n as (select count(*) filter (where flag) as a, count(*) filter (where not flag) as b from a),
 m as (select least(a, greatest(40, 100 - b)) as ka, a, b from n), l as (select ka, least(b, 100 - ka) as kb from m)
 select c_custkey, flag from (select *, row_number() over (partition by flag order by c_custkey) as rank from a), l where rank <= case when flag then ka else kb end""")
