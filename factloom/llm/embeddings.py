@@ -3,7 +3,7 @@
 Unit vectors are cut in halves, and each half has a codebook of its own; the pairs of codes
 are the cells of a product grid. A vector lies in the cell of its nearest codes. It visits cells in
 the order of the sum of its two distances (multi-sequence traversal) up to the number that a sample
-with perturbed copies needs to reach the target recall, and all that it meets there is verified by
+with perturbed copies needs to reach the target recall (beyond MOST_VISITS, all blocks of vectors are compared instead), and all that it meets there is verified by
 cosine in double precision. The number of codes grows with the table, so a cell holds about as many
 vectors at any size.
 
@@ -31,12 +31,16 @@ from .components import connected_components
 SAMPLE = 20_000
 PER_CELL = 64
 VISITORS, MEMBERS = 4_096, 2_048
+#: With more cells to visit than this, the index is left for a comparison of all blocks of vectors.
+MOST_VISITS = 1_024
 #: Places (rows times cells that could be next) that a task orders at once.
 SLAB = 8_000_000
 LINKS = "node bigint, links bigint, to bigint"
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1. A power of two comes out first, which is exact, so no square overflows or vanishes."""
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -89,13 +93,24 @@ class MultiIndex:
             out[at : at + step] = np.take_along_axis(order_a, i[best], axis=1) * width + np.take_along_axis(order_b, j[best], axis=1)
         return out
 
+    def rank(self, units: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Of how many cells the sum of distances is at most that of one cell, for each vector: no less than the place in which it visits the cell."""
+        out, width = np.empty(len(units), dtype=np.int64), len(self.books[1])
+        for at in range(0, len(units), 256):
+            a, b = self.tables(units[at : at + 256])
+            b_sorted = np.sort(b, axis=1)
+            for k, cell in enumerate(cells[at : at + 256].tolist()):
+                limit = (a[k, cell // width] + b[k, cell % width]) * (1 + 1e-12) + 1e-15
+                out[at + k] = np.searchsorted(b_sorted[k], limit - a[k], side="right").sum()
+        return out
+
 
 def fit(sample: np.ndarray, total: int, threshold: float, recall: float, seed: int = 11) -> tuple[MultiIndex, int]:
     """An index for ``total`` vectors, and how many cells to visit.
 
     The visits are those that find ``recall`` of copies turned to exactly the threshold, the
-    hardest pairs that count, each from either side. The order is followed twice as far until
-    it is enough, to the whole grid if need be, where nothing is missed.
+    hardest pairs that count, each from either side. A copy's place in the order is counted from the sorted
+    distances to the codes, so no order is written down; it may be the whole grid.
     """
     codes = max(1, min(4_096, math.isqrt(max(1, total // PER_CELL)), len(sample)))
     half = (sample.shape[1] + 1) // 2
@@ -107,15 +122,8 @@ def fit(sample: np.ndarray, total: int, threshold: float, recall: float, seed: i
     length = np.linalg.norm(noise, axis=1, keepdims=True)
     angle = math.acos(min(threshold + 0.005, 1.0))
     y = math.cos(angle) * x + math.sin(angle) * noise / np.where(length > 0, length, 1)
-    grid = index.books[0].shape[0] * index.books[1].shape[0]
-    place = lambda seen, home: np.where((hit := seen == home[:, None]).any(axis=1), hit.argmax(axis=1), seen.shape[1])
-    home_x, home_y, most = index.visits(x, 1)[:, 0], index.visits(y, 1)[:, 0], min(grid, 128)
-    while True:
-        needed = np.minimum(place(index.visits(x, most), home_y), place(index.visits(y, most), home_x)) + 1
-        count = int(np.quantile(needed, recall, method="higher"))
-        if count <= most:
-            return index, count
-        most = min(grid, 2 * most)
+    needed = np.minimum(index.rank(x, index.visits(y, 1)[:, 0]), index.rank(y, index.visits(x, 1)[:, 0]))
+    return index, int(np.quantile(needed, recall, method="higher"))
 
 
 def _assign(index: MultiIndex, count: int):
@@ -201,8 +209,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
     rows = vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), v.alias("vector"))
     fine = F.size("vector") > 0
     fine = fine & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    usable = F.coalesce(fine & F.when(fine, (norm > 0) & (norm < float("inf"))).otherwise(False), F.lit(False)) & F.col("vec_id").isNotNull()
+    usable = F.coalesce(fine & F.when(fine, F.exists("vector", lambda x: x != 0)).otherwise(False), F.lit(False)) & F.col("vec_id").isNotNull()
     known = rows.select("vec_id", F.when(usable, F.col("vector")).alias("vector"), F.when(usable, F.size("vector")).alias("dims"))
     # 128 bits tell vectors apart where only ids matter
     known = materialize(known.withColumns({"k1": F.when(usable, F.xxhash64("vector")), "k2": F.when(usable, F.xxhash64(F.lit("second"), "vector"))}), "vectors")
@@ -234,6 +241,8 @@ def _links(distinct: DataFrame, total: int, threshold: float, recall: float) ->
     if not picked:  # a handful of vectors, none of which the hash took
         picked = distinct.select("vector").limit(SAMPLE).collect()
     index, count = fit(_unit(np.array([r["vector"] for r in picked], dtype=float)), total, threshold, recall)
+    if count > MOST_VISITS:
+        return _all_blocks(distinct, total, threshold)
     placed = materialize(distinct.select("node", "copies", "vector").mapInPandas(_assign(index, count), "node bigint, copies bigint, vector array<double>, visits array<int>"), "placed")
     cells = placed.groupBy(F.col("visits")[0].alias("cell")).agg(F.count("*").alias("members"))
     visitors = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("visitors"))
@@ -243,3 +252,17 @@ def _links(distinct: DataFrame, total: int, threshold: float, recall: float) ->
     guests = placed.select("node", "copies", "vector", "visits", F.explode("visits").alias("cell")).join(cells, "cell")
     guests = guests.select("cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("m"), own(F.col("q")).alias("q"), F.lit(False).alias("member"), "node", "copies", "vector", F.slice("visits", 1, 1).alias("visits"))
     return members.unionByName(guests).groupBy("cell", "m", "q").applyInPandas(_block(threshold), LINKS)
+
+
+def _all_blocks(distinct: DataFrame, total: int, threshold: float) -> DataFrame:
+    """(node, links, to) from comparing each two blocks of about MEMBERS vectors once.
+
+    For vectors so clustered that near cells don't tell copies from others. Each block is sent to as many tasks as there are blocks, so the work is
+    the square of the vectors, but no task holds more than two blocks and nothing is missed.
+    """
+    count = max(1, -(-total // MEMBERS))
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.lit(count)).cast("int")
+    rows = distinct.select("node", "copies", "vector", own.alias("own"), F.array(own).alias("visits"))
+    members = rows.select(F.col("own").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("q"), F.lit(True).alias("member"), "node", "copies", "vector", "visits")
+    guests = rows.select(F.explode(F.sequence(F.col("own"), F.lit(count - 1))).alias("cell"), F.col("own").alias("q"), F.lit(False).alias("member"), "node", "copies", "vector", "visits")
+    return members.unionByName(guests).groupBy("cell", "q").applyInPandas(_block(threshold), LINKS)

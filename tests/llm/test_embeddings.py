@@ -125,3 +125,30 @@ def test_ragged_lengths(spark):
     assert len(got) == len(rows)
     assert all((got[1_000 + 2 * n + k].n_links, got[1_000 + 2 * n + k].component_id) == (1, 1_000 + 2 * n) for n in range(200) for k in range(2))
     assert got[None].n_links == got[5_000].n_links == got[5_001].n_links == 0
+
+
+def test_any_magnitude_links(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [2.0, 2.1]), (4, [5e-324, 0.0]), (5, [1.7e308, 0.0]), (6, [0.0, -0.0]), (7, [1e200, float("inf")]), (8, [-1e300, -1e300])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7), 8: (0, 8)}
+
+
+def test_rank_is_the_place_in_the_order():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 10))
+    index = embeddings.MultiIndex(embeddings.codebook(x[:, :5], 12, 1), embeddings.codebook(x[:, 5:], 9, 2))
+    seen = index.visits(x, 108)
+    for k in (0, 5, 60, 107):
+        assert (np.abs(index.rank(x, seen[:, k]) - (k + 1)) <= 0).mean() > 0.99
+
+
+@pytest.mark.parametrize("members", [64, 2_048])
+def test_vectors_that_need_too_many_cells_are_compared_in_blocks(spark, monkeypatch, members):
+    """Clusters so tight that a copy at the threshold lies beyond all codes: the whole grid would be visited."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((6, 16))
+    x = np.vstack([centres[rng.integers(0, 6, 500)] + 1e-3 * rng.standard_normal((500, 16)), rng.standard_normal((150, 16)), np.repeat(centres[:1], 30, axis=0)])
+    monkeypatch.setattr(embeddings, "MOST_VISITS", 1)
+    monkeypatch.setattr(embeddings, "MEMBERS", members)
+    monkeypatch.setattr(embeddings, "PER_CELL", 4)
+    check(spark, rng.permutation(len(x)).tolist(), x)
