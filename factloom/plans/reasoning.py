@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.canon import canonical_json, content_id
 from ..operators import graph as g
 from ..operators import proofs as p
+from ..operators import replay
 from .frames import FACTS_SQL, facts
 from .registry import query
 
@@ -162,6 +163,20 @@ def transition_fold(t):
     return p.folded(t("events").select("user_id", "ts", "event_id", step.alias("step")), "user_id", ["ts", "event_id"], F.date_trunc("day", "ts"), 5)
 
 
+@query("""with s as (select user_id, row_number() over (partition by user_id order by ts, event_id) as k, case event_type when 'purchase' then 'ADD' when 'error' then 'REMOVE' when 'signup' then 'SET' else 'NOOP' end as kind,
+  event_id % 3 as amount, case when event_id % 50 = 0 then 1 end as want from events),
+m as (select *, max(case when kind = 'SET' then k end) over (partition by user_id order by k) as last_set, case kind when 'ADD' then amount when 'REMOVE' then -amount else 0 end as change from s),
+v as (select a.*, coalesce(b.amount, 4) + sum(a.change) over (partition by a.user_id, a.last_set order by a.k) as value from m a left join s b on b.user_id is not distinct from a.user_id and b.k = a.last_set),
+f as (select *, case when value < 0 then 'UNDERFLOW' when want <> value then 'STATE_MISMATCH' end as code from v),
+e as (select user_id, count(*) as steps, min(case when code is not null then k end) as failed_step, arg_max(value, k) as final_count from f group by user_id)
+select e.user_id, steps, coalesce(f.code, 'VALID') as status, failed_step, case when failed_step is null then final_count end::bigint as final_count from e left join f on f.user_id is not distinct from e.user_id and f.k = e.failed_step""")
+def sequence_replay(t):
+    """A user's events as actions that add to, take from or set a count, some with the count that should be there: the first that can't be replayed decides."""
+    kind = F.when(F.col("event_type") == "purchase", "ADD").when(F.col("event_type") == "error", "REMOVE").when(F.col("event_type") == "signup", "SET").otherwise("NOOP")
+    steps = t("events").select("user_id", "ts", "event_id", kind.alias("kind"), (F.col("event_id") % 3).alias("amount"), F.when(F.col("event_id") % 50 == 0, 1).alias("want"))
+    return replay.replayed(steps, "user_id", ["ts", "event_id"], 4)
+
+
 RULED_SQL = f"""lines as (select *, row_number() over ({LINE_SQL}) as k from lineitem),
 facts as materialized (select l_orderkey || ':' || k as fact_id, l_orderkey as world, case k % 4 when 0 then 'AFTER' when 1 then 'BEFORE' when 2 then 'LEFT_OF' else 'RIGHT_OF' end as predicate, 'n' || l_suppkey % 4 as subject, 'n' || l_partkey % 4 as object,
   null::bigint as value, case when l_quantity > 8 then 'positive' else 'negative' end as polarity, l_linestatus as status from lines
