@@ -7,6 +7,7 @@ from ..functions.canon import canonical_json, content_id
 from ..operators import graph as g
 from ..operators import proofs as p
 from ..operators import replay
+from ..operators import transitions as tr
 from .frames import FACTS_SQL, facts
 from .registry import query
 
@@ -177,6 +178,74 @@ def sequence_replay(t):
     return replay.replayed(steps, "user_id", ["ts", "event_id"], 4)
 
 
+FAMILIES = ["REMOVE_AND_RECOUNT", "ADD_AND_RECOUNT", "REPLACE_AND_RECOUNT", "REPLACEMENT_IDENTITY", "MOVE_TO_OPPOSITE_SIDE", "SWAP_POSITIONS", "PAINT"]
+
+
+def _transitions(t):
+    """Orders as states: counts of kinds, things (lines) that are there, and which is left of which; an action per line, and its lists for the engine. Some are wrong on purpose."""
+    w, c = Window.partitionBy("l_orderkey"), F.col
+    kinds = t("lineitem").withColumns({"k": F.row_number().over(_line_order()), "kind": F.concat(F.lit("c"), (c("l_suppkey") % 3).cast("string")), "other": F.concat(F.lit("c"), (c("l_partkey") % 3).cast("string"))})
+    sizes = [F.count_if(c("kind") == f"c{j}").over(w) for j in range(3)]
+    pick = lambda on: F.element_at(F.array(*sizes), (F.substring(on, 2, 1).cast("int") + 1))
+    rows = kinds.withColumns({"lines": F.count("*").over(w), "n": pick(c("kind")), "m": pick(c("other"))}).withColumns({"thing": F.concat(F.lit("e"), c("k").cast("string")), "next": F.concat(F.lit("e"), (c("k") + 1).cast("string"))})
+    text = lambda x: F.lit(x).cast("string")
+    fact = lambda predicate, subject, value=None, other=None, scope="question_local": F.struct(F.lit(predicate).alias("predicate") if isinstance(predicate, str) else predicate.alias("predicate"), subject.alias("subject"), (text("") if other is None else other).alias("object"), text(scope).alias("scope"), F.lit(value).cast("bigint").alias("value"))
+    key = c("l_orderkey")
+    counts = rows.groupBy("l_orderkey", "kind").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(key % 19 == 0, 2).otherwise(1))))
+    there = rows.select("l_orderkey", F.explode(F.array_compact(F.array(fact("EXISTS_IN_WORLD", c("thing"), F.when((key % 7 == 0) & (c("k") == 1), 0).otherwise(1)), F.when(c("k") < c("lines"), fact("LEFT_OF", c("thing"), None, c("next")))))).alias("f"))
+    pre = counts.select("l_orderkey", fact("COUNT", c("kind"), c("n"), None, "whole_scene").alias("f")).unionByName(there).select(key.alias("state"), "f.*")
+    family = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), (1 + (c("k") + key) % 7).cast("int"))
+    actions = rows.select(
+        (key * 100000 + c("k")).alias("action_id"), key.alias("state"), family.alias("family"), c("thing").alias("target"), c("kind").alias("category"), c("other").alias("new_category"), F.when(c("l_partkey") % 11 != 0, F.concat(F.lit("new"), c("k").cast("string"))).alias("new_entity"),
+        c("next").alias("anchor"), F.when(c("l_partkey") % 13 == 0, 2).otherwise(1).alias("quantity"), F.when(c("l_partkey") % 5 == 0, "NEAR").otherwise("LEFT_OF").alias("pre_predicate"), "n", "m",
+    )
+    new, off = F.coalesce("new_entity", text("")), F.when(c("state") % 23 == 0, 1).otherwise(0)
+    old_count, new_count, gone, come = fact("COUNT", c("category"), c("n") - 1 + off, None, "whole_scene"), fact("COUNT", c("new_category"), c("m") + 1, None, "whole_scene"), fact("EXISTS_IN_WORLD", c("target"), 0), fact("EXISTS_IN_WORLD", new, 1)
+    more, same, turned = fact("COUNT", c("category"), c("n") + c("quantity"), None, "whole_scene"), fact("SAME_INSTANCE", new, 0, c("target")), fact("RIGHT_OF", c("target"), None, c("anchor"))
+    relation = fact(c("pre_predicate"), c("target"), None, c("anchor"))
+    lists = {"REMOVE_AND_RECOUNT": ([old_count, gone], [old_count, gone]), "ADD_AND_RECOUNT": ([more], [more, come]), "REPLACE_AND_RECOUNT": ([old_count, new_count, gone], [old_count, new_count, gone, come, same]), "REPLACEMENT_IDENTITY": ([gone], [gone, come, same])}
+    moved = c("family").isin("MOVE_TO_OPPOSITE_SIDE", "SWAP_POSITIONS")
+
+    def listed(which: int):
+        out = F.when(moved, F.array((relation, turned)[which]))
+        for name, both in lists.items():
+            out = out.when(c("family") == name, F.array(*both[which]))
+        return actions.select("action_id", "state", F.explode(out).alias("f")).select("action_id", "state", "f.*")
+
+    adds = listed(1)
+    return actions, pre, listed(0).drop("value", "state"), adds.drop("state"), adds.where("state % 29 <> 0 or predicate <> 'SAME_INSTANCE'").drop("value", "state")
+
+
+TRANSITION_SQL = f"""lines as (select *, row_number() over ({LINE_SQL}) as k, l_suppkey % 3 as kind, l_partkey % 3 as other from lineitem),
+a as (select l_orderkey * 100000 + k as action_id, l_orderkey as o, {FAMILIES}[1 + (k + l_orderkey) % 7] as family, count(*) over (partition by l_orderkey, kind) as n, (select count(*) from lineitem x where x.l_orderkey = lines.l_orderkey and x.l_suppkey % 3 = lines.other) as m, kind = other as same_kind,
+  not (l_orderkey % 7 = 0 and k = 1) as there, k < count(*) over (partition by l_orderkey) and l_partkey % 5 <> 0 as related, l_partkey % 11 <> 0 as named, case when l_partkey % 13 = 0 then 2 else 1 end as quantity, l_orderkey % 19 = 0 as doubled, count(*) over (partition by l_orderkey) as things, k from lines),
+e as (select *, list_sort(list_filter([case when doubled then 'DUPLICATE_PRE_FACT_SLOT' end, case when family in ('MOVE_TO_OPPOSITE_SIDE', 'SWAP_POSITIONS') and not related or family = 'REPLACE_AND_RECOUNT' and m = 0 then 'DELETE_FACT_NOT_IN_PRESTATE' end,
+    case when family = 'REPLACE_AND_RECOUNT' and same_kind then 'DUPLICATE_DELETE_FACT_SLOT' end, case when family = 'REPLACE_AND_RECOUNT' and same_kind then 'DUPLICATE_POST_FACT_SLOT' end, case when family in ('REPLACE_AND_RECOUNT', 'REPLACEMENT_IDENTITY') and o % 29 = 0 then 'UNLISTED_POST_FACT_UPDATE' end], lambda x: x is not null)) as errors,
+  case when family = 'PAINT' then 'REJECT_UNAUTHORIZED_RULE' when not case family when 'REMOVE_AND_RECOUNT' then there and not doubled when 'ADD_AND_RECOUNT' then not doubled and quantity = 1 and named when 'REPLACE_AND_RECOUNT' then named and not same_kind and not doubled and m > 0 and there
+    when 'REPLACEMENT_IDENTITY' then named and there else related end then 'REJECT_TRANSITION_PRECONDITION_FAIL' end as error from a),
+agreed as (select *, len(errors) = 0 and error is null and not (o % 23 = 0 and family in ('REMOVE_AND_RECOUNT', 'REPLACE_AND_RECOUNT')) as agree from e)"""
+
+
+@query("with " + TRANSITION_SQL + " select action_id, family, array_to_string(errors, ',') as errors, error, agree from agreed")
+def transition_agreement(t):
+    """Actions of six families on tables of facts: the engine's errors, the checker's, and whether they come to the same facts."""
+    actions, pre, deletes, adds, allowed = _transitions(t)
+    both = tr.compared(tr.executed(actions, pre, deletes, adds, allowed), adds, tr.checked(actions, pre))
+    return both.join(actions.select("action_id", "family"), "action_id").select("action_id", "family", F.array_join("errors", ",").alias("errors"), "error", "agree")
+
+
+@query("with " + TRANSITION_SQL + """, kinds as (select l_orderkey as o, count(distinct l_suppkey % 3) as kinds from lineitem group by 1)
+select action_id, kinds + things + things - 1 + case family when 'ADD_AND_RECOUNT' then 1 when 'REPLACE_AND_RECOUNT' then 2 when 'REPLACEMENT_IDENTITY' then 2 else 0 end as facts, things + case family when 'REMOVE_AND_RECOUNT' then -1 when 'ADD_AND_RECOUNT' then 1 else 0 end as counted,
+  things - case when o % 7 = 0 then 1 else 0 end + case family when 'REMOVE_AND_RECOUNT' then -1 when 'ADD_AND_RECOUNT' then 1 else 0 end as there
+from agreed join kinds using (o) where agree""")
+def transition_successors(t):
+    """The states that agreed actions lead to: how many facts, what the counts add up to, and how many things are there."""
+    actions, pre, deletes, adds, allowed = _transitions(t)
+    both = tr.compared(tr.executed(actions, pre, deletes, adds, allowed), adds, tr.checked(actions, pre))
+    after = tr.successors(both.where("agree").join(actions.select("action_id", "state"), "action_id"), pre, deletes, adds)
+    return after.groupBy("action_id").agg(F.count("*").alias("facts"), F.sum(F.when(F.col("predicate") == "COUNT", F.col("value")).otherwise(0)).alias("counted"), F.count_if((F.col("predicate") == "EXISTS_IN_WORLD") & (F.col("value") == 1)).alias("there"))
+
+
 RULED_SQL = f"""lines as (select *, row_number() over ({LINE_SQL}) as k from lineitem),
 facts as materialized (select l_orderkey || ':' || k as fact_id, l_orderkey as world, case k % 4 when 0 then 'AFTER' when 1 then 'BEFORE' when 2 then 'LEFT_OF' else 'RIGHT_OF' end as predicate, 'n' || l_suppkey % 4 as subject, 'n' || l_partkey % 4 as object,
   null::bigint as value, case when l_quantity > 8 then 'positive' else 'negative' end as polarity, l_linestatus as status from lines
