@@ -63,6 +63,7 @@ def test_both_sides_equal_plain_ones(spark):
                 adds[j] = (*adds[j][:4], rng.choice([None, -1, 7]))
             adds += rng.sample(adds, int(rng.random() < 0.1))
             deletes = [f[:4] for f in rng.sample(state, rng.randrange(3))] + [("COUNT", "nothing", None, "scene")] * (rng.random() < 0.1)
+            deletes += deletes[:1] * (rng.random() < 0.1)
             allowed = [f[:4] for f in adds[: None if rng.random() < 0.8 else -1]]
             for name, rows in (("d", deletes), ("a", adds), ("l", allowed)):
                 lists[name] += [(i, *f) for f in rows]
