@@ -68,10 +68,13 @@ def mix_plan(docs: DataFrame, seed: int = 42, most: float = 3.0) -> DataFrame:
     targets = materialize(source_targets(sized.select("source", "size"), most), "targets")
     sources, total = targets.agg(F.count("*"), F.sum("documents")).first()
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a null source is a source as well
-    right = targets.select(key.alias("_key"), "documents", "source_size", "target", "rate")
-    left = sized.withColumn("_key", key)
+    name = "_key"
+    while name in (c.lower() for c in docs.columns):  # a column of the input keeps its name and values
+        name += "_"
+    right = targets.select(key.alias(name), "documents", "source_size", "target", "rate")
+    left = sized.withColumn(name, key)
     small = sources <= BROADCAST_SOURCES
-    joined = (left.join(F.broadcast(right.drop("documents")), "_key") if small else join_counted(left, right, ["_key"], "documents", total, "inner")).drop("_key")
+    joined = (left.join(F.broadcast(right.drop("documents")), name) if small else join_counted(left, right, [name], "documents", total, "inner")).drop(name)
     chance = unit_hash(F.lit(seed), "doc_id", "source", "text")
     return joined.withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 

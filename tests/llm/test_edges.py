@@ -361,3 +361,12 @@ def test_embeddings(spark):
         assert got[k].n_links == 0 and got[k].kept and got[k].component_id == k
     assert (got[905].n_links, got[906].component_id, got[906].kept) == (1, 905, False)
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_mixing_keeps_columns_named_like_its_own(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10**6 if few else 0)
+    docs = spark.createDataFrame([(1, "a b", "s", "k1", 7, 3), (2, "c", None, "k2", 8, 4), (3, None, "t", None, 9, 5)], "doc_id bigint, text string, source string, _KEY string, _key_ int, documents int")
+    plan = mixing.mix_plan(docs)
+    assert {(r.doc_id, r["_KEY"], r["_key_"], r.documents) for r in plan.collect()} == {(1, "k1", 7, 3), (2, "k2", 8, 4), (3, None, 9, 5)}
+    assert set(plan.columns) == set(docs.columns) | set(mixing.ADDED)
