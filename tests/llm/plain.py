@@ -1,5 +1,6 @@
 """Plain Python versions of the operators, for small inputs."""
 
+import functools
 import hashlib
 import itertools
 import re
@@ -186,12 +187,17 @@ def sample_match(pattern, pick):
     return walk(_parser.parse(pattern))
 
 
+@functools.cache  # re keeps fewer patterns than there are rules
+def whole_words(pattern):
+    return re.compile(f" (?:{pattern})(?= )")
+
+
 def license_detections(text, rules):
     """Every rule over the joined words, then suppression within detections of the same or a higher priority: (start, end, rule)."""
     joined = " " + " ".join(license_words(text)) + " "
     hits = []
     for r in rules:
-        for m in re.finditer(f" (?:{r.pattern})(?= )", joined):
+        for m in whole_words(r.pattern).finditer(joined):
             hits.append((joined.count(" ", 0, m.start()), -joined.count(" ", 0, m.end()), -r.priority, r.rule))
     kept = []
     for start, end, priority, rule in sorted(hits):

@@ -240,6 +240,21 @@ def test_license_suppression(spark):
     assert len(licenses.RULES) > 300
 
 
+def test_everyday_license_forms(spark):
+    """Each form's example has its label; what only looks like one has none."""
+    found = {
+        "This software is MIT licensed.": "mit", "MIT OR Apache-2.0": "mit,apache-2.0", "an Apache 2.0 licensed tool": "apache-2.0", "Apache-licensed": "apache", "(Apache-2.0)": "apache-2.0",
+        "BSD-licensed": "bsd", "BSD-3-Clause": "bsd-3-clause", "the two-clause BSD": "bsd-2-clause", "0BSD": "0bsd", "GNU GPLv3": "gpl-3.0", "GPLv2+": "gpl-2.0", "GPL-3.0-only": "gpl-3.0", "GPL 2": "gpl-2.0",
+        "GPLv2 or later": "gpl-2.0-or-later", "GPLv3 or any later version": "gpl-3.0-or-later", "GPL-licensed code": "gpl", "LGPLv2.1": "lgpl-2.1", "LGPL-3.0-or-later": "lgpl-3.0", "AGPLv3": "agpl-3.0", "ISC licensed": "isc",
+        "Boost-licensed": "bsl-1.0", "MPL-2.0": "mpl-2.0", "MPLv2": "mpl-2.0", "EPL-2.0": "epl-2.0", "EUPL v1.2": "eupl-1.2", "CC BY 4.0": "cc-by-4.0", "CC-BY-NC-SA-4.0": "cc-by-nc-sa-4.0", "CC0-licensed": "cc0-1.0", "The Unlicense": "unlicense", "dual-licensed": "other",
+    }
+    missed = ["licensed at MIT", "MIT professors, licensed", "Apache 20 helicopters", "BSD 3 clauses", "three clause contract", "GPLv4", "gplv22", "a sample 2.0", "dual license plates", "CC by 40 people", "an example 2.0", "unlicensed", "epl 2 00", "LGPL"]
+    df = spark.createDataFrame(list(enumerate([*found, *missed])), "k int, text string")
+    got = {r.k: list(dict.fromkeys(d.label for d in r.detections)) for r in licenses.scan_licenses(df).select("k", "detections").collect()}
+    assert [",".join(got[k]) for k in range(len(found))] == list(found.values())
+    assert [t for k, t in enumerate(missed, len(found)) if got[k]] == []
+
+
 def test_pii(spark, odd, empty):
     rows = pii.find_pii(odd).collect()
     assert [(s.kind, s.start, s.end) for s in next(r for r in rows if r.doc_id == 9).spans] == [("email", 18, 27)]
