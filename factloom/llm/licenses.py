@@ -201,57 +201,57 @@ PHRASES = [
 
 #: label, keyword, pattern: everyday forms without the words that the rules above look for. A plus sign isn't part of a word, so "GPLv2+" is gpl-2.0 here.
 FORMS = [
-    ("mit", "mit", "mit(?: expat| style)? licen[sc]ed"),
+    ("mit", " mit", "mit(?: expat| style)? licen[sc]ed"),
     ("mit", "mit or apache", "mit or apache"),
-    ("apache-2.0", "apache", "apache(?: version| v)? ?2(?: 0)? licen[sc]ed"),
-    ("apache", "apache", "apache(?: software)? licen[sc]ed"),
-    ("apache-2.0", "apache", "apache (?:version 2|v2|2)(?: 0)"),
-    ("apache-2.0", "apache", "apache v?2"),
-    ("bsd", "bsd", "bsd(?: style)? licen[sc]ed"),
-    ("0bsd", "0bsd", "0bsd"),
-    ("bsd-1-clause", "bsd", "(?:bsd 1|1) clause bsd|bsd 1 clause"),
-    ("bsd-2-clause", "bsd", "(?:2|two) clause bsd|bsd (?:2|two) clause"),
-    ("bsd-3-clause", "bsd", "(?:3|three) clause bsd|bsd (?:3|three) clause"),
-    ("bsd-4-clause", "bsd", "(?:4|four) clause bsd|bsd (?:4|four) clause"),
-    ("gpl", "gpl", "(?:gnu )?gpl licen[sc]ed"),
-    ("gpl-2.0", "gpl", "(?:gnu )?gpl ?(?:version |v)?2(?: 0)?(?: only)?(?: licen[sc]ed)?"),
-    ("gpl-3.0", "gpl", "(?:gnu )?gpl ?(?:version |v)?3(?: 0)?(?: only)?(?: licen[sc]ed)?"),
-    ("gpl-2.0-or-later", "gpl", "(?:gnu )?gpl ?(?:version |v)?2(?: 0)? or(?: at your option)?(?: any)? (?:later|newer)(?: version)?"),
-    ("gpl-3.0-or-later", "gpl", "(?:gnu )?gpl ?(?:version |v)?3(?: 0)? or(?: at your option)?(?: any)? (?:later|newer)(?: version)?"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl licen[sc]ed"),
-    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl ?(?:version |v)?2 1(?: only| or later)?(?: licen[sc]ed)?"),
-    ("lgpl-3.0", "lgpl", "(?:gnu )?lgpl ?(?:version |v)?3(?: 0)?(?: only| or later)?(?: licen[sc]ed)?"),
-    ("agpl", "agpl", "(?:gnu )?agpl licen[sc]ed"),
-    ("agpl-3.0", "agpl", "(?:gnu )?agpl ?(?:version |v)?3(?: 0)?(?: only| or later)?(?: licen[sc]ed)?"),
-    ("isc", "isc", "isc licen[sc]ed"),
-    ("zlib", "zlib", "zlib licen[sc]ed"),
-    ("bsl-1.0", "boost", "boost(?: software)? licen[sc]ed"),
-    ("bsl-1.0", "bsl", "bsl 1 0"),
-    ("mpl", "mpl", "mpl licen[sc]ed"),
-    ("mpl", "mozilla", "mozilla(?: public)? licen[sc]ed"),
-    ("mpl-1.1", "mpl", "mpl(?: version| v)? 1 1|mplv1 1"),
-    ("mpl-2.0", "mpl", "mpl(?: version| v)? 2 0|mpl ?v2(?: 0)?"),
-    ("epl-1.0", "epl", "epl 1 0"),
-    ("epl-2.0", "epl", "epl 2 0"),
-    ("cddl-1.0", "cddl", "cddl(?: version)? 1 0"),
-    ("cddl-1.1", "cddl", "cddl(?: version)? 1 1"),
-    ("eupl-1.2", "eupl", "eupl(?: v)? 1 [12]|eupl v1 [12]"),
-    ("artistic-2.0", "artistic", "artistic 2 0"),
-    ("ofl-1.1", "ofl", "(?:sil )?ofl(?: version)? 1 1"),
-    ("odbl-1.0", "odbl", "odbl(?: v)? 1 0|odbl v1 0"),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0| licen[sc]ed)"),
-    ("cc-by", "cc by", "cc by licen[sc]ed"),
-    ("cc-by-2.0", "cc by", "cc by 2 0"),
-    ("cc-by-3.0", "cc by", "cc by 3 0"),
-    ("cc-by-4.0", "cc by", "cc by 4 0"),
-    ("cc-by-sa", "cc by", "cc by sa licen[sc]ed"),
-    ("cc-by-sa-3.0", "cc by", "cc by sa 3 0"),
-    ("cc-by-sa-4.0", "cc by", "cc by sa 4 0"),
-    ("cc-by-nc-4.0", "cc by", "cc by nc 4 0"),
-    ("cc-by-nd-4.0", "cc by", "cc by nd 4 0"),
-    ("cc-by-nc-sa-4.0", "cc by", "cc by nc sa 4 0"),
-    ("cc-by-nc-nd-4.0", "cc by", "cc by nc nd 4 0"),
-    ("unlicense", "unlicense", "(?:the )?unlicense"),
+    ("apache-2.0", " apache", "apache(?: version| v)? ?2(?: 0)? licen[sc]ed"),
+    ("apache", " apache", "apache(?: software)? licen[sc]ed"),
+    ("apache-2.0", " apache", "apache (?:version 2|v2|2)(?: 0)"),
+    ("apache-2.0", " apache", "apache v?2"),
+    ("bsd", " bsd", "bsd(?: style)? licen[sc]ed"),
+    ("0bsd", " 0bsd", "0bsd"),
+    ("bsd-1-clause", " bsd", "(?:bsd 1|1) clause bsd|bsd 1 clause"),
+    ("bsd-2-clause", " bsd", "(?:2|two) clause bsd|bsd (?:2|two) clause"),
+    ("bsd-3-clause", " bsd", "(?:3|three) clause bsd|bsd (?:3|three) clause"),
+    ("bsd-4-clause", " bsd", "(?:4|four) clause bsd|bsd (?:4|four) clause"),
+    ("gpl", " gpl", "(?:gnu )?gpl licen[sc]ed"),
+    ("gpl-2.0", " gpl", "(?:gnu )?gpl ?(?:version |v)?2(?: 0)?(?: only)?(?: licen[sc]ed)?"),
+    ("gpl-3.0", " gpl", "(?:gnu )?gpl ?(?:version |v)?3(?: 0)?(?: only)?(?: licen[sc]ed)?"),
+    ("gpl-2.0-or-later", " gpl", "(?:gnu )?gpl ?(?:version |v)?2(?: 0)? or(?: at your option)?(?: any)? (?:later|newer)(?: version)?"),
+    ("gpl-3.0-or-later", " gpl", "(?:gnu )?gpl ?(?:version |v)?3(?: 0)? or(?: at your option)?(?: any)? (?:later|newer)(?: version)?"),
+    ("lgpl", " lgpl", "(?:gnu )?lgpl licen[sc]ed"),
+    ("lgpl-2.1", " lgpl", "(?:gnu )?lgpl ?(?:version |v)?2 1(?: only| or later)?(?: licen[sc]ed)?"),
+    ("lgpl-3.0", " lgpl", "(?:gnu )?lgpl ?(?:version |v)?3(?: 0)?(?: only| or later)?(?: licen[sc]ed)?"),
+    ("agpl", " agpl", "(?:gnu )?agpl licen[sc]ed"),
+    ("agpl-3.0", " agpl", "(?:gnu )?agpl ?(?:version |v)?3(?: 0)?(?: only| or later)?(?: licen[sc]ed)?"),
+    ("isc", " isc", "isc licen[sc]ed"),
+    ("zlib", " zlib", "zlib licen[sc]ed"),
+    ("bsl-1.0", " boost", "boost(?: software)? licen[sc]ed"),
+    ("bsl-1.0", " bsl", "bsl 1 0"),
+    ("mpl", " mpl", "mpl licen[sc]ed"),
+    ("mpl", " mozilla", "mozilla(?: public)? licen[sc]ed"),
+    ("mpl-1.1", " mpl", "mpl(?: version| v)? 1 1|mplv1 1"),
+    ("mpl-2.0", " mpl", "mpl(?: version| v)? 2 0|mpl ?v2(?: 0)?"),
+    ("epl-1.0", " epl", "epl 1 0"),
+    ("epl-2.0", " epl", "epl 2 0"),
+    ("cddl-1.0", " cddl", "cddl(?: version)? 1 0"),
+    ("cddl-1.1", " cddl", "cddl(?: version)? 1 1"),
+    ("eupl-1.2", " eupl", "eupl(?: v)? 1 [12]|eupl v1 [12]"),
+    ("artistic-2.0", " artistic", "artistic 2 0"),
+    ("ofl-1.1", " ofl", "(?:sil )?ofl(?: version)? 1 1"),
+    ("odbl-1.0", " odbl", "odbl(?: v)? 1 0|odbl v1 0"),
+    ("cc0-1.0", " cc0", "cc0(?: 1 0| licen[sc]ed)"),
+    ("cc-by", " cc by", "cc by licen[sc]ed"),
+    ("cc-by-2.0", " cc by", "cc by 2 0"),
+    ("cc-by-3.0", " cc by", "cc by 3 0"),
+    ("cc-by-4.0", " cc by", "cc by 4 0"),
+    ("cc-by-sa", " cc by", "cc by sa licen[sc]ed"),
+    ("cc-by-sa-3.0", " cc by", "cc by sa 3 0"),
+    ("cc-by-sa-4.0", " cc by", "cc by sa 4 0"),
+    ("cc-by-nc-4.0", " cc by", "cc by nc 4 0"),
+    ("cc-by-nd-4.0", " cc by", "cc by nd 4 0"),
+    ("cc-by-nc-sa-4.0", " cc by", "cc by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", " cc by", "cc by nc nd 4 0"),
+    ("unlicense", " unlicense", "(?:the )?unlicense"),
     ("other", "licen", "(?:dual(?:ly)?|multi|triple) licen[sc]ed"),
 ]
 
@@ -294,9 +294,9 @@ RULES = build_rules()
 
 def gate(rules: list[Rule], text: str = "_low") -> str:
     """SQL that is true for any lower-cased text that matches a rule: an anchor that the pattern
-    can't match without (one of two for foreign names), else (notices) a verb before 'under', a form
-    itself with any separators between its words, else all words of the keyword."""
-    asked, forms = set(), []
+    can't match without (one of two for foreign names), else (notices) a verb before 'under', a form,
+    where its first word is, with any separators between its words, else all words of the keyword."""
+    asked, forms = set(), {}
     for r in rules:
         bare, before = r.pattern.removeprefix(VERB), None
         while bare != before:  # optional parts and choices go
@@ -305,13 +305,12 @@ def gate(rules: list[Rule], text: str = "_low") -> str:
         if r.rule.endswith("/foreign"):
             asked |= {f"(contains({text}, '{w}'))" for w in ("licen", "lizenz")}
         elif not words and "/form-" in r.rule:
-            forms.append(re.sub(r" (\??)", lambda m: f"(?:{NOT_WORDS}){m[1]}", r.pattern))
+            forms.setdefault(r.keyword.split()[0], []).append(re.sub(r" (\??)", lambda m: f"(?:{NOT_WORDS}){m[1]}", r.pattern))
         elif not words and r.pattern.startswith(VERB):
             asked.add(f"(contains({text}, 'under') and {text} rlike r'{VERB}{NOT_WORDS}under')")
         else:
             asked.add("(" + " and ".join(f"contains({text}, '{w}')" for w in words or r.keyword.split()) + ")")
-    if forms:
-        asked.add(f"{text} rlike r'{'|'.join(forms)}'")
+    asked |= {f"(contains({text}, '{word}') and {text} rlike r'{'|'.join(f)}')" for word, f in forms.items()}
     return " or ".join(sorted(asked, key=lambda a: (a.count("contains"), a))) or "false"
 
 
