@@ -153,11 +153,12 @@ def frame_selection(t):
     return rows.select("user_id", "event_id", F.explode(wanted).alias("slot")).select("user_id", F.col("slot").cast("bigint").alias("slot"), "event_id")
 
 
-@query("select step, rank, step * 16 + rank + 4 * k as index from (select unnest(range(10)) as step), (select unnest(range(4)) as rank), (select unnest(range(4)) as k)")
+@query("""with o as (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1 as index from orders) select index // 16 as step, (index % 4)::int as rank, index, o_orderkey from o""")
 def rank_partition(t):
-    """The rows of each rank in ten global batches of 16, strided by four ranks."""
-    index = t("region").sparkSession.range(160).select(F.col("id").alias("index"))
-    return index.select(F.floor(F.col("index") / 16).alias("step"), (F.col("index") % 4).alias("rank"), "index")
+    """The orders of each rank in global batches of 16, strided by four ranks."""
+    placed = s.globally_ranked(t("orders").select("o_orderdate", "o_orderkey"), "o_orderdate", "o_orderkey", name="place")
+    index = (F.col("place") - 1).alias("index")
+    return placed.select("o_orderkey", index).select(F.floor(F.col("index") / 16).alias("step"), (F.col("index") % 4).cast("int").alias("rank"), "index", "o_orderkey")
 
 
 @query("""with d as (select c_nationkey, list(c_custkey order by c_custkey) as donors from customer group by 1) select c_custkey, donors[1 + ((c_custkey * 7) % len(donors))] as donor from customer join d using (c_nationkey)""")
