@@ -21,11 +21,12 @@ def globally_ranked(rows: DataFrame, *order: str, name: str = "rank", parts: int
 
     Rows are dealt into ranges of the order, numbered within each, and moved up by the sizes of the
     ranges before; only those sizes (one row a range) meet in one task. order: columns, of which the last
-    should be unique.
+    should be unique. The dealt rows are written as a table: the bounds of ranges come from a sample, and
+    two plans over the same rows may draw two.
     """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    dealt = materialize(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = ranked(dealt, ["_part"], *order, name="_in")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

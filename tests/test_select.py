@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from factloom.operators import select
 
 
@@ -46,3 +48,13 @@ def test_ratio_capped_equals_the_walk(spark):
                 flagged += want[k]
         df = spark.createDataFrame(rows, "id int, flag boolean").repartition(5)
         assert {r.id: r.taken for r in select.ratio_capped(df, ["id"], "flag", 15, 100).collect()} == want
+
+
+def test_ranks_of_more_rows_than_a_sample_holds(spark):
+    """Counts and columns beyond the order don't make the rows' and the sizes' ranges differ."""
+    rows = spark.range(60_000).groupBy((F.col("id") % 5).alias("level"), (F.col("id") % 20_000).alias("world")).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    for parts in (3, 16):
+        out = select.globally_ranked(rows, "level", "world", parts=parts)
+        n, distinct, low, high = out.agg(F.count("*"), F.count_distinct("rank"), F.min("rank"), F.max("rank")).first()
+        assert (n, distinct, low, high) == (20_000, 20_000, 1, 20_000)
+        assert out.where("rank <= 4000 and level <> 0 or rank > 16000 and level <> 4").count() == 0
