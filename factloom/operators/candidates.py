@@ -80,7 +80,9 @@ def relation_candidates(objects: DataFrame, relations: DataFrame, counts: DataFr
     seen = pairs.select("scene", "target", "anchor", "target_category", "anchor_category", predicate.alias("predicate"), F.lit(1).alias("_source")).where("predicate is not null")
 
     keys = ["scene", "target", "predicate", "anchor"]
-    found = stated.unionByName(seen).groupBy(*keys).agg(F.min("_source").alias("_source"), F.min("target_category").alias("target_category"), F.min("anchor_category").alias("anchor_category"))
+    # under a new name each side's key is the same to the planner, and the union stays dealt by it
+    own = lambda df: df.withColumnRenamed("scene", "_scene")
+    found = own(stated).unionByName(own(seen)).withColumnRenamed("_scene", "scene").groupBy(*keys).agg(F.min("_source").alias("_source"), F.min("target_category").alias("target_category"), F.min("anchor_category").alias("anchor_category"))
     pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("predicate"))
     both = found.select("*", F.explode(F.array(F.lit("MOVE_TO_OPPOSITE_SIDE"), F.lit("SWAP_POSITIONS"))).alias("family"))
     return _rows(
@@ -119,8 +121,12 @@ def claim_pairs(candidates: DataFrame, checked: DataFrame) -> DataFrame:
     Identities are claimed false against true, relations against their inverse. code: the checker's error, SUPPORTED_NOT_ENTAILED where the checker's facts lack the claimed one,
     else null; claims are null with a checker's error.
     """
+    return claimed(candidates.join(checked.select("action_id", "error", "post"), "action_id"))
+
+
+def claimed(rows: DataFrame, *more: str) -> DataFrame:
+    """``claim_pairs`` of candidates that have error and post of the checker beside them, and the columns ``more`` of theirs."""
     c = F.col
-    rows = candidates.join(checked.select("action_id", "error", "post"), "action_id")
     odd = F.conv(F.substring("action_id", -1, 1), 16, 10).cast("int") % 2 == 1
     counted = c("family").isin("ADD_AND_RECOUNT", "REMOVE_AND_RECOUNT", "REPLACE_AND_RECOUNT")
     newer = (c("family") == "REPLACE_AND_RECOUNT") & odd
@@ -138,5 +144,5 @@ def claim_pairs(candidates: DataFrame, checked: DataFrame) -> DataFrame:
     keep = lambda v, name: F.when(own, v).alias(name)
     return rows.select(
         "action_id", "family", keep(c("_s"), "subject"), keep(F.nullif(c("_o"), F.lit("")), "object"), keep(c("_p"), "predicate"), keep(c("_f.value"), "value"), keep(against, "against_predicate"), keep(value, "against_value"),
-        keep(slot, "changed_slot"), F.coalesce("error", F.when(c("_f").isNull(), "SUPPORTED_NOT_ENTAILED")).alias("code"),
+        keep(slot, "changed_slot"), F.coalesce("error", F.when(c("_f").isNull(), "SUPPORTED_NOT_ENTAILED")).alias("code"), *more,
     )

@@ -43,22 +43,24 @@ def executed(actions: DataFrame, pre: DataFrame, deletes: DataFrame, adds: DataF
     return own.select("action_id").join(errors, "action_id", "left").select("action_id", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
 
 
-def checked(actions: DataFrame, pre: DataFrame) -> DataFrame:
-    """(action_id, error, post): what each family's rule makes of the facts that it looks up, without the action's own lists.
+def checked(actions: DataFrame, pre: DataFrame, *more: str) -> DataFrame:
+    """(action_id, error, post) and the columns ``more`` of the actions: what each family's rule makes of the facts that it looks up, without the action's own lists.
 
     actions: action_id, state, family, target, category, new_category, new_entity, anchor, quantity, pre_predicate; what a family doesn't need may be null. A
     lookup counts only if exactly one fact has the predicate, subject and object. error: REJECT_UNAUTHORIZED_RULE for other families,
-    REJECT_TRANSITION_PRECONDITION_FAIL, or null; post is empty with an error.
+    REJECT_TRANSITION_PRECONDITION_FAIL, or null; post is empty with an error. Facts meet actions by joins that begin with state, so where both are dealt
+    by it nothing is shuffled, and actions are neither sorted nor grouped.
     """
-    ask = lambda role, predicate, subject, other: F.struct(F.lit(role).alias("role"), predicate.alias("predicate"), subject.alias("subject"), other.alias("object"))
-    none, count, exists = F.lit(""), F.lit("COUNT"), F.lit("EXISTS_IN_WORLD")
-    c = F.col
-    asked = F.array(ask("count", count, c("category"), none), ask("new", count, c("new_category"), none), ask("there", exists, c("target"), none), ask("relation", c("pre_predicate"), c("target"), c("anchor")))
-    lookups = actions.select("action_id", "state", F.explode(asked).alias("q")).select("action_id", "state", "q.*").where("predicate is not null and subject is not null")
-    hits = lookups.join(_slots(pre, "state"), ["state", "predicate", "subject", "object"]).groupBy("action_id", "role").agg(F.count("*").alias("n"), F.first("value").alias("value"), F.first("scope").alias("scope")).where("n = 1")
-    roles = ("count", "new", "there", "relation")
-    known = hits.groupBy("action_id").agg(*[F.max(F.when(c("role") == r, F.struct("value", "scope", F.lit(True).alias("found")))).alias(f"_{r}") for r in roles])
-    rows = actions.join(known, "action_id", "left")
+    none, c = F.lit(""), F.col
+    only = _slots(pre, "state").groupBy("state", "predicate", "subject", "object").agg(F.count("*").alias("n"), F.first("value").alias("value"), F.first("scope").alias("scope")).where("n = 1")
+    rows = actions
+    for role, predicate, subject, other in (("count", "COUNT", "category", None), ("new", "COUNT", "new_category", None), ("there", "EXISTS_IN_WORLD", "target", None), ("relation", None, "target", "anchor")):
+        found = only.where(c("predicate") == predicate) if predicate else only
+        found = found.where(c("object") == none) if other is None else found
+        keys = {"state": "state", "subject": subject} | ({"predicate": "pre_predicate"} if predicate is None else {}) | ({"object": other} if other else {})
+        found = found.select(*[c(k).alias(f"_{role}_{k}") for k in keys], F.struct("value", "scope", F.lit(True).alias("found")).alias(f"_{role}"))
+        met = [c(mine) == c(f"_{role}_{k}") for k, mine in keys.items()]
+        rows = rows.join(found.hint("shuffle_hash"), met, "left").drop(*[f"_{role}_{k}" for k in keys])
 
     def fact(predicate: Column | str, subject: Column, value: Column | int | None = None, other: Column | None = None, scope: Column | None = None) -> Column:
         parts = {"predicate": F.lit(predicate), "subject": subject, "object": none if other is None else other, "scope": F.lit("question_local") if scope is None else scope, "value": F.lit(value)}
@@ -82,8 +84,9 @@ def checked(actions: DataFrame, pre: DataFrame) -> DataFrame:
     post, error = F.when(moved & c("_relation.found") & turned.isNotNull(), F.array(fact(turned, c("target"), None, c("anchor")))), F.when(~F.coalesce(c("family").isin(*rules) | moved, F.lit(False)), "REJECT_UNAUTHORIZED_RULE")
     for name, (holds, facts) in rules.items():
         post = post.when((c("family") == name) & F.coalesce(holds, F.lit(False)), F.array(*facts))
-    out = rows.select("action_id", error.alias("_wrong"), post.alias("_post"))
-    return out.select("action_id", F.coalesce("_wrong", F.when(c("_post").isNull(), "REJECT_TRANSITION_PRECONDITION_FAIL")).alias("error"), F.coalesce("_post", F.array().cast(FACT)).alias("post"))
+    kept = [k for k in actions.columns if k != "action_id"] if "*" in more else list(more)
+    out = rows.select("action_id", *kept, error.alias("_wrong"), post.alias("_post"))
+    return out.select("action_id", *kept, F.coalesce("_wrong", F.when(c("_post").isNull(), "REJECT_TRANSITION_PRECONDITION_FAIL")).alias("error"), F.coalesce("_post", F.array().cast(FACT)).alias("post"))
 
 
 def compared(executed_: DataFrame, adds: DataFrame, checked_: DataFrame) -> DataFrame:

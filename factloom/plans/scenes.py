@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as cd
 from ..operators import transitions as tr
+from ..sources.tables import dealt, in_place, materialize
 from .registry import query
 
 SCENES_SQL = """with lines as (select l_orderkey as scene, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity, l_shipdate) as n, l_partkey as p, l_suppkey as s, l_quantity::double as x, l_discount::double as y, l_tax::double as z from lineitem),
@@ -25,9 +26,10 @@ candidates as (select * from added union all select * from removed union all sel
 
 
 def _scenes(t):
-    """objects, counts and stated relations of all orders."""
+    """objects, counts and stated relations of all orders. Lines are dealt by scene once; what is made of them stays there."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_quantity", "l_shipdate")
     lines = t("lineitem").select(F.col("l_orderkey").alias("scene"), F.row_number().over(order).alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), *[F.col(c).cast("double").alias(a) for a, c in (("x", "l_quantity"), ("y", "l_discount"), ("z", "l_tax"))])
+    lines = dealt(lines, "scene", "scenes")
     low = {"x": F.col("x") / 8, "y": F.col("y") * 20, "z": F.col("z") * 20}
     rows = lines.select("scene", "n", "p", "s", F.concat(F.lit("o"), "n").alias("object_id"), F.concat(F.lit("kind_"), (F.col("p") % 9).cast("string")).alias("category"), *[c for a, v in low.items() for c in (v.alias(f"{a}_low"), (v + 1).alias(f"{a}_high"))])
     objects = rows.drop("n", "p", "s")
@@ -40,17 +42,29 @@ def _candidates(objects, counts, relations):
     return cd.with_ids(cd.count_candidates(counts, objects).unionByName(cd.relation_candidates(objects, relations, counts)))
 
 
+def _claims(objects, counts, relations):
+    """Numbers of claims. Changes of counts and of relations have other families, so each are carried out on their own: fewer joins lie in one task."""
+    out = []
+    for some in (cd.count_candidates(counts, objects), cd.relation_candidates(objects, relations, counts)):
+        found = cd.with_ids(some)
+        # without scene beside state, so that the candidates' union stays dealt by state
+        claims = cd.claimed(tr.checked(found.drop("scene"), cd.pre_facts(counts, objects, found), "*"), "source_group")
+        out.append(claims.groupBy("family", "source_group", "code", "changed_slot").agg(F.count("*").alias("n")))
+    return out[0].unionByName(out[1])
+
+
 @query(SCENES_SQL + "select * from candidates")
 def scene_candidates(t):
     """What may be changed in each scene: additions, removals, replacements, moves and swaps."""
     found = _candidates(*_scenes(t))
-    return found.select(F.col("scene").cast("bigint").alias("scene"), "family", "target", "category", "new_category", "anchor", "pre_predicate", "post_predicate", "source_group")
+    rows = found.select(F.col("scene").cast("bigint").alias("scene"), "family", "target", "category", "new_category", "anchor", "pre_predicate", "post_predicate", "source_group")
+    with in_place(found.sparkSession):
+        return materialize(rows, "candidates")
 
 
 @query(SCENES_SQL + """select family, source_group, null::varchar as code, case when family in ('MOVE_TO_OPPOSITE_SIDE', 'SWAP_POSITIONS') then 'predicate' else 'value' end as changed_slot, count(*) as n from candidates group by all""")
 def scene_claims(t):
     """Candidates carried out by the checker, and a pair of claims of each that its facts decide: all of them, by the SQL."""
-    objects, counts, relations = _scenes(t)
-    found = _candidates(objects, counts, relations)
-    claims = cd.claim_pairs(found, tr.checked(found, cd.pre_facts(counts, objects, found)))
-    return claims.join(found.select("action_id", "source_group"), "action_id").groupBy("family", "source_group", "code", "changed_slot").agg(F.count("*").alias("n"))
+    spark, claims = t("lineitem").sparkSession, _claims(*_scenes(t))
+    with in_place(spark):
+        return materialize(claims, "claims")
