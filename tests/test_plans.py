@@ -2,7 +2,8 @@
 
 import contextlib
 
-from factloom.plans import scenes
+from factloom.operators import readings
+from factloom.plans import scenes, wording
 from factloom.sources.tables import in_place
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +30,11 @@ def test_claims_of_scenes_shuffle_their_counts_only(spark):
         parts = scenes._scenes(tables(spark))
         assert shuffles(scenes._candidates(*parts)) == 0
         assert shuffles(scenes._claims(*parts)) == 2
+
+
+def test_sentences_are_read_where_their_facts_lie(spark):
+    with without_broadcast(spark) as shuffles:
+        f = wording._facts(tables(spark))
+        read = readings.read(wording._none(f.withColumn("text", wording._told(f))), wording._entities(f), "n")
+        assert shuffles(read) == 0
+        assert read.where("code is null and given.n is not null").count() == f.count()
