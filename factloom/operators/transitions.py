@@ -3,6 +3,9 @@
 States are keyed rows (state, predicate, subject, object, scope, value), not arrays: what is deleted, added, looked up and
 compared meets by equi-joins on state and slot, so a state with many facts is never one row. A slot is what a fact is
 about: predicate, subject, object and scope.
+
+Lists of actions (to delete, to add, allowed) may hold their action's state too, where states aren't null: then they meet by state and
+action, and what is dealt by state stays there (``tables.in_place``). Results then have the state as well.
 """
 
 from __future__ import annotations
@@ -21,6 +24,20 @@ def _slots(facts: DataFrame, *keys: str) -> DataFrame:
     return facts.select(*keys, *[F.coalesce(c, F.lit("")).alias(c) for c in SLOT], *(["value"] if "value" in facts.columns else []))
 
 
+def _keys(*lists: DataFrame) -> list[str]:
+    """What actions meet by: by state first if all have it."""
+    return ["state", "action_id"] if all("state" in x.columns for x in lists) else ["action_id"]
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    """A union that stays dealt by state: under a new name each side's key is the same to the planner."""
+    own = [df.withColumnRenamed("state", "_state") for df in parts]
+    out = own[0]
+    for more in own[1:]:
+        out = out.unionByName(more)
+    return out.withColumnRenamed("_state", "state")
+
+
 def executed(actions: DataFrame, pre: DataFrame, deletes: DataFrame, adds: DataFrame, allowed: DataFrame) -> DataFrame:
     """(action_id, errors): what is wrong with each action's lists of slots to delete and facts to add; empty if nothing is.
 
@@ -28,19 +45,17 @@ def executed(actions: DataFrame, pre: DataFrame, deletes: DataFrame, adds: DataF
     DUPLICATE_PRE_FACT_SLOT, DELETE_FACT_NOT_IN_PRESTATE, DUPLICATE_DELETE_FACT_SLOT, INVALID_POST_COUNT (null or below 0), DUPLICATE_POST_FACT_SLOT and
     UNLISTED_POST_FACT_UPDATE (a fact to add whose slot isn't allowed).
     """
-    own, there, gone, new, fine = actions.select("action_id", "state"), _slots(pre, "state"), _slots(deletes, "action_id"), _slots(adds, "action_id"), _slots(allowed, "action_id")
-    marked = lambda rows, code: rows.select("action_id", F.lit(code).alias("code")).distinct()
-    twice = lambda rows, key: rows.groupBy(key, *SLOT).count().where("count > 1").select(key).distinct()
+    key = _keys(deletes, adds, allowed)
+    own, there, gone, new, fine = actions.select("action_id", "state"), _slots(pre, "state"), _slots(deletes, *key), _slots(adds, *key), _slots(allowed, *key)
+    marked = lambda rows, code: rows.select(*key, F.lit(code).alias("code")).distinct()
+    twice = lambda rows, *key: rows.groupBy(*key, *SLOT).count().where("count > 1").select(*key).distinct()
     found = [
-        marked(own.join(twice(there, "state"), "state"), "DUPLICATE_PRE_FACT_SLOT"), marked(gone.join(own, "action_id").join(there.select("state", *SLOT).distinct(), ["state", *SLOT], "left_anti"), "DELETE_FACT_NOT_IN_PRESTATE"),
-        marked(twice(gone, "action_id"), "DUPLICATE_DELETE_FACT_SLOT"), marked(new.where("predicate = 'COUNT' and coalesce(value, -1) < 0"), "INVALID_POST_COUNT"), marked(twice(new, "action_id"), "DUPLICATE_POST_FACT_SLOT"),
-        marked(new.join(fine.select("action_id", *SLOT).distinct(), ["action_id", *SLOT], "left_anti"), "UNLISTED_POST_FACT_UPDATE"),
+        marked(own.join(twice(there, "state"), "state"), "DUPLICATE_PRE_FACT_SLOT"), marked(gone.join(own, key).join(there.select("state", *SLOT).distinct(), ["state", *SLOT], "left_anti"), "DELETE_FACT_NOT_IN_PRESTATE"),
+        marked(twice(gone, *key), "DUPLICATE_DELETE_FACT_SLOT"), marked(new.where("predicate = 'COUNT' and coalesce(value, -1) < 0"), "INVALID_POST_COUNT"), marked(twice(new, *key), "DUPLICATE_POST_FACT_SLOT"),
+        marked(new.join(fine.select(*key, *SLOT).distinct(), [*key, *SLOT], "left_anti"), "UNLISTED_POST_FACT_UPDATE"),
     ]
-    codes = found[0]
-    for more in found[1:]:
-        codes = codes.unionByName(more)
-    errors = codes.groupBy("action_id").agg(F.array_sort(F.collect_set("code")).alias("errors"))
-    return own.select("action_id").join(errors, "action_id", "left").select("action_id", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+    errors = _all(found).groupBy(*key).agg(F.array_sort(F.collect_set("code")).alias("errors"))
+    return own.select(*key).join(errors, key, "left").select(*key, F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
 
 
 def checked(actions: DataFrame, pre: DataFrame, *more: str) -> DataFrame:
@@ -91,16 +106,21 @@ def checked(actions: DataFrame, pre: DataFrame, *more: str) -> DataFrame:
 
 def compared(executed_: DataFrame, adds: DataFrame, checked_: DataFrame) -> DataFrame:
     """(action_id, errors, error, differing, agree): both sides of each action, and in how many slots their facts differ. They agree if both have no error and no slot differs."""
-    a = _slots(adds, "action_id").select("action_id", *SLOT, F.col("value").alias("_a"), F.lit(True).alias("_in_a"))
-    b = checked_.select("action_id", F.explode("post").alias("f")).select("action_id", "f.*").withColumnRenamed("value", "_b").withColumn("_in_b", F.lit(True))
+    key = _keys(executed_, adds, checked_)
+    a = _slots(adds, *key).select(*key, *SLOT, F.col("value").alias("_a"), F.lit(True).alias("_in_a"))
+    b = checked_.select(*key, F.explode("post").alias("f")).select(*key, "f.*").withColumnRenamed("value", "_b").withColumn("_in_b", F.lit(True))
     same = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull() & F.col("_a").eqNullSafe(F.col("_b"))
-    differing = a.join(b, ["action_id", *SLOT], "full").groupBy("action_id").agg(F.count_if(~same).alias("differing"))
-    both = executed_.join(checked_.select("action_id", "error"), "action_id").join(differing, "action_id", "left").withColumn("differing", F.coalesce("differing", F.lit(0)))
+    # the parts of a full join, since none knows how its rows lie
+    only = b.join(a.select(*key, *SLOT), [*key, *SLOT], "left_anti").select(*key, F.lit(True).alias("_differs"))
+    differing = _all([a.join(b, [*key, *SLOT], "left").select(*key, (~same).alias("_differs")), only]).groupBy(*key).agg(F.count_if("_differs").alias("differing"))
+    both = executed_.join(checked_.select(*key, "error"), key).join(differing, key, "left").withColumn("differing", F.coalesce("differing", F.lit(0)))
     return both.withColumn("agree", (F.size("errors") == 0) & F.col("error").isNull() & (F.col("differing") == 0))
 
 
 def successors(passed: DataFrame, pre: DataFrame, deletes: DataFrame, adds: DataFrame) -> DataFrame:
     """(action_id, predicate, subject, object, scope, value): the facts after each passed action (action_id, state): those before without the deleted slots, and the added ones."""
-    before = passed.select("action_id", "state").join(_slots(pre, "state"), "state").drop("state")
-    stay = before.join(_slots(deletes, "action_id").select("action_id", *SLOT), ["action_id", *SLOT], "left_anti")
-    return stay.select("action_id", *SLOT, "value").unionByName(_slots(adds, "action_id").join(passed.select("action_id"), "action_id", "left_semi"))
+    key = _keys(deletes, adds)
+    before = passed.select("action_id", "state").join(_slots(pre, "state"), "state")
+    gone = _slots(deletes, *key).select(*key, *SLOT)
+    stay = before.join(gone.hint("shuffle_hash"), [*key, *SLOT], "left_anti").select(*key, *SLOT, "value")
+    return _all([stay, _slots(adds, *key).select(*key, *SLOT, "value").join(passed.select(*key), key, "left_semi")])

@@ -8,6 +8,7 @@ from ..operators import graph as g
 from ..operators import proofs as p
 from ..operators import replay
 from ..operators import transitions as tr
+from ..sources.tables import dealt, in_place, materialize
 from .frames import FACTS_SQL, facts
 from .registry import query
 
@@ -185,9 +186,11 @@ def _transitions(t):
     """Orders as states: counts of kinds, things (lines) that are there, and which is left of which; an action per line, and its lists for the engine. Some are wrong on purpose."""
     w, c = Window.partitionBy("l_orderkey"), F.col
     kinds = t("lineitem").withColumns({"k": F.row_number().over(_line_order()), "kind": F.concat(F.lit("c"), (c("l_suppkey") % 3).cast("string")), "other": F.concat(F.lit("c"), (c("l_partkey") % 3).cast("string"))})
+    kinds = kinds.select("l_orderkey", "l_suppkey", "l_partkey", "k", "kind", "other")
     sizes = [F.count_if(c("kind") == f"c{j}").over(w) for j in range(3)]
     pick = lambda on: F.element_at(F.array(*sizes), (F.substring(on, 2, 1).cast("int") + 1))
     rows = kinds.withColumns({"lines": F.count("*").over(w), "n": pick(c("kind")), "m": pick(c("other"))}).withColumns({"thing": F.concat(F.lit("e"), c("k").cast("string")), "next": F.concat(F.lit("e"), (c("k") + 1).cast("string"))})
+    rows = dealt(rows, "l_orderkey", "lines")
     text = lambda x: F.lit(x).cast("string")
     fact = lambda predicate, subject, value=None, other=None, scope="question_local": F.struct(F.lit(predicate).alias("predicate") if isinstance(predicate, str) else predicate.alias("predicate"), subject.alias("subject"), (text("") if other is None else other).alias("object"), text(scope).alias("scope"), F.lit(value).cast("bigint").alias("value"))
     key = c("l_orderkey")
@@ -213,7 +216,14 @@ def _transitions(t):
         return actions.select("action_id", "state", F.explode(out).alias("f")).select("action_id", "state", "f.*")
 
     adds = listed(1)
-    return actions, pre, listed(0).drop("value", "state"), adds.drop("state"), adds.where("state % 29 <> 0 or predicate <> 'SAME_INSTANCE'").drop("value", "state")
+    return actions, pre, listed(0).drop("value"), adds, adds.where("state % 29 <> 0 or predicate <> 'SAME_INSTANCE'").drop("value")
+
+
+def _compared(actions, pre, deletes, adds, allowed):
+    """Both sides are written before they are compared: so few joins lie in one task."""
+    with in_place(actions.sparkSession):
+        a, b = dealt(tr.executed(actions, pre, deletes, adds, allowed), "state", "executed"), dealt(tr.checked(actions, pre, "state"), "state", "checked")
+    return tr.compared(a, adds, b)
 
 
 TRANSITION_SQL = f"""lines as (select *, row_number() over ({LINE_SQL}) as k, l_suppkey % 3 as kind, l_partkey % 3 as other from lineitem),
@@ -229,9 +239,10 @@ agreed as (select *, len(errors) = 0 and error is null and not (o % 23 = 0 and f
 @query("with " + TRANSITION_SQL + " select action_id, family, array_to_string(errors, ',') as errors, error, agree from agreed")
 def transition_agreement(t):
     """Actions of six families on tables of facts: the engine's errors, the checker's, and whether they come to the same facts."""
-    actions, pre, deletes, adds, allowed = _transitions(t)
-    both = tr.compared(tr.executed(actions, pre, deletes, adds, allowed), adds, tr.checked(actions, pre))
-    return both.join(actions.select("action_id", "family"), "action_id").select("action_id", "family", F.array_join("errors", ",").alias("errors"), "error", "agree")
+    actions, *lists = _transitions(t)
+    both = _compared(actions, *lists).join(actions.select("state", "action_id", "family"), ["state", "action_id"])
+    with in_place(both.sparkSession):
+        return materialize(both.select("action_id", "family", F.array_join("errors", ",").alias("errors"), "error", "agree"), "agreement")
 
 
 @query("with " + TRANSITION_SQL + """, kinds as (select l_orderkey as o, count(distinct l_suppkey % 3) as kinds from lineitem group by 1)
@@ -241,9 +252,12 @@ from agreed join kinds using (o) where agree""")
 def transition_successors(t):
     """The states that agreed actions lead to: how many facts, what the counts add up to, and how many things are there."""
     actions, pre, deletes, adds, allowed = _transitions(t)
-    both = tr.compared(tr.executed(actions, pre, deletes, adds, allowed), adds, tr.checked(actions, pre))
-    after = tr.successors(both.where("agree").join(actions.select("action_id", "state"), "action_id"), pre, deletes, adds)
-    return after.groupBy("action_id").agg(F.count("*").alias("facts"), F.sum(F.when(F.col("predicate") == "COUNT", F.col("value")).otherwise(0)).alias("counted"), F.count_if((F.col("predicate") == "EXISTS_IN_WORLD") & (F.col("value") == 1)).alias("there"))
+    both = _compared(actions, pre, deletes, adds, allowed)
+    with in_place(both.sparkSession):
+        passed = dealt(both.where("agree").select("action_id", "state"), "state", "passed")
+        after = tr.successors(passed, pre, deletes, adds)
+        out = after.groupBy("state", "action_id").agg(F.count("*").alias("facts"), F.sum(F.when(F.col("predicate") == "COUNT", F.col("value")).otherwise(0)).alias("counted"), F.count_if((F.col("predicate") == "EXISTS_IN_WORLD") & (F.col("value") == 1)).alias("there"))
+        return materialize(out.drop("state"), "successors")
 
 
 RULED_SQL = f"""lines as (select *, row_number() over ({LINE_SQL}) as k from lineitem),

@@ -3,7 +3,8 @@
 import contextlib
 
 from factloom.operators import readings
-from factloom.plans import scenes, wording
+from factloom.operators import transitions as tr
+from factloom.plans import reasoning, scenes, wording
 from factloom.sources.tables import in_place
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,10 @@ def test_sentences_are_read_where_their_facts_lie(spark):
         read = readings.read(wording._none(f.withColumn("text", wording._told(f))), wording._entities(f), "n")
         assert shuffles(read) == 0
         assert read.where("code is null and given.n is not null").count() == f.count()
+
+
+def test_transitions_are_compared_where_their_states_lie(spark):
+    with without_broadcast(spark) as shuffles:
+        parts = reasoning._transitions(tables(spark))
+        assert shuffles(tr.executed(*parts)) == shuffles(tr.checked(*parts[:2], "state")) == 0
+        assert shuffles(reasoning._compared(*parts)) == 0
