@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize
+from ..sources.tables import dealt, in_place
 from .graph import INVERSE, TRANSITIVE, inverse_of
 
 FACT = "struct<predicate:string,subject:string,object:string,scope:string,value:bigint>"
@@ -47,14 +47,15 @@ def _fits(fact_context: str, claim_context: str) -> Column:
 
 
 def matches(claims: DataFrame, facts: DataFrame, rules: DataFrame, authorised: DataFrame | None = None) -> DataFrame:
-    """(claim_id, side, rule_id, hops, premises): each fact, and each chain of two, that some rule sets against a claim.
+    """(world, claim_id, side, rule_id, hops, premises): each fact, and each chain of two, that some rule sets against a claim.
 
     claims: claim_id, world, predicate, subject, object, value, polarity, context (map or null). facts: fact_id and the same. ``authorised``
     (world, rule_id): the rules that hold in a world; None: all do. Chains of one rule that compete are all listed. A chain
     starts from the claim's subject, so a node between many others costs no more than the claims about it; facts of the inverse predicate are turned round.
+    Everything meets by world first, so what is dealt by it stays there (``tables.in_place``); rules are few and go to all.
     """
     asked = claims.select("claim_id", "world", "predicate", "subject", "object", F.col("value").alias("_value"), F.col("polarity").alias("_polarity"), F.col("context").alias("_context"))
-    ways = asked.withColumn("claim_predicate", F.explode(F.array("predicate", F.lit("*")))).join(rules, "claim_predicate").where(~F.col("claim_positive") | (F.col("_polarity") == "positive"))
+    ways = asked.withColumn("claim_predicate", F.explode(F.array("predicate", F.lit("*")))).join(F.broadcast(rules), "claim_predicate").where(~F.col("claim_positive") | (F.col("_polarity") == "positive"))
     if authorised is not None:
         ways = ways.join(authorised.select("world", "rule_id").distinct(), ["world", "rule_id"], "left_semi")
     turn = lambda a, b: F.when(F.col("swapped"), F.col(b)).otherwise(F.col(a))
@@ -66,14 +67,15 @@ def matches(claims: DataFrame, facts: DataFrame, rules: DataFrame, authorised: D
     value = F.when(F.col("of_value") == "SAME", same_value).when(F.col("of_value") == "OTHER", ~same_value).otherwise(True)
     met = (F.col("w") == F.col("world")) & (F.col("p") == F.col("predicate")) & (F.col("s") == F.col("subject")) & F.col("o").eqNullSafe(F.col("object"))
     one = ways.where("hops = 1").join(own, met).where(polarity & value & _fits("f_context", "_context"))
-    singles = one.select("claim_id", "side", "rule_id", "hops", F.array("fact_id").alias("premises"))
+    # under a new name each side's world is the same to the planner, and the union stays dealt by it
+    singles = one.select(F.col("w").alias("_world"), "claim_id", "side", "rule_id", "hops", F.array("fact_id").alias("premises"))
 
     ends = F.array(F.struct("predicate", "subject", "object"), F.struct(inverse_of(F.col("predicate")).alias("predicate"), F.col("object").alias("subject"), F.col("subject").alias("object")))
     edges = own.where("f_polarity = 'positive' and subject is not null and object is not null").select("fact_id", F.col("world").alias("w"), "f_context", F.explode(ends).alias("e")).where("e.predicate is not null")
     first = edges.select("w", F.col("e.predicate").alias("p"), F.col("e.subject").alias("s"), F.col("e.object").alias("middle"), F.col("fact_id").alias("one"), F.col("f_context").alias("one_context"))
     second = edges.select("w", F.col("e.predicate").alias("p"), F.col("e.subject").alias("middle"), F.col("e.object").alias("o"), F.col("fact_id").alias("two"), F.col("f_context").alias("two_context"))
     two = ways.where("hops = 2 and s <> o").join(first, ["w", "p", "s"]).where(_fits("one_context", "_context")).join(second, ["w", "p", "middle", "o"]).where(_fits("two_context", "_context"))
-    return singles.unionByName(two.select("claim_id", "side", "rule_id", "hops", F.array("one", "two").alias("premises")))
+    return singles.unionByName(two.select(F.col("w").alias("_world"), "claim_id", "side", "rule_id", "hops", F.array("one", "two").alias("premises"))).withColumnRenamed("_world", "world")
 
 
 def verified(claims: DataFrame, facts: DataFrame, rules: DataFrame, authorised: DataFrame | None = None, expected: str = "expected") -> DataFrame:
@@ -91,26 +93,29 @@ def verified(claims: DataFrame, facts: DataFrame, rules: DataFrame, authorised:
     """
     if claims.groupBy("claim_id").count().where("count > 1").limit(1).count():
         raise ValueError("REPEATED_CLAIM_ID")
-    found = materialize(matches(claims, facts, rules, authorised), "matches")
-    single = found.where("hops = 1").select("claim_id", "side", "rule_id", F.get("premises", F.lit(0)).alias("fact_id"))
-    chain_key = ["claim_id", "side", "rule_id"]
+    with in_place(claims.sparkSession):
+        found = dealt(matches(claims, facts, rules, authorised), "world", "matches")
+    single = found.where("hops = 1").select("world", "claim_id", "side", "rule_id", F.get("premises", F.lit(0)).alias("fact_id"))
+    key = ["world", "claim_id"]
+    chain_key = [*key, "side", "rule_id"]
     chains = found.where("hops = 2").groupBy(*chain_key).agg(F.count("*").alias("n"), F.first("premises").alias("premises"))
-    proofs = single.withColumn("hops", F.lit(1)).unionByName(chains.where("n = 1").select(*chain_key, F.explode("premises").alias("fact_id"), F.lit(2).alias("hops")))
-    each = proofs.groupBy("claim_id").agg(F.bool_or(F.col("side") == "support").alias("s"), F.bool_or(F.col("side") == "refute").alias("r"), F.max("hops").alias("hops"), F.sort_array(F.collect_set("fact_id")).alias("evidence"), F.sort_array(F.collect_set("rule_id")).alias("rules"))
-
-    used = proofs.select("claim_id", "fact_id").distinct()
-    facts_of_side = single.select("claim_id", "side", "fact_id").distinct()
-    stay = facts_of_side.groupBy("claim_id").agg(*[F.count_if(F.col("side") == side).alias(side) for side in ("support", "refute")])
-    gone = facts_of_side.groupBy("claim_id", "fact_id").agg(*[F.count_if(F.col("side") == side).alias(f"{side}_gone") for side in ("support", "refute")])
+    own = lambda df: df.withColumnRenamed("world", "_world")
+    proofs = own(single.withColumn("hops", F.lit(1))).unionByName(own(chains.where("n = 1").select(*chain_key, F.explode("premises").alias("fact_id"), F.lit(2).alias("hops")))).withColumnRenamed("_world", "world")
+    each = proofs.groupBy(*key).agg(F.bool_or(F.col("side") == "support").alias("s"), F.bool_or(F.col("side") == "refute").alias("r"), F.max("hops").alias("hops"), F.sort_array(F.collect_set("fact_id")).alias("evidence"), F.sort_array(F.collect_set("rule_id")).alias("rules"))
+
+    used = proofs.select(*key, "fact_id").distinct()
+    facts_of_side = single.select(*key, "side", "fact_id").distinct()
+    stay = facts_of_side.groupBy(*key).agg(*[F.count_if(F.col("side") == side).alias(side) for side in ("support", "refute")])
+    gone = facts_of_side.groupBy(*key, "fact_id").agg(*[F.count_if(F.col("side") == side).alias(f"{side}_gone") for side in ("support", "refute")])
     through = found.where("hops = 2").select(*chain_key, F.explode(F.array_distinct("premises")).alias("fact_id")).groupBy(*chain_key, "fact_id").agg(F.count("*").alias("m"))
-    left = used.join(chains.drop("premises"), "claim_id").join(through, [*chain_key, "fact_id"], "left").where(F.col("n") - F.coalesce("m", F.lit(0)) == 1)
-    left = left.groupBy("claim_id", "fact_id").agg(*[F.count_if(F.col("side") == side).alias(f"{side}_chains") for side in ("support", "refute")])
-    after = used.join(stay, "claim_id", "left").join(gone, ["claim_id", "fact_id"], "left").join(left, ["claim_id", "fact_id"], "left")
+    left = used.join(chains.drop("premises"), key).join(through, [*chain_key, "fact_id"], "left").where(F.col("n") - F.coalesce("m", F.lit(0)) == 1)
+    left = left.groupBy(*key, "fact_id").agg(*[F.count_if(F.col("side") == side).alias(f"{side}_chains") for side in ("support", "refute")])
+    after = used.join(stay, key, "left").join(gone, [*key, "fact_id"], "left").join(left, [*key, "fact_id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     still = {side: zero(side) - zero(f"{side}_gone") + zero(f"{side}_chains") > 0 for side in ("support", "refute")}
-    loose = after.where(still["support"] != still["refute"]).select("claim_id").distinct().withColumn("loose", F.lit(True))
+    loose = after.where(still["support"] != still["refute"]).select(*key).distinct().withColumn("loose", F.lit(True))
 
-    out = claims.select("claim_id", "predicate", F.col(expected).alias("_expected") if expected in claims.columns else F.lit(None).alias("_expected")).join(each, "claim_id", "left").join(loose, "claim_id", "left")
+    out = claims.select(*key, "predicate", F.col(expected).alias("_expected") if expected in claims.columns else F.lit(None).alias("_expected")).join(each, key, "left").join(loose, key, "left")
     s, r = F.coalesce("s", F.lit(False)), F.coalesce("r", F.lit(False))
     label = F.when(s & ~r, "SUPPORTED").when(r & ~s, "CONTRADICTORY").otherwise("UNKNOWN")
     codes = F.array_compact(F.array(

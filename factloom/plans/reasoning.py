@@ -288,7 +288,8 @@ labelled as (select claim_id, bool_or(side = 'support') as s, bool_or(side = 're
 
 def _ruled(t):
     """Facts and claims of orders: relations of four kinds over few nodes, so that chains compete, some facts negative, counts, contexts; strict orders don't chain in every fifth world."""
-    rows = t("lineitem").withColumn("k", F.row_number().over(_line_order()))
+    lines = t("lineitem").withColumn("k", F.row_number().over(_line_order()))
+    rows = dealt(lines.select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_linestatus", "k"), "l_orderkey", "lines")
     pick = lambda on: F.when(on == 0, "AFTER").when(on == 1, "BEFORE").when(on == 2, "LEFT_OF").otherwise("RIGHT_OF")
     node = lambda kind, c, n: F.concat(F.lit(kind), (F.col(c) % n).cast("string"))
     none = F.lit(None)
@@ -308,7 +309,7 @@ def _ruled(t):
         F.when(F.col("l_discount") > 0.08, "negative").otherwise("positive").alias("polarity"), F.when(F.col("l_tax") > 0.05, F.create_map(F.lit("status"), "l_linestatus")).alias("context"), F.when(F.col("k") % 2 == 0, "SUPPORTED").otherwise("CONTRADICTORY").alias("expected"),
     )
     ids = F.explode(F.array(*[F.lit(r) for r in p.RULE_IDS])).alias("rule_id")
-    authorised = t("lineitem").select(F.col("l_orderkey").alias("world")).distinct().select("world", ids).where("world % 5 <> 0 or rule_id <> 'STRICT_ORDER_TRANSITIVITY'")
+    authorised = rows.select(F.col("l_orderkey").alias("world")).distinct().select("world", ids).where("world % 5 <> 0 or rule_id <> 'STRICT_ORDER_TRANSITIVITY'")
     return claims, relations.unionByName(counts), p.standard_rules(rows.sparkSession), authorised
 
 
@@ -317,7 +318,9 @@ def rule_matches(t):
     """What each rule of a table sets against each claim: facts, and chains that may compete; some rules are switched off in some worlds."""
     claims, facts_, rules, authorised = _ruled(t)
     found = p.matches(claims, facts_, rules, authorised)
-    return found.groupBy("claim_id", "side", "rule_id").agg(F.count("*").alias("n"), F.min(F.get("premises", F.lit(0))).alias("least_first"), F.max(F.get("premises", F.lit(1))).alias("greatest_second"))
+    out = found.groupBy("world", "claim_id", "side", "rule_id").agg(F.count("*").alias("n"), F.min(F.get("premises", F.lit(0))).alias("least_first"), F.max(F.get("premises", F.lit(1))).alias("greatest_second"))
+    with in_place(out.sparkSession):
+        return materialize(out.drop("world"), "rules")
 
 
 @query("with " + RULED_SQL + """,
@@ -333,7 +336,8 @@ select claim_id, label, case when s <> r then case when hops = 2 then 'L2' when
 def proof_verification(t):
     """Labels, levels, evidence, rules and reject codes of claims against an expected label; SQL takes each piece of evidence away and labels again."""
     out = p.verified(*_ruled(t))
-    return out.select("claim_id", "label", "level", *[F.array_join(c, ",").alias(c) for c in ("evidence", "rules", "codes")])
+    with in_place(out.sparkSession):
+        return materialize(out.select("claim_id", "label", "level", *[F.array_join(c, ",").alias(c) for c in ("evidence", "rules", "codes")]), "verified")
 
 
 @query("""with g as (select l_orderkey, l_suppkey, count(*) - case when l_orderkey % 3 = 0 then 1 else 0 end as pre, min(l_linenumber) as line from lineitem group by l_orderkey, l_suppkey),

@@ -2,7 +2,7 @@
 
 import contextlib
 
-from factloom.operators import readings
+from factloom.operators import proofs, readings
 from factloom.operators import transitions as tr
 from factloom.plans import reasoning, scenes, wording
 from factloom.sources.tables import in_place
@@ -17,7 +17,7 @@ def without_broadcast(spark):
     spark.conf.set(name, "-1")
     try:
         with in_place(spark):
-            yield lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+            yield lambda df: df._jdf.queryExecution().executedPlan().toString().count("- Exchange ")
     finally:
         spark.conf.set(name, before)
 
@@ -46,3 +46,10 @@ def test_transitions_are_compared_where_their_states_lie(spark):
         parts = reasoning._transitions(tables(spark))
         assert shuffles(tr.executed(*parts)) == shuffles(tr.checked(*parts[:2], "state")) == 0
         assert shuffles(reasoning._compared(*parts)) == 0
+
+
+def test_claims_are_proved_where_their_worlds_lie(spark):
+    with without_broadcast(spark) as shuffles:
+        parts = reasoning._ruled(tables(spark))
+        assert shuffles(proofs.matches(*parts)) == 0
+        assert shuffles(proofs.verified(*parts)) == 0
