@@ -4,8 +4,8 @@ import contextlib
 
 from factloom.operators import proofs, readings
 from factloom.operators import transitions as tr
-from factloom.plans import reasoning, scenes, wording
-from factloom.sources.tables import in_place
+from factloom.plans import lineage, reasoning, scenes, wording
+from factloom.sources.tables import dealt, in_place
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +53,10 @@ def test_claims_are_proved_where_their_worlds_lie(spark):
         parts = reasoning._ruled(tables(spark))
         assert shuffles(proofs.matches(*parts)) == 0
         assert shuffles(proofs.verified(*parts)) == 0
+
+
+def test_chains_stay_with_their_pairs(spark):
+    """Only ids and worlds are shuffled: distinct worlds, one of each id, ids to them and back."""
+    with without_broadcast(spark) as shuffles:
+        chain, *_ = lineage.chain_tables(dealt(tables(spark)("orders"), "o_orderkey", "orders"))
+        assert shuffles(chain) <= 5
