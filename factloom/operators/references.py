@@ -17,18 +17,21 @@ def resolved(references: DataFrame, objects: DataFrame) -> DataFrame:
     references: ref_id, scene, text. objects: scene, object_id, class, aliases (array). A reference that equals an alias means all objects with it:
     ANNOTATION_ALIGNED if it isn't the class of some of them, else UNIQUE_REFERENTIAL. Otherwise the words before the first relation may hold the alias of
     exactly one object: UNIQUE_CLASS_IN_SCENE. Else UNRESOLVED without objects. Both steps are equi-joins on scene and words: runs of
-    words of a reference meet aliases, for each number of words that some alias of the scene has. Null texts and scenes are UNRESOLVED.
+    words of a reference meet aliases, for each number of words that some alias of the scene has. An alias is one row of a scene and so is a
+    text, however many objects and references have it, so no pairs of them are made. Null texts and scenes are UNRESOLVED.
     """
     refs = references.select("ref_id", "scene", normalise_reference(F.col("text")).alias("name"))
     named = objects.select("scene", "object_id", normalise_reference(F.col("class")).alias("kind"), F.explode(F.array_distinct(F.transform(F.concat(F.array("class"), F.coalesce("aliases", F.array().cast("array<string>"))), normalise_reference))).alias("name")).where("name <> ''")
-    exact = refs.join(named, ["scene", "name"]).groupBy("ref_id").agg(F.sort_array(F.collect_set("object_id")).alias("exact"), F.bool_or(F.col("name") != F.coalesce("kind", F.lit(""))).alias("other"))
+    asked = refs.select("scene", "name").distinct()
+    meant = named.join(asked, ["scene", "name"], "left_semi").groupBy("scene", "name").agg(F.sort_array(F.collect_set("object_id")).alias("exact"), F.bool_or(F.col("name") != F.coalesce("kind", F.lit(""))).alias("other"))
     words = F.split(F.btrim(F.get(F.split(F.col("name"), TAIL, 2), F.lit(0))), " ")
     lengths = named.groupBy("scene").agg(F.collect_set(F.size(F.split("name", " "))).alias("lengths"))
     runs = F.flatten(F.transform("lengths", lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.array_join(F.slice("words", i + 1, n), " "))).otherwise(F.array().cast("array<string>"))))
-    heads = refs.join(lengths, "scene").withColumn("words", words).select("ref_id", "scene", F.explode(F.array_distinct(runs)).alias("name"))
-    head = heads.join(named, ["scene", "name"]).groupBy("ref_id").agg(F.min("object_id").alias("low"), F.max("object_id").alias("high")).where("low = high")
-    out = refs.join(exact, "ref_id", "left").join(head.select("ref_id", F.array("low").alias("head")), "ref_id", "left")
-    none = F.array().cast(exact.schema["exact"].dataType)
+    bounds = named.groupBy("scene", "name").agg(F.min("object_id").alias("low"), F.max("object_id").alias("high"))
+    heads = asked.join(lengths, "scene").withColumn("words", words).select("scene", F.col("name").alias("reference"), F.explode(F.array_distinct(runs)).alias("name"))
+    head = heads.join(bounds, ["scene", "name"]).groupBy("scene", "reference").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high")
+    out = refs.join(meant, ["scene", "name"], "left").join(head.select("scene", F.col("reference").alias("name"), F.array("low").alias("head")), ["scene", "name"], "left")
+    none = F.array().cast(meant.schema["exact"].dataType)
     status = F.when(F.col("exact").isNotNull(), F.when(F.col("other"), "ANNOTATION_ALIGNED").otherwise("UNIQUE_REFERENTIAL")).when(F.col("head").isNotNull(), "UNIQUE_CLASS_IN_SCENE").otherwise("UNRESOLVED")
     return out.select("ref_id", F.coalesce("exact", "head", none).alias("object_ids"), status.alias("status"))
 
