@@ -36,23 +36,19 @@ def poisson_bounds(most: int = 11) -> list[float]:
     return out
 
 
-def _uniform(repetition: Column, cluster: Column) -> Column:
-    """A whole number below 2^32 from the first eight hex digits of an MD5."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", repetition.cast("string"), cluster.cast("string"))), 1, 8), 16, 10).cast("bigint")
-
-
 def resampled(parts: DataFrame, cluster: str, repetitions: int) -> DataFrame:
-    """Each row once per repetition that draws it, with ``_rep`` and its count ``_w``, from an MD5 of repetition and cluster.
+    """Each row once per repetition that draws its cluster, with ``_rep`` and its count ``_w``, from an MD5 of repetition and cluster.
 
-    Any engine can draw the same numbers, so that results can be compared; ``cluster_bootstrap`` takes a faster hash.
+    Any engine can draw the same numbers, so that results can be compared; ``cluster_bootstrap`` takes a faster hash. A cluster is drawn
+    once for all of its rows, which meet in one row for that, so rows should be sums. Digests are held against the bounds as hex digits.
     """
-    bounds = [math.ceil(b * 2**32) for b in poisson_bounds()]
+    bounds = [f"{math.ceil(b * 2**32):08x}" for b in poisson_bounds()]
+    nested = parts.groupBy(cluster).agg(F.collect_list(F.struct(*[c for c in parts.columns if c != cluster])).alias("_parts"))
     # the generator yields a row per drawn repetition, so that the hash isn't worked out again for the filter
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(repetitions)), lambda r: F.struct(r.alias("_rep"), _uniform(r, F.col(cluster)).alias("_u")))
-    kept = F.filter(drawn, lambda d: d["_u"] >= bounds[0])
-    each = parts.withColumn("_d", F.explode(kept))
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(repetitions)), lambda r: F.struct(r.alias("_rep"), F.md5(F.concat_ws("|", r.cast("string"), F.col(cluster).cast("string"))).alias("_u")))
+    each = nested.withColumn("_d", F.explode(F.filter(drawn, lambda d: d["_u"] >= bounds[0])))
     weight = sum((F.col("_d._u") >= b).cast("int") for b in bounds)
-    return each.withColumns({"_rep": F.col("_d._rep"), "_w": weight}).drop("_d")
+    return each.select(cluster, "_parts", F.col("_d._rep").alias("_rep"), weight.alias("_w")).select(cluster, "_rep", "_w", F.inline("_parts"))
 
 
 def stratified_bootstrap(rows: DataFrame, groups: Sequence[str], stratum: str, cluster: str, value: str, repetitions: int = 2000) -> DataFrame:

@@ -1,8 +1,10 @@
 """Work that must not grow faster than the input, counted in rows of plans and in expressions rather than in seconds."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from factloom.operators import references
+from factloom.operators import references, stats
 
 
 def made(df):
@@ -31,3 +33,29 @@ def test_shared_aliases_and_texts_make_no_pairs(spark):
     out = references.resolved(refs, objects)
     assert {(r.ref_id, tuple(r.object_ids), r.status) for r in out.collect()} == {(i, (i,), "UNIQUE_CLASS_IN_SCENE") if i % 2 else (i, (), "UNRESOLVED") for i in range(n)}
     assert made(out) <= 8 * n
+
+
+def made_by(df, name):
+    """Rows that each step of a kind made, in the order of the plan."""
+
+    def walk(plan):
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if "QueryStage" in plan.nodeName():
+            return walk(plan.plan())
+        children = plan.children()
+        below = [n for k in range(children.size()) for n in walk(children.apply(k))]
+        return [plan.metrics().get("numOutputRows").get().value(), *below] if plan.nodeName() == name else below
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_clusters_are_drawn_once_for_all_their_strata(spark):
+    rows = spark.range(200).select(F.lit("g").alias("g"), (F.col("id") % 10).alias("stratum"), (F.col("id") / 10).cast("bigint").alias("c"), (F.col("id") % 3).alias("v"))
+    parts = rows.groupBy("g", "stratum", "c").agg(F.sum("v").alias("s"))
+    drawn = stats.resampled(parts, "c", 50)
+    pairs = {(r.c, r._rep): r._w for r in drawn.collect()}
+    want = {(c, k): sum(int(hashlib.md5(f"{k}|{c}".encode()).hexdigest()[:8], 16) >= b * 2**32 for b in stats.poisson_bounds()) for c in range(20) for k in range(1, 51)}
+    assert pairs == {k: w for k, w in want.items() if w} and drawn.count() == 10 * len(pairs)
+    assert min(made_by(stats.stratified_bootstrap(rows, ["g"], "stratum", "c", "v", 50), "Generate")) == len(pairs)
