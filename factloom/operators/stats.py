@@ -77,8 +77,8 @@ def conditional_macro(rows: DataFrame, groups: Sequence[str], cluster: str, valu
     parts = rows.where(F.col(value).isNotNull()).groupBy(*groups, cluster).agg(F.coalesce(F.sum(F.when(use, F.col(value))), F.lit(0)).alias("_s"), F.count_if(use).alias("_n"))
     ratio = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))
     point = parts.groupBy(*groups).agg(F.sum("_s").alias("numerator"), F.sum("_n").alias("denominator"), F.count_if(F.col("_n") > 0).alias("clusters"), F.count("*").alias("cohort"), F.avg(ratio).alias("estimate"))
-    whole = F.when(F.col("_n") > 0, F.col("_w"))
-    draws = resampled(parts, cluster, repetitions).groupBy(*groups, "_rep").agg((F.sum(F.col("_w") * ratio) / F.sum(whole)).alias("_e"))
+    # a cluster without a ratio adds to neither sum, and a repetition without a value is empty whether or not it has a row
+    draws = resampled(parts.where("_n > 0"), cluster, repetitions).groupBy(*groups, "_rep").agg((F.sum(F.col("_w") * ratio) / F.sum("_w")).alias("_e"))
     interval = draws.groupBy(*groups).agg(F.percentile("_e", 0.025).alias("low"), F.percentile("_e", 0.975).alias("high"), (1 - F.count("_e") / repetitions).alias("empty"))
     return point.join(interval, list(groups), "left").withColumn("empty", F.coalesce("empty", F.lit(1.0)))
 

@@ -59,3 +59,13 @@ def test_clusters_are_drawn_once_for_all_their_strata(spark):
     want = {(c, k): sum(int(hashlib.md5(f"{k}|{c}".encode()).hexdigest()[:8], 16) >= b * 2**32 for b in stats.poisson_bounds()) for c in range(20) for k in range(1, 51)}
     assert pairs == {k: w for k, w in want.items() if w} and drawn.count() == 10 * len(pairs)
     assert min(made_by(stats.stratified_bootstrap(rows, ["g"], "stratum", "c", "v", 50), "Generate")) == len(pairs)
+
+
+def test_clusters_without_a_ratio_are_not_drawn(spark):
+    rows = spark.range(2_000).select(F.when(F.col("id") < 1_000, "a").otherwise("b").alias("g"), F.col("id").alias("c"), F.lit(1).alias("v"), (F.col("id") % 500 == 0).alias("ok"))
+    out = stats.conditional_macro(rows.where("g = 'a' or not ok"), ["g"], "c", "v", F.col("ok"), 50)
+    got = {r.g: r for r in out.collect()}
+    drawn = {k for k in range(1, 51) for c in (0, 500) if int(hashlib.md5(f"{k}|{c}".encode()).hexdigest()[:8], 16) >= stats.poisson_bounds()[0] * 2**32}
+    assert (got["a"].cohort, got["a"].clusters, got["a"].estimate, got["a"].low, got["a"].high) == (1_000, 2, 1.0, 1.0, 1.0) and abs(got["a"].empty - (1 - len(drawn) / 50)) < 1e-12
+    assert (got["b"].cohort, got["b"].clusters, got["b"].estimate, got["b"].low, got["b"].empty) == (998, 0, None, None, 1.0)
+    assert made(out) <= 2_000
