@@ -67,17 +67,23 @@ def facing(question: Column, options: Column, letter: Column) -> Column:
     The thing faced must be the reference; the letter must name the only option of its meaning. Two options of one letter: the last counts.
     """
     pattern = r"(?i)^If I am standing by the (.+?) and facing the (.+?), is the (.+?) to the left or the right of the (.+?)\?$"
-    origin, faced, subject, other = (F.btrim(F.regexp_extract(F.btrim(question), pattern, k)) for k in (1, 2, 3, 4))
+
+    def judged(parts: Column, meaning: Column, said: Column) -> Column:
+        origin, faced, subject, other = (F.btrim(F.get(parts, F.lit(k))) for k in range(4))
+        predicate = _named({k: PERSPECTIVE[k] for k in ("left", "right")}, said)
+        first = F.get(F.filter(meaning, lambda m: m["text"] == said), F.lit(0))["letter"]
+        code = (
+            F.when((origin == "") | (F.lower(faced) != F.lower(other)), "MISSING_REFERENCE_FRAME").when(~F.forall(meaning, lambda m: m["letter"] != ""), "SOURCE_RECONSTRUCTION_FAIL")
+            .when(predicate.isNull(), "UNSUPPORTED_OPERATOR").when(first != letter, "SOURCE_RECONSTRUCTION_FAIL")
+        )
+        frame = F.concat(F.lit("agent_at:"), slug(origin), F.lit(":facing:"), slug(other))
+        return _result(code, frame, F.array(_fact(F.concat(F.lit("mention:"), slug(subject)), predicate, F.concat(F.lit("mention:"), slug(other)))))
+
+    # each value is worked out once a row: parts of a matched question hold no line break, and a question that doesn't match has empty parts
+    cut = lambda q: _let(F.regexp_replace(q, pattern, "$1\n$2\n$3\n$4"), lambda s: F.when(s != q, F.split(s, "\n")).when(s.isNotNull(), F.array_repeat(F.lit(""), 4)))
     meaning = F.transform(options, lambda o: F.struct(F.regexp_extract(o, OPTION, 1).alias("letter"), F.lower(F.regexp_extract(o, OPTION, 2)).alias("text")))
-    said = F.element_at(F.filter(meaning, lambda m: m["letter"] == F.upper(letter)), -1)["text"]
-    predicate = _named({k: PERSPECTIVE[k] for k in ("left", "right")}, said)
-    first = F.get(F.filter(meaning, lambda m: m["text"] == said), F.lit(0))["letter"]
-    code = (
-        F.when((origin == "") | (F.lower(faced) != F.lower(other)), "MISSING_REFERENCE_FRAME").when(~F.forall(options, lambda o: o.rlike(OPTION)), "SOURCE_RECONSTRUCTION_FAIL")
-        .when(predicate.isNull(), "UNSUPPORTED_OPERATOR").when(first != letter, "SOURCE_RECONSTRUCTION_FAIL")
-    )
-    frame = F.concat(F.lit("agent_at:"), slug(origin), F.lit(":facing:"), slug(other))
-    return _result(code, frame, F.array(_fact(F.concat(F.lit("mention:"), slug(subject)), predicate, F.concat(F.lit("mention:"), slug(other)))))
+    said = lambda ms: F.try_element_at(F.filter(ms, lambda m: m["letter"] == F.upper(letter)), F.lit(-1))["text"]
+    return _let(_let(F.btrim(question), cut), lambda parts: _let(meaning, lambda ms: _let(said(ms), lambda text: judged(parts, ms, text))))
 
 
 def perspective(item: Column, task: Column, subtask: Column, question: Column, options: Column, answer: Column) -> Column:

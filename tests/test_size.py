@@ -4,6 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from factloom.functions import directions
 from factloom.operators import references, stats
 
 
@@ -69,3 +70,16 @@ def test_clusters_without_a_ratio_are_not_drawn(spark):
     assert (got["a"].cohort, got["a"].clusters, got["a"].estimate, got["a"].low, got["a"].high) == (1_000, 2, 1.0, 1.0, 1.0) and abs(got["a"].empty - (1 - len(drawn) / 50)) < 1e-12
     assert (got["b"].cohort, got["b"].clusters, got["b"].estimate, got["b"].low, got["b"].empty) == (998, 0, None, None, 1.0)
     assert made(out) <= 2_000
+
+
+def test_a_question_is_matched_once(spark):
+    q = "If I am standing by the Sofa 1 and facing the Shelf 2, is the Box 3 to the left or the right of the shelf 2?"
+    rows = [(q, ["A. left", " B.  Right "], "B"), (f" {q} ", ["A. left", "A. RIGHT"], "A"), (q, ["A. left"], "D"), (q, ["left"], "A"), (q.replace("shelf 2?", "door?"), ["A. left"], "A"), (q + "\n", ["A. left"], "A"), (q.replace("Sofa", "So\nfa"), ["A. left"], "A"), ("1\n2\n3\n2", ["A. left"], "A"), (q.replace("the left or", "left or"), [], "A"), (None, ["A. left"], "A")]
+    df = spark.createDataFrame(rows, "q string, options array<string>, letter string").select(directions.facing(F.col("q"), F.col("options"), F.col("letter")).alias("f"))
+    got = [(r.f.reject_code, r.f.frame, [f.predicate for f in r.f.facts]) for r in df.collect()]
+    frame, missing = "agent_at:sofa_1:facing:shelf_2", ("MISSING_REFERENCE_FRAME", None, [])
+    # Spark's $ takes a line break at the end
+    assert got[:6] == [(None, frame, ["RIGHT_OF"]), (None, frame, ["RIGHT_OF"]), ("UNSUPPORTED_OPERATOR", None, []), ("SOURCE_RECONSTRUCTION_FAIL", None, []), missing, (None, frame, ["LEFT_OF"])]
+    assert got[6:9] == [missing] * 3 and got[9][0] is None and got[9][2] == ["LEFT_OF"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("If I am standing") == 1 and plan.count("regexp_extract(") == 2
