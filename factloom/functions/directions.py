@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .canon import slug
 from .extract import FACT
+from .text import let
 
 #: Words of answers and the relations that they mean, for perspectives and for states after a change.
 PERSPECTIVE = {"left": "LEFT_OF", "right": "RIGHT_OF", "front": "FRONT_OF", "forward": "FRONT_OF", "rear": "BEHIND", "back": "BEHIND", "above": "ABOVE", "upper": "ABOVE", "below": "BELOW", "lower": "BELOW"}
@@ -42,11 +43,6 @@ def _one_of(text: Column, cues: list[str]) -> Column:
     return found
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _fact(subject: Column, predicate: Column, other: Column, value: Column | None = None) -> Column:
     fields = {"subject": subject, "predicate": predicate, "object": other, "value": F.lit(None) if value is None else value, "polarity": F.lit("positive")}
     return F.struct(*[v.alias(k) for k, v in fields.items()]).cast(FACT)
@@ -54,7 +50,7 @@ def _fact(subject: Column, predicate: Column, other: Column, value: Column | Non
 
 def _result(code: Column, frame: Column, facts: Column) -> Column:
     none = F.expr(f"cast(array() as array<{FACT}>)")
-    return _let(code, lambda c: F.struct(c.alias("reject_code"), F.when(c.isNull(), frame).alias("frame"), F.when(c.isNull(), facts).otherwise(none).alias("facts")))
+    return let(code, lambda c: F.struct(c.alias("reject_code"), F.when(c.isNull(), frame).alias("frame"), F.when(c.isNull(), facts).otherwise(none).alias("facts")))
 
 
 def _relations(predicates: Column, subject: Column, other: Column) -> Column:
@@ -80,10 +76,10 @@ def facing(question: Column, options: Column, letter: Column) -> Column:
         return _result(code, frame, F.array(_fact(F.concat(F.lit("mention:"), slug(subject)), predicate, F.concat(F.lit("mention:"), slug(other)))))
 
     # each value is worked out once a row: parts of a matched question hold no line break, and a question that doesn't match has empty parts
-    cut = lambda q: _let(F.regexp_replace(q, pattern, "$1\n$2\n$3\n$4"), lambda s: F.when(s != q, F.split(s, "\n")).when(s.isNotNull(), F.array_repeat(F.lit(""), 4)))
+    cut = lambda q: let(F.regexp_replace(q, pattern, "$1\n$2\n$3\n$4"), lambda s: F.when(s != q, F.split(s, "\n")).when(s.isNotNull(), F.array_repeat(F.lit(""), 4)))
     meaning = F.transform(options, lambda o: F.struct(F.regexp_extract(o, OPTION, 1).alias("letter"), F.lower(F.regexp_extract(o, OPTION, 2)).alias("text")))
     said = lambda ms: F.try_element_at(F.filter(ms, lambda m: m["letter"] == F.upper(letter)), F.lit(-1))["text"]
-    return _let(_let(F.btrim(question), cut), lambda parts: _let(meaning, lambda ms: _let(said(ms), lambda text: judged(parts, ms, text))))
+    return let(let(F.btrim(question), cut), lambda parts: let(meaning, lambda ms: let(said(ms), lambda text: judged(parts, ms, text))))
 
 
 def perspective(item: Column, task: Column, subtask: Column, question: Column, options: Column, answer: Column) -> Column:
@@ -124,7 +120,7 @@ def after_change(item: Column, question_type: Column, question: Column, answer:
 def free_relations(text: Column, depth: Column) -> Column:
     """The relations whose words stand in a text, in a fixed order; those of depth only where ``depth``."""
     has = lambda low, words, use: [F.when(use & low.rlike(rf"\b{w}\b"), p) for w, p in words.items()]
-    return _let(F.lower(text), lambda low: F.array_compact(F.array(*has(low, FREE, F.lit(True)), *has(low, DEPTH, depth))))
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*has(low, FREE, F.lit(True)), *has(low, DEPTH, depth))))
 
 
 def coloured_boxes(observer: Column, question: Column, answer: Column) -> Column:
@@ -149,4 +145,4 @@ def coloured_boxes(observer: Column, question: Column, answer: Column) -> Column
         code = F.when(F.coalesce(bad, F.lit(True)), "SOURCE_RECONSTRUCTION_FAIL")
         return _result(code, F.lit("source_question_declared_perspective"), _relations(said, F.lit("mention:red_bbox_target"), other))
 
-    return _let(free_relations(meaning, observer), judged)
+    return let(free_relations(meaning, observer), judged)

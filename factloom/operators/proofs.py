@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..sources.tables import dealt, in_place
 from .graph import INVERSE, TRANSITIVE, inverse_of
 
@@ -142,8 +143,8 @@ def _slots(facts: Column) -> Column:
 
 
 def _outcome(errors: Column, post: Column) -> Column:
-    ordered = F.array_sort(post, lambda a, b: F.when(slot(a) < slot(b), -1).when(slot(a) > slot(b), 1).otherwise(0))
-    return F.struct(F.when(F.size(errors) == 0, "PASS").otherwise("FAIL").alias("status"), errors.alias("errors"), ordered.alias("post"))
+    placed = F.sort_array(F.transform(post, lambda f, k: F.struct(slot(f).alias("slot"), k.alias("k"), f.alias("fact"))))
+    return let(errors, lambda e: F.struct(F.when(F.size(e) == 0, "PASS").otherwise("FAIL").alias("status"), e.alias("errors"), F.transform(placed, lambda x: x["fact"]).alias("post")))
 
 
 def apply_delta(pre: Column, delete: Column, add: Column, allowed: Column) -> Column:
@@ -153,11 +154,12 @@ def apply_delta(pre: Column, delete: Column, add: Column, allowed: Column) -> Co
     """
     twice = lambda a: F.size(F.array_distinct(a)) < F.size(a)
     negative = F.exists(add, lambda f: (f["predicate"] == "COUNT") & (F.coalesce(f["value"], F.lit(-1)) < 0))
-    errors = F.array_compact(F.array(
-        F.when(twice(_slots(pre)), "DUPLICATE_PRE_FACT_SLOT"), F.when(F.size(F.array_except(delete, _slots(pre))) > 0, "DELETE_FACT_NOT_IN_PRESTATE"), F.when(twice(delete), "DUPLICATE_DELETE_FACT_SLOT"),
-        F.when(negative, "INVALID_POST_COUNT"), F.when(twice(_slots(add)), "DUPLICATE_POST_FACT_SLOT"), F.when(F.size(F.array_except(_slots(add), allowed)) > 0, "UNLISTED_POST_FACT_UPDATE"),
+    errors = lambda s: F.array_compact(F.array(
+        F.when(twice(s["pre"]), "DUPLICATE_PRE_FACT_SLOT"), F.when(F.size(F.array_except(s["delete"], s["pre"])) > 0, "DELETE_FACT_NOT_IN_PRESTATE"), F.when(twice(s["delete"]), "DUPLICATE_DELETE_FACT_SLOT"),
+        F.when(negative, "INVALID_POST_COUNT"), F.when(twice(s["add"]), "DUPLICATE_POST_FACT_SLOT"), F.when(F.size(F.array_except(s["add"], s["allowed"])) > 0, "UNLISTED_POST_FACT_UPDATE"),
     ))
-    return _outcome(errors, add)
+    slots = F.struct(_slots(pre).alias("pre"), delete.alias("delete"), _slots(add).alias("add"), allowed.alias("allowed"))
+    return _outcome(let(slots, errors), add)
 
 
 def check_family(pre: Column, family: Column, target: Column, category: Column, anchor: Column, relation: Column) -> Column:
@@ -165,19 +167,26 @@ def check_family(pre: Column, family: Column, target: Column, category: Column,
 
     def only(predicate: Column | str, subject: Column, other: Column | None = None) -> Column:
         found = F.filter(pre, lambda f: (f["predicate"] == predicate) & (f["subject"] == subject) & (F.coalesce(f["object"], F.lit("")) == (F.lit("") if other is None else other)))
-        return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+        return let(found, lambda fs: F.when(F.size(fs) == 1, F.get(fs, F.lit(0))))
 
-    count, there = only("COUNT", category)["value"], only("EXISTS_IN_WORLD", target)["value"]
     opposite = F.lit(None).cast("string")
     for a, b in OPPOSITE.items():
         opposite = F.when(relation == a, b).otherwise(opposite)
-    removed = F.when((count >= 1) & (there == 1), F.array(fact("COUNT", category, count - 1), fact("EXISTS_IN_WORLD", target, F.lit(0))))
-    added = F.when(count.isNotNull(), F.array(fact("COUNT", category, count + 1), fact("EXISTS_IN_WORLD", F.concat(F.lit("new-"), target), F.lit(1))))
+
+    def counted(count: Column) -> Column:
+        removed = F.when((count >= 1) & (only("EXISTS_IN_WORLD", target)["value"] == 1), F.array(fact("COUNT", category, count - 1), fact("EXISTS_IN_WORLD", target, F.lit(0))))
+        added = F.when(count.isNotNull(), F.array(fact("COUNT", category, count + 1), fact("EXISTS_IN_WORLD", F.concat(F.lit("new-"), target), F.lit(1))))
+        return F.when(family == "REMOVE", removed).when(family == "ADD", added)
+
     moved = F.when(only(relation, target, anchor).isNotNull() & opposite.isNotNull(), F.array(fact(opposite, target, None, anchor)))
     known = F.coalesce(family.isin("REMOVE", "ADD", "MOVE"), F.lit(False))
-    post = F.when(family == "REMOVE", removed).when(family == "ADD", added).when(family == "MOVE", moved)
-    errors = F.when(~known, F.array(F.lit("REJECT_UNAUTHORIZED_RULE"))).when(post.isNull(), F.array(F.lit("REJECT_TRANSITION_PRECONDITION_FAIL"))).otherwise(F.array().cast("array<string>"))
-    return _outcome(errors, F.coalesce(post, F.array().cast(f"array<{FACT}>")))
+    post = F.when(family.isin("REMOVE", "ADD"), let(only("COUNT", category)["value"], counted)).when(family == "MOVE", moved)
+
+    def judged(after: Column) -> Column:
+        errors = F.when(~known, F.array(F.lit("REJECT_UNAUTHORIZED_RULE"))).when(after.isNull(), F.array(F.lit("REJECT_TRANSITION_PRECONDITION_FAIL"))).otherwise(F.array().cast("array<string>"))
+        return _outcome(errors, F.coalesce(after, F.array().cast(f"array<{FACT}>")))
+
+    return let(post, judged)
 
 
 def folded(actions: DataFrame, key: str, order: list[str], bucket: Column, start: int) -> DataFrame:

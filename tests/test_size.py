@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from factloom.functions import directions
-from factloom.operators import references, stats
+from factloom.operators import proofs, references, stats
 
 
 def made(df):
@@ -83,3 +83,22 @@ def test_a_question_is_matched_once(spark):
     assert got[6:9] == [missing] * 3 and got[9][0] is None and got[9][2] == ["LEFT_OF"]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("If I am standing") == 1 and plan.count("regexp_extract(") == 2
+
+
+def test_slots_and_errors_are_worked_out_once(spark):
+    pre = F.array(proofs.fact("COUNT", F.lit("s"), F.col("n")), proofs.fact("EXISTS_IN_WORLD", F.lit("e"), F.lit(1)), proofs.fact("LEFT_OF", F.lit("e"), None, F.lit("door")))
+    add = F.array(proofs.fact("EXISTS_IN_WORLD", F.lit("e"), F.lit(0)), proofs.fact("COUNT", F.lit("s"), F.col("n") - 1))
+    delete = F.array(F.lit("COUNT|s||scene"), F.lit("COUNT|s||scene"))
+    rows = spark.createDataFrame([(2, "REMOVE"), (0, "REMOVE"), (2, "ADD"), (2, "MOVE"), (2, "PAINT"), (None, "ADD")], "n bigint, family string").select("n", "family", pre.alias("pre"), add.alias("add"))
+    a = proofs.apply_delta(F.col("pre"), delete, F.col("add"), F.transform("add", proofs.slot))
+    b = proofs.check_family(F.col("pre"), F.col("family"), F.lit("e"), F.lit("s"), F.lit("door"), F.lit("LEFT_OF"))
+    df = rows.withColumns({"a": a, "b": b}).select("n", "family", "a.errors", F.col("a.status").alias("x"), "b.status", F.col("b.errors").alias("codes"), F.transform("a.post", lambda f: f["predicate"]).alias("post"), F.transform("b.post", lambda f: F.concat_ws(":", f["predicate"], f["subject"], f["value"])).alias("after"))
+    got = {(r.n, r.family): r for r in df.collect()}
+    assert {r.x for r in got.values()} == {"FAIL"} and {tuple(r.post) for r in got.values()} == {("COUNT", "EXISTS_IN_WORLD")}
+    assert got[2, "ADD"].errors == ["DUPLICATE_DELETE_FACT_SLOT"] and got[0, "REMOVE"].errors == got[None, "ADD"].errors == ["DUPLICATE_DELETE_FACT_SLOT", "INVALID_POST_COUNT"]
+    assert {k: (r.status, r.codes, r.after) for k, r in got.items()} == {
+        (2, "REMOVE"): ("PASS", [], ["COUNT:s:1", "EXISTS_IN_WORLD:e:0"]), (0, "REMOVE"): ("FAIL", ["REJECT_TRANSITION_PRECONDITION_FAIL"], []), (2, "ADD"): ("PASS", [], ["COUNT:s:3", "EXISTS_IN_WORLD:new-e:1"]),
+        (2, "MOVE"): ("PASS", [], ["RIGHT_OF:e"]), (2, "PAINT"): ("FAIL", ["REJECT_UNAUTHORIZED_RULE"], []), (None, "ADD"): ("FAIL", ["REJECT_TRANSITION_PRECONDITION_FAIL"], []),
+    }
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("DUPLICATE_PRE_FACT_SLOT") == plan.count("REJECT_UNAUTHORIZED_RULE") == 1
