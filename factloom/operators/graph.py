@@ -59,11 +59,14 @@ def conflicts(facts: DataFrame) -> DataFrame:
     facts: world, predicate, subject, object, polarity, value.
     """
     key = ["world", "predicate", "subject", "object"]
-    polarity = facts.groupBy(*key, "value").agg(F.count_distinct("polarity").alias("k")).where("k > 1").groupBy("world").agg(F.lit("POLARITY_CONFLICT").alias("code"), F.count("*").alias("n"))
-    positive = facts.where("polarity = 'positive'").select(*key).distinct()
-    other = positive.select("world", inverse_of(F.col("predicate")).alias("predicate"), "subject", "object")
-    exclusive = positive.join(other, key, "left_semi").groupBy("world").agg(F.lit("EXCLUSIVITY_CONFLICT").alias("code"), F.count("*").alias("n"))
-    count = facts.where("predicate = 'COUNT'").groupBy("world", "subject").agg(F.count_distinct("value").alias("k")).where("k > 1").groupBy("world").agg(F.lit("COUNT_CONFLICT").alias("code"), F.count("*").alias("n"))
+    # one aggregate of fixed width for each code: counts of distinct values and joins would hold several tables of a task's facts at once
+    hashed = F.when(F.col("polarity").isNotNull(), F.xxhash64("polarity"))
+    polarity = facts.groupBy(*key, "value").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high")).where("low <> high").groupBy("world").agg(F.lit("POLARITY_CONFLICT").alias("code"), F.count("*").alias("n"))
+    inverse = inverse_of(F.col("predicate"))
+    pairs = facts.where("polarity = 'positive' and world is not null and subject is not null and object is not null").where(inverse.isNotNull()).select("world", F.least("predicate", inverse).alias("pair"), "subject", "object", (F.col("predicate") < inverse).alias("first"))
+    both = pairs.groupBy("world", "pair", "subject", "object").agg(F.bool_or("first").alias("a"), F.bool_or(~F.col("first")).alias("b")).where("a and b")
+    exclusive = both.groupBy("world").agg(F.lit("EXCLUSIVITY_CONFLICT").alias("code"), (2 * F.count("*")).alias("n"))
+    count = facts.where("predicate = 'COUNT'").groupBy("world", "subject").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").groupBy("world").agg(F.lit("COUNT_CONFLICT").alias("code"), F.count("*").alias("n"))
     return polarity.unionByName(exclusive).unionByName(count)
 
 

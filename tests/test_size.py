@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from factloom.functions import directions
-from factloom.operators import proofs, references, stats
+from factloom.operators import graph, proofs, references, stats
 
 
 def made(df):
@@ -102,3 +102,12 @@ def test_slots_and_errors_are_worked_out_once(spark):
     }
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("DUPLICATE_PRE_FACT_SLOT") == plan.count("REJECT_UNAUTHORIZED_RULE") == 1
+
+
+def test_conflicts_take_one_aggregate_each(spark):
+    rows = [(1, "BEFORE", 1, 2, "positive", None), (1, "AFTER", 1, 2, "positive", None), (1, "AFTER", 1, 2, "positive", None), (1, "BEFORE", 1, 2, "negative", None), (1, "ABOVE", 1, 2, "positive", 7), (1, "BELOW", 1, 2, "positive", 8), (1, "BEFORE", 1, None, "positive", None), (1, "AFTER", 1, None, "positive", None)]
+    rows += [(2, "BEFORE", 1, 2, "positive", None), (2, "AFTER", 1, 2, "negative", None), (2, "COUNT", 1, None, "positive", 3), (2, "COUNT", 1, None, "positive", 4), (2, "COUNT", 2, None, "positive", None), (2, "COUNT", 2, None, "positive", 5), (3, "NEAR", 1, 2, "a", None), (3, "NEAR", 1, 2, "b", None), (3, "NEAR", 1, 3, None, None), (3, "NEAR", 1, 3, "b", None)]
+    out = graph.conflicts(spark.createDataFrame(rows, "world int, predicate string, subject int, object int, polarity string, value bigint"))
+    assert {(r.world, r.code): r.n for r in out.collect()} == {(1, "POLARITY_CONFLICT"): 1, (1, "EXCLUSIVITY_CONFLICT"): 4, (2, "COUNT_CONFLICT"): 1, (3, "POLARITY_CONFLICT"): 1}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan and "count(distinct" not in plan and "SortAggregate" not in plan
