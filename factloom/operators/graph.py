@@ -76,10 +76,12 @@ def label_claims(claims: DataFrame, facts: DataFrame) -> DataFrame:
     Support is a stated fact, its inverse or a unique path of two; refutation is the same for the reverse of an asymmetric claim. Both
     or neither is UNKNOWN; both is marked.
     """
-    edges = normalised(facts).distinct()
-    direct = edges.select("world", "subject", "object", F.lit("direct").alias("how"))
-    hops = two_hop(normalised(facts).distinct(), irreducible=False).select("world", "subject", "object", F.lit("two_hop").alias("how"))
-    known = direct.unionByName(hops).groupBy("world", "subject", "object").agg(F.min("how").alias("how"))
+    # a table, so that the facts aren't worked out again for each use and no task holds what makes them and what uses them at once
+    edges = materialize(normalised(facts).distinct(), "edges")
+    direct = edges.select("world", "subject", "object", F.lit(True).alias("stated"))
+    hops = two_hop(edges, irreducible=False).select("world", "subject", "object", F.lit(False).alias("stated"))
+    found = direct.unionByName(hops).groupBy("world", "subject", "object").agg(F.bool_or("stated").alias("stated"))
+    known = found.select("world", "subject", "object", F.when(F.col("stated"), "direct").otherwise("two_hop").alias("how"))
     same = claims.join(known.withColumnRenamed("how", "support"), ["world", "subject", "object"], "left")
     turned = known.select("world", F.col("object").alias("subject"), F.col("subject").alias("object"), F.col("how").alias("refute"))
     both = same.join(turned, ["world", "subject", "object"], "left")

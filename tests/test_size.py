@@ -111,3 +111,13 @@ def test_conflicts_take_one_aggregate_each(spark):
     assert {(r.world, r.code): r.n for r in out.collect()} == {(1, "POLARITY_CONFLICT"): 1, (1, "EXCLUSIVITY_CONFLICT"): 4, (2, "COUNT_CONFLICT"): 1, (3, "POLARITY_CONFLICT"): 1}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan and "count(distinct" not in plan and "SortAggregate" not in plan
+
+
+def test_labels_read_their_facts_once(spark):
+    claims = spark.createDataFrame([(1, 1, 1, 3), (2, 1, 3, 1), (3, 1, 1, 2), (4, 2, 1, 2)], "claim_id int, world int, subject int, object int")
+    facts = spark.createDataFrame([(1, "BEFORE", 1, 2), (1, "AFTER", 3, 2), (1, "BEFORE", 1, 2)], "world int, predicate string, subject int, object int").withColumn("mark", F.lit("facts"))
+    out = graph.label_claims(claims, facts)
+    assert {r.claim_id: (r.support, r.refute, r.label) for r in out.collect()} == {1: ("two_hop", None, "SUPPORTED"), 2: (None, "two_hop", "CONTRADICTORY"), 3: ("direct", None, "SUPPORTED"), 4: (None, None, "UNKNOWN")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 1
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
