@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
+
 
 def entropy(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Shannon entropy in bits of a value's distribution in each group."""
@@ -113,3 +115,25 @@ def cluster_bootstrap(rows: DataFrame, groups: Sequence[str], cluster: str, valu
     draws = reps.groupBy(*groups, "_rep").agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_n"))).alias("_e"))
     interval = draws.groupBy(*groups).agg(F.percentile("_e", 0.025).alias("low"), F.percentile("_e", 0.975).alias("high"))
     return point.join(interval, list(groups))
+
+
+def percentiles(rows: DataFrame, groups: Sequence[str], value: str, **at: float) -> DataFrame:
+    """Exact interpolated percentiles of a value per group, in columns named by ``at``; Spark's own sends all values of a group to one task.
+
+    Values are counted, and their counts dealt into ranges of the order, as ``select.globally_ranked`` does with rows: each range adds up its own, and
+    only sizes of ranges meet. Null values don't count; a group without any isn't returned.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    dealt = materialize(counts.repartitionByRange(parts, *groups, "_v").withColumn("_part", F.spark_partition_id()), "percentiles")
+    sizes = dealt.groupBy(*groups, "_part").agg(F.sum("_n").alias("_size"))
+    of_group = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("_size").over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.struct(*groups, F.col("_part")).alias("_k"), before.alias("_before"), F.sum("_size").over(of_group).alias("_all"))
+    inside = dealt.withColumn("_in", F.sum("_n").over(Window.partitionBy(*groups, "_part").orderBy("_v"))).withColumn("_k", F.struct(*groups, F.col("_part")))
+    placed = inside.join(F.broadcast(offsets), inside["_k"].eqNullSafe(offsets["_k"])).withColumn("_end", F.col("_in") + F.col("_before"))
+    place = lambda q: (F.col("_all") - 1) * F.lit(q)
+    holds = lambda k: F.max(F.when((F.col("_end") > k) & (F.col("_end") - F.col("_n") <= k), F.col("_v")).cast("double"))
+    ends = [c for n, q in at.items() for c in (holds(F.floor(place(q))).alias(f"_low_{n}"), holds(F.ceil(place(q))).alias(f"_high_{n}"), F.max(place(q) - F.floor(place(q))).alias(f"_part_{n}"))]
+    out = placed.groupBy(*groups).agg(*ends)
+    return out.select(*groups, *[(F.col(f"_low_{n}") * (1 - F.col(f"_part_{n}")) + F.col(f"_high_{n}") * F.col(f"_part_{n}")).alias(n) for n in at])

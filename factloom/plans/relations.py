@@ -228,7 +228,8 @@ def quantile_nearest_rank(t):
 
 @query("select l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) as low, round(quantile_cont(l_extendedprice, 0.975), 6) as high from lineitem group by 1")
 def percentile_interpolated(t):
-    return t("lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.025), 6).alias("low"), F.round(F.percentile("l_extendedprice", 0.975), 6).alias("high"))
+    p = st.percentiles(t("lineitem"), ["l_returnflag"], "l_extendedprice", low=0.025, high=0.975)
+    return p.select("l_returnflag", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("""with k as (select lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) as token from documents), c as (select lang, token, count(*) as n from k group by all), d as (select token, count(*) as df from c group by 1)

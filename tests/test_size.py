@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import directions
 from factloom.operators import graph, proofs, references, stats
+from factloom.plans import relations
 
 
 def made(df):
@@ -121,3 +122,13 @@ def test_labels_read_their_facts_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") <= 1
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_percentiles_are_spread_over_tasks(spark):
+    rows = spark.range(3_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id") * F.col("id") % 1_009 / 8).alias("v")).unionByName(spark.createDataFrame([(8, 2.5), (9, None)], "g bigint, v double"))
+    out = stats.percentiles(rows, ["g"], "v", low=0.025, mid=0.5, high=0.975, least=0.0, most=1.0)
+    want = rows.where("v is not null").groupBy("g").agg(*[F.percentile("v", q) for q in (0.025, 0.5, 0.975, 0.0, 1.0)])
+    near = lambda df: sorted(tuple(-1 if x is None else round(x, 9) for x in r) for r in df.collect())
+    assert near(out) == near(want) and len(near(out)) == 4
+    plan = relations.percentile_interpolated(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
