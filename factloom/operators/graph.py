@@ -100,14 +100,15 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
     Each round takes the least label among a node and its neighbours, then the label of that label; rounds are
     written to the shared folder and stop when no label changes. A node with a great part of all edges, and a label that
-    most nodes share, reach their rows by broadcast (``joins.join_by_share``), so neither is one task.
+    most nodes share, reach their rows by broadcast (``joins.join_by_share``), so neither is one task. All else is shuffled: a
+    table of labels has small files at sizes where a broadcast of it, in each round, is much for the driver.
     """
     both = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).union(edges.select(F.col(dst), F.col(src))).where("a is not null and b is not null").distinct(), "edges")
     labels = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
     mark = digest(labels)
     while True:
         near = join_by_share(both, labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = materialize(labels.join(near, "node").select("node", F.least("component", "near").alias("component")), "labels")
+        step = materialize(labels.join(near.hint("merge"), "node").select("node", F.least("component", "near").alias("component")), "labels")
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         labels = materialize(join_by_share(step, jump, "component").select("node", F.col("further").alias("component")), "labels")
         after = digest(labels)

@@ -67,11 +67,12 @@ def prefer(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFra
 def join_by_share(rows: DataFrame, small: DataFrame, key: str, share: int = 1_000) -> DataFrame:
     """Inner join of rows with a table that has each key once, where some keys may hold a great part of all rows.
 
-    Keys with more than one in ``share`` of the rows, which are fewer than ``share``, go to the rows by broadcast; only the others are shuffled. Rows with a null key have no match.
+    Keys with more than one in ``share`` of the rows, which are fewer than ``share``, go to the rows by broadcast; only the others are shuffled, however small their table's files are, so what passes through the driver
+    doesn't grow with the tables. Rows with a null key have no match.
     """
     sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     total = rows.agg(F.count("*").alias("_all"))
     great = sizes.join(F.broadcast(total), F.col("_n") * share > F.col("_all")).select(key, F.lit(True).alias("_great"))
     marked = rows.join(F.broadcast(great), key, "left")
     hot, rest = marked.where("_great").drop("_great"), marked.where("_great is null").drop("_great")
-    return hot.join(F.broadcast(small.join(F.broadcast(great.select(key)), key, "left_semi")), key).unionByName(rest.join(small, key))
+    return hot.join(F.broadcast(small.join(F.broadcast(great.select(key)), key, "left_semi")), key).unionByName(rest.join(small.hint("merge"), key))

@@ -8,6 +8,7 @@ from ..operators import graph as g
 from ..operators import proofs as p
 from ..operators import replay
 from ..operators import transitions as tr
+from ..operators.joins import join_by_share
 from ..sources.tables import dealt, in_place, materialize
 from .frames import FACTS_SQL, facts
 from .registry import query
@@ -437,4 +438,4 @@ def split_precedence(t):
     s = _clusters(t).withColumn("split", F.when(d < 6, "train").when(d < 8, "dev").otherwise("test"))
     level = F.when(F.col("split") == "test", 2).when(F.col("split") == "dev", 1).otherwise(0)
     top = s.groupBy("component").agg(F.max(level).alias("top"))
-    return s.join(top, "component").select(F.col("node").alias("doc_id"), "split", F.when(level < F.col("top"), "EXCLUDED").otherwise("KEPT").alias("outcome"))
+    return join_by_share(s, top, "component").select(F.col("node").alias("doc_id"), "split", F.when(level < F.col("top"), "EXCLUDED").otherwise("KEPT").alias("outcome"))

@@ -3,10 +3,11 @@
 import hashlib
 
 from pyspark.sql import functions as F
+from test_components import plain
 
 from factloom.functions import directions
 from factloom.operators import graph, proofs, references, stats
-from factloom.plans import relations
+from factloom.plans import reasoning, relations
 
 
 def made(df):
@@ -132,3 +133,30 @@ def test_percentiles_are_spread_over_tasks(spark):
     assert near(out) == near(want) and len(near(out)) == 4
     plan = relations.percentile_interpolated(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
+
+
+def kept_broadcasts(monkeypatch):
+    """Rows of each broadcast that makes a table of ``graph.components``, as they come."""
+    sizes, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: sizes.extend(made_by(df, "BroadcastExchange")) or write(df, name))
+    return sizes
+
+
+def test_split_precedence_broadcasts_great_keys_only(spark, monkeypatch):
+    # pairs of equal texts, ids that name the one before them, and one text that a fifth of all share
+    text = F.when(F.col("id") % 5 == 3, "same").otherwise(F.concat(F.lit("t"), F.floor(F.col("id") / 2)))
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    sizes = kept_broadcasts(monkeypatch)
+    out = reasoning.split_precedence(lambda name: docs)
+    rounds = len(sizes)
+    got = {r.doc_id: (r.split, r.outcome) for r in out.collect()}
+    sizes += made_by(out, "BroadcastExchange")
+    groups = {}
+    for r in docs.collect():
+        groups.setdefault(r.text, []).append(r.doc_id)
+    root = plain([(d, ids[0]) for ids in groups.values() for d in ids] + [(d, max(0, d - 1)) for d in range(0, 4_000, 5)])
+    level, top = [0] * 6 + [1] * 2 + [2] * 2, {}
+    for d, c in root.items():
+        top[c] = max(top.get(c, 0), level[d % 10])
+    assert got == {d: (("train", "dev", "test")[level[d % 10]], "EXCLUDED" if level[d % 10] < top[c] else "KEPT") for d, c in root.items()}
+    assert 0 < rounds < len(sizes) and max(sizes[1:]) < 1_000
