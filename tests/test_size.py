@@ -160,3 +160,14 @@ def test_split_precedence_broadcasts_great_keys_only(spark, monkeypatch):
         top[c] = max(top.get(c, 0), level[d % 10])
     assert got == {d: (("train", "dev", "test")[level[d % 10]], "EXCLUDED" if level[d % 10] < top[c] else "KEPT") for d, c in root.items()}
     assert 0 < rounds < len(sizes) and max(sizes[1:]) < 1_000
+
+
+def test_world_alias_components_broadcasts_great_keys_only(spark, monkeypatch):
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("t"), F.floor(F.col("id") / 3))).alias("text"))
+    sizes = kept_broadcasts(monkeypatch)
+    got = {r.doc_id: r.component for r in reasoning.world_alias_components(lambda name: docs).collect()}
+    groups = {}
+    for r in docs.where("text is not null").collect():
+        groups.setdefault(r.text, []).append(r.doc_id)
+    assert got == plain([(d, ids[0]) for ids in groups.values() for d in ids] + [(d, max(0, d - 1)) for d in range(0, 3_000, 5)])
+    assert sizes and max(sizes) < 1_000
