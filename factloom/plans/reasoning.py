@@ -416,9 +416,9 @@ r as (select a as node, b as reach from e union select r.node, e.b from r join e
 
 
 def _clusters(t):
-    d = t("documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    d = materialize(t("documents").select("doc_id", F.sha2("text", 256).alias("h")), "digests")  # texts are read once
     least = d.groupBy("h").agg(F.min("doc_id").alias("dst"))  # a star per text, not all its pairs
-    same = d.join(least.hint("merge"), "h").select(F.col("doc_id").alias("src"), "dst")
+    same = join_by_share(d, least, "h").select(F.col("doc_id").alias("src"), "dst")
     chained = d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("src"), F.greatest(F.lit(0), F.col("doc_id") - 1).alias("dst"))
     return g.components(same.unionByName(chained))
 

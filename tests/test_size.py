@@ -171,3 +171,11 @@ def test_world_alias_components_broadcasts_great_keys_only(spark, monkeypatch):
         groups.setdefault(r.text, []).append(r.doc_id)
     assert got == plain([(d, ids[0]) for ids in groups.values() for d in ids] + [(d, max(0, d - 1)) for d in range(0, 3_000, 5)])
     assert sizes and max(sizes) < 1_000
+
+
+def test_a_text_of_many_worlds_is_no_single_task(spark, monkeypatch):
+    edges = []
+    monkeypatch.setattr(graph, "components", lambda rows: edges.append(rows) or rows)
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2_000, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    reasoning._clusters(lambda name: docs)
+    assert sum(made_by(edges[0], "SortMergeJoin")) <= 2_000 and edges[0].count() == 4_800
