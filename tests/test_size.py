@@ -2,12 +2,15 @@
 
 import hashlib
 
+import pytest
+from compare import compare, views
 from pyspark.sql import functions as F
 from test_components import plain
 
 from factloom.functions import directions
-from factloom.operators import graph, proofs, references, stats
-from factloom.plans import reasoning, relations
+from factloom.operators import graph, proofs, readings, references, stats
+from factloom.plans import catalog, reasoning, relations, scenes, wording
+from factloom.sources import tables
 
 
 def made(df):
@@ -179,3 +182,18 @@ def test_a_text_of_many_worlds_is_no_single_task(spark, monkeypatch):
     docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2_000, "same").otherwise(F.col("id").cast("string")).alias("text"))
     reasoning._clusters(lambda name: docs)
     assert sum(made_by(edges[0], "SortMergeJoin")) <= 2_000 and edges[0].count() == 4_800
+
+
+SPREAD = ["sentence_pairs", "scene_claims", "sentences_read", "transition_successors", "transition_agreement", "sentence_drift", "proof_verification"]
+
+
+@pytest.mark.parametrize("name", SPREAD)
+def test_buckets_become_more_as_lines_do(spark, monkeypatch, name):
+    sf, files, write = "/root/testdata/sf0.001", [], tables.dealt
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 700)
+    for module in (proofs, readings, reasoning, scenes, wording):
+        monkeypatch.setattr(module, "dealt", lambda *a: (files.append((out := write(*a)).inputFiles()), out)[1])
+    out = catalog.QUERIES[name](spark, sf)
+    assert compare(out, views(sf), catalog.ORACLE_SQL[name]) is None
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert files and {len(f) for f in files} == {-(-lines // 700)} and spark.conf.get("spark.sql.shuffle.partitions") == "4"
