@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as cd
 from ..operators import transitions as tr
-from ..sources.tables import dealt, in_place, materialize
+from ..sources.tables import dealt, in_place, materialize, spread_by
 from .registry import query
 
 SCENES_SQL = """with lines as (select l_orderkey as scene, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_extendedprice, l_quantity, l_shipdate) as n, l_partkey as p, l_suppkey as s, l_quantity::double as x, l_discount::double as y, l_tax::double as z from lineitem),
@@ -43,9 +43,10 @@ def _candidates(objects, counts, relations):
 
 
 def _claims(objects, counts, relations):
-    """Numbers of claims. Changes of counts and of relations have other families, so each are carried out on their own: fewer joins lie in one task."""
-    out = []
-    for some in (cd.count_candidates(counts, objects), cd.relation_candidates(objects, relations, counts)):
+    """Numbers of claims. Changes of counts and of relations have other families, so each are carried out on their own: fewer joins lie in one task. Relations
+    are written, since their candidates are also facts that each lookup of the checker reads."""
+    out, moves = [], dealt(cd.relation_candidates(objects, relations, counts), "scene", "moves")
+    for some in (cd.count_candidates(counts, objects), moves):
         found = cd.with_ids(some)
         # without scene beside state, so that the candidates' union stays dealt by state
         claims = cd.claimed(tr.checked(found.drop("scene"), cd.pre_facts(counts, objects, found), "*"), "source_group")
@@ -54,6 +55,7 @@ def _claims(objects, counts, relations):
 
 
 @query(SCENES_SQL + "select * from candidates")
+@spread_by("lineitem")
 def scene_candidates(t):
     """What may be changed in each scene: additions, removals, replacements, moves and swaps."""
     found = _candidates(*_scenes(t))
@@ -63,8 +65,8 @@ def scene_candidates(t):
 
 
 @query(SCENES_SQL + """select family, source_group, null::varchar as code, case when family in ('MOVE_TO_OPPOSITE_SIDE', 'SWAP_POSITIONS') then 'predicate' else 'value' end as changed_slot, count(*) as n from candidates group by all""")
+@spread_by("lineitem")
 def scene_claims(t):
     """Candidates carried out by the checker, and a pair of claims of each that its facts decide: all of them, by the SQL."""
-    spark, claims = t("lineitem").sparkSession, _claims(*_scenes(t))
-    with in_place(spark):
-        return materialize(claims, "claims")
+    with in_place(t("lineitem").sparkSession):
+        return materialize(_claims(*_scenes(t)), "claims")
